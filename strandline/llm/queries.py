@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontamination, language, pii
+from strandline.llm import decontamination, language, ngram_lm, pii, toxicity
 from strandline.llm.tables import read
 
 
@@ -18,6 +18,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_languages(read(spark, sf_dir, "documents"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.held_out_scores(read(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -26,6 +34,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_personal_data": op2_personal_data,
         "op4_language": op4_language,
+        "op5_language_model": op5_language_model,
+        "op7_toxicity": op7_toxicity,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
     }
 
