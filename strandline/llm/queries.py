@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontamination, language, ngram_lm, pii, toxicity
+from strandline.llm import decontamination, language, mixing, ngram_lm, pii, toxicity
 from strandline.llm.tables import read
 
 
@@ -14,6 +14,10 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(read(spark, sf_dir, "documents")).drop("source")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_languages(read(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_personal_data": op2_personal_data,
+        "op3_mixing": op3_mixing,
         "op4_language": op4_language,
         "op5_language_model": op5_language_model,
         "op7_toxicity": op7_toxicity,
