@@ -206,7 +206,7 @@ def mix(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     Pieces of a shard in order of (slot, rank, turn, block, place) make its file. With a text among rows, text is that of the piece,
     its words joined by one space; n_words counts what is taken.
     """
-    joined = pieces(rows, block).join(slots(rows, block, seed), ["rank", "block"])
+    joined = pieces(rows, block).join(slots(rows, block, seed).hint("merge"), ["rank", "block"])  # slots grow with the input, unlike the sources they come from
     taken = F.least("n_words", F.col("take") - F.col("place"))
     joined = joined.filter(F.col("take") > F.col("place")).withColumn("n_words", taken).drop("take")
     if "text" in rows.columns:
