@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontamination, jaccard, language, mixing, ngram_lm, pii, topk, toxicity
+from strandline.llm import decontamination, fm_index, jaccard, language, mixing, ngram_lm, pii, substrings, topk, toxicity
 from strandline.llm.tables import read
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.held_out_scores(read(spark, sf_dir, "documents"))
 
 
+def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.removed(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -45,10 +53,12 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_array": op1_suffix_array,
         "op2_personal_data": op2_personal_data,
         "op3_mixing": op3_mixing,
         "op4_language": op4_language,
         "op5_language_model": op5_language_model,
+        "op6_fm_index": op6_fm_index,
         "op7_toxicity": op7_toxicity,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_jaccard_join": op9_jaccard_join,
