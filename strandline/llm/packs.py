@@ -18,12 +18,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.tables import stored
 
-BLOB_BYTES = 1 << 21
+BLOB_BYTES = 1 << 20
+#: Bytes of an Arrow batch; Spark's default lets a task hold 64 blobs and more at once.
+BATCH_BYTES = 8 << 20
 KEY_BITS = 40
 BUCKET_KEYS = 1 << 21
 #: Extra byte of keys that repeat within their blob.
@@ -54,8 +56,20 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row(ids, texts)
 
 
+def small_batches(spark: SparkSession) -> None:
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(setting, "64m")
+    size = int(now.lower().rstrip("bkmg")) << {"k": 10, "m": 20, "g": 30}.get(now.lower().rstrip("b")[-1:], 0)
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def packed(docs: DataFrame) -> DataFrame:
-    """Stored blobs of docs (doc_id, text): blob, ids, texts."""
+    """Stored blobs of docs (doc_id, text): blob, ids, texts.
+
+    Arrow batches of this session have at most BATCH_BYTES from here on, unless they already are smaller.
+    """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return stored(texts.mapInArrow(_packed, BLOBS).withColumn("blob", F.monotonically_increasing_id()))
 
@@ -69,7 +83,7 @@ def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, pa.Array, int
 def distinct(keys: np.ndarray, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys, cut to KEY_BITS, and the extra byte of each; REPEATS if it occurs with several (without extras: more than once)."""
     keys = keys >> np.uint64(64 - KEY_BITS)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
     if extra is None:
@@ -120,7 +134,7 @@ def repeated(blobs: DataFrame, keys_of: Callable, keys_per_byte: float, by_extra
         sizes = [len(k) for k, _ in parts]
         keys, extra = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         ordered, own = keys[order], extra[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         high = np.maximum.reduceat(own, first)

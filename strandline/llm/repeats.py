@@ -99,7 +99,8 @@ def runs_of(units: Units, window: int, gram: int) -> Runs:
     count = np.diff(np.append(np.searchsorted(at, start), len(at)))
     end = start + count - 1 + window
     piece = mix((sums[end] - sums[start]) * down[start] + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return Runs(grams[pick[start]], piece, text[start], start, count)
+    anchor = mix(grams[pick[start]])  # lowest hashes are low: mixed again they fill shards evenly
+    return Runs(anchor, piece, text[start], start, count)
 
 
 def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

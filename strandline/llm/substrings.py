@@ -37,11 +37,11 @@ def first_documents(units: repeats.Units, least: np.ndarray, times: np.ndarray,
     own = np.repeat(np.arange(len(n)), n)
     text[np.arange(len(units.data)) + own] = units.data.astype(np.int32) + 1
     sa = suffix_array(text, 257)
-    shared = common_prefixes((text & 0xFF).astype(np.uint8), sa, window)
     left = np.zeros(len(text), np.int64)  # bytes of the text from here on
     left[np.arange(len(units.data)) + own] = units.offsets[1:][own] - np.arange(len(units.data))
     document = np.append(np.repeat(least, n + 1), 0)[: len(text)]
     long = sa[left[sa] >= window]
+    shared = common_prefixes((text & 0xFF).astype(np.uint8), long, window)
     # suffixes with one such prefix are neighbours, and nothing stands between them
     group = np.cumsum(np.append(True, shared[long[1:]] < window)) - 1 if len(long) else np.empty(0, np.int64)
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(long) else np.empty(0, np.int64)

@@ -141,7 +141,7 @@ def _doubled(text: np.ndarray, symbols: int) -> np.ndarray:
             key = key * base + shifted
             if key.max() >= (1 << 62) // base:
                 break
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.cumsum(np.concatenate([[1], (key[order][1:] != key[order][:-1]).astype(np.int64)]))
         rank = np.empty(n, np.int64)
         rank[order] = new
@@ -152,9 +152,10 @@ def _doubled(text: np.ndarray, symbols: int) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Permuted common prefixes: for each position what its suffix shares with the one before it in order, up to most.
+    """Permuted common prefixes: for each position what its suffix shares with the one before it in sa, up to most.
 
-    text holds bytes or larger integers. A prefix may run over separators; the caller knows how far one may go.
+    sa may hold some suffixes alone, in their order; the others get 0. text holds bytes or larger integers. A prefix may
+    run over separators; the caller knows how far one may go.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
