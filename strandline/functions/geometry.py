@@ -116,14 +116,20 @@ def rotation_vector(q: Column) -> Column:
 def slerp(a: Column, b: Column, w: Column) -> Column:
     """The rotation at share w of the shorter way from a to b; nearly equal ones are mixed linearly."""
     cosine = dot(a, b, "wxyz")
-    sign = F.when(cosine < 0, -1.0).otherwise(1.0)
     angle = F.acos(F.least(F.lit(1.0), F.abs(cosine)))
     near = F.abs(cosine) > 0.9995
     p = F.when(near, 1 - w).otherwise(F.sin((1 - w) * angle) / F.sin(angle))
-    q = F.when(near, w).otherwise(F.sin(w * angle) / F.sin(angle)) * sign
-    mixed = quaternion(*(a[k] * p + b[k] * q for k in "wxyz"))
-    size = length(mixed, "wxyz")
-    return quaternion(*(mixed[k] / size for k in "wxyz"))
+    q = F.when(near, w).otherwise(F.sin(w * angle) / F.sin(angle)) * F.when(cosine < 0, -1.0).otherwise(1.0)
+
+    def mixed(share: Column) -> Column:
+        return quaternion(*(a[k] * share["p"] + b[k] * share["q"] for k in "wxyz"))
+
+    def normal(m: Column) -> Column:
+        return quaternion(*(m[k] / length(m, "wxyz") for k in "wxyz"))
+
+    # each step is bound once by a one-element transform, so that expressions don't multiply
+    shares = F.transform(F.array(F.struct(p.alias("p"), q.alias("q"))), mixed)
+    return F.transform(shares, normal)[0]
 
 
 def projected(point: Column, fx: Column, fy: Column, cx: Column, cy: Column, distortion: Column) -> Column:

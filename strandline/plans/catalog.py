@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandline.plans import joins
+from strandline.plans import joins, series
 
-MODULES = (joins,)
+MODULES = (joins, series)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
