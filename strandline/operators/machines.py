@@ -2,14 +2,15 @@
 
 What such a machine keeps depends on what it kept before, so rows of a key are
 read in order. A pause after which the machine starts afresh cuts a key into
-runs; each run is a group of its own, so that a key with many rows is spread
-over many tasks, and a task holds one run.
+runs, and a group holds some of them, so that a key with many rows is spread
+over many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,20 +18,25 @@ from pyspark.sql import functions as F
 from strandline.operators.runs import islands
 
 
+#: So many runs of a key, which are short mostly, are one group.
+PACK = 64
+
+
 def over_runs(df: DataFrame, by: list[str], time: str, pause: int, machine: Callable[[pd.DataFrame], Iterator[dict]], schema: str) -> DataFrame:
     """The rows that machine yields for each run of df (rows at most ``pause`` apart), in order of time; by is added."""
-    keyed = islands(df, by, time, pause, to="_run")
+    keyed = islands(df, by, time, pause, to="_run").withColumn("_pack", F.floor(F.col("_run") / PACK))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
     names = [f.strip().split()[0].strip("`") for f in schema.split(",")]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(time, kind="stable")
-        out = pd.DataFrame(list(machine(rows)), columns=names)
+        cuts = [0, *(np.flatnonzero(np.diff(rows["_run"].to_numpy())) + 1).tolist(), len(rows)]
+        out = pd.DataFrame([x for a, b in zip(cuts[:-1], cuts[1:], strict=True) for x in machine(rows.iloc[a:b])], columns=names)
         for position, name in enumerate(by):
             out.insert(position, name, rows[name].iloc[0])
         return out
 
-    return keyed.groupBy(*by, "_run").applyInPandas(run, f"{kinds}, {schema}")
+    return keyed.groupBy(*by, "_pack").applyInPandas(run, f"{kinds}, {schema}")
 
 
 def thinned(df: DataFrame, by: list[str], time: str, step: int, id_column: str) -> DataFrame:

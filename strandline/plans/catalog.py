@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandline.plans import joins, series
+from strandline.plans import entities, joins, series, states
 
-MODULES = (joins, series)
+MODULES = (joins, series, states, entities)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
