@@ -50,9 +50,17 @@ def _slot(win: Column) -> Column:
     return F.xxhash64(win).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
 
 
+def _probe(words: Column, start: Column, n: Column) -> Column:
+    """The number of a second bit, from a window's first, middle and last word: it leaves few windows to hash as a whole."""
+    word = [F.get(words, (start - 1 + offset).cast("int")) for offset in (F.lit(0), F.floor(n / 2), n - 1)]
+    return F.xxhash64(*word).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+
+
 def _bitmap(windows: DataFrame) -> DataFrame:
     """One row: bits, an array of 2**BITMAP_BITS / 64 longs."""
-    slot = _slot(F.split("win", " "))
+    words = F.split("win", " ")
+    windows = windows.select(F.explode(F.array(_slot(words), _probe(words, F.lit(1), F.col("n_words")))).alias("slot"))
+    slot = F.col("slot")
     cells = windows.select(F.shiftright(slot, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
     every = windows.sparkSession.range(1 << (BITMAP_BITS - 6)).withColumnRenamed("id", "cell")
     filled = every.join(cells, "cell", "left").select("cell", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
@@ -73,10 +81,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
         texts = texts.select("*", _bitmap(windows).scalar().alias("bits"))
 
     def may_hit(n: int) -> Column:
-        def test(i: Column) -> Column:
-            slot = _slot(F.slice("words", i, n))
+        def set_in(slot: Column) -> Column:
             return F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
+        def test(i: Column) -> Column:
+            return set_in(_probe(F.col("words"), i, F.lit(n))) & set_in(_slot(F.slice("words", i, n)))
+
         at = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(F.filter(at, test), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.concat_ws(" ", F.slice("words", i, n)).alias("win")))
 

@@ -21,13 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.tables import stored
+from strandline.llm.tables import release, stored
 
 BLOB_BYTES = 1 << 20
 #: Bytes of an Arrow batch; Spark's default lets a task hold 64 blobs and more at once.
 BATCH_BYTES = 8 << 20
 KEY_BITS = 40
-BUCKET_KEYS = 1 << 21
+BUCKET_KEYS = 1 << 20
 #: Extra byte of keys that repeat within their blob.
 REPEATS = 255
 BLOBS = "ids array<long>, texts array<binary>"
@@ -145,8 +145,10 @@ def repeated(blobs: DataFrame, keys_of: Callable, keys_per_byte: float, by_extra
         return pa.table({"blob": table.column("blob"), "bucket": pa.array(np.full(len(sizes), key[0].as_py(), np.int32)), "bits": pa.array(bits_of, pa.binary())})
 
     found = blobs.mapInArrow(send, "bucket int, blob long, data binary").groupBy("bucket").applyInArrow(find, "blob long, bucket int, bits binary")
-    flags = stored(found).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("flags"))
-    return blobs.join(flags, "blob", "left"), bits
+    found = stored(found)
+    release(blobs.sparkSession)
+    flags = found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("flags"))
+    return blobs.join(flags.hint("merge"), "blob", "left"), bits  # flags grow with the input
 
 
 def flags_of(keys: np.ndarray, flags: list[dict] | None, bits: int) -> np.ndarray:

@@ -15,7 +15,6 @@ a blob, or of the longest text.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import packs
-from strandline.llm.tables import stored
+from strandline.llm.tables import release, stored
 from strandline.llm.tokens import SPACE, mix, powers, range_hashes, text_buffer, word_ranges
 
 #: Bytes of pieces in a shard, about.
@@ -79,7 +78,7 @@ def runs_of(units: Units, window: int, gram: int) -> Runs:
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(units.hashes * up[:-1], out=sums[1:])
-    grams = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+    grams = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]  # their high bits, which are compared, are mixed enough
     w = window - gram + 1
     mask = (np.uint64(1) << np.uint64(int(n).bit_length())) - np.uint64(1)
     low = (grams & ~mask) | (mask - np.arange(len(grams), dtype=np.uint64))  # the last one of equals
@@ -90,8 +89,9 @@ def runs_of(units: Units, window: int, gram: int) -> Runs:
         span *= 2
     low = np.minimum(low[:m], low[w - span : w - span + m])
     pick = (mask - (low & mask)).astype(np.int64)
-    text = np.repeat(np.arange(len(units.first) - 1), np.diff(units.first))[:m]
-    valid = np.arange(m) + window <= units.first[1:][text]
+    text = np.repeat(np.arange(len(units.first) - 1, dtype=np.int32), np.diff(units.first))[:m]
+    last = np.repeat(units.first[1:].astype(np.int32) - window, np.diff(units.first))[:m]
+    valid = np.arange(m, dtype=np.int32) <= last
     new = valid.copy()
     new[1:] &= ~valid[:-1] | (pick[1:] != pick[:-1])
     start = np.flatnonzero(new)
@@ -100,7 +100,7 @@ def runs_of(units: Units, window: int, gram: int) -> Runs:
     end = start + count - 1 + window
     piece = mix((sums[end] - sums[start]) * down[start] + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     anchor = mix(grams[pick[start]])  # lowest hashes are low: mixed again they fill shards evenly
-    return Runs(anchor, piece, text[start], start, count)
+    return Runs(anchor, piece, text[start].astype(np.int64), start, count)
 
 
 def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -121,6 +121,15 @@ def distinct_pieces(runs: Runs, shard_bits: int) -> tuple[np.ndarray, np.ndarray
     return order[new], a[new], number
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes: the high bytes of small ones become runs of zeros, which compress to nothing."""
+    return np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes, rows: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").reshape(rows, -1)
+
+
 def ids_of(ids: pa.Array) -> np.ndarray:
     """Document ids; null ones come after all others."""
     return ids.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -167,9 +176,9 @@ def searched(docs: DataFrame, search: Search, shard: Callable, value_type: type)
                 if not len(runs.start):
                     continue
                 first, shards, number = distinct_pieces(runs, shard_bits)
-                least = np.full(len(first), np.iinfo(np.int64).max)
-                np.minimum.at(least, number, ids_of(ids)[runs.text])
                 times = np.bincount(number, minlength=len(first)).astype(np.int64)
+                own = ids_of(ids)[runs.text][np.argsort(number, kind="stable")]
+                least = np.minimum.reduceat(own, np.cumsum(times) - times)
                 begins, ends = units.starts[runs.start[first]], units.ends[runs.start[first] + runs.n[first] + search.window - 2]
                 content = gathered(units.data, begins, ends)
                 upto = np.concatenate([[0], np.cumsum(ends - begins)])
@@ -178,25 +187,19 @@ def searched(docs: DataFrame, search: Search, shard: Callable, value_type: type)
                 columns = {
                     "shard": pa.array(shards[cuts[:-1]].astype(np.int32)),
                     "blob": pa.array(np.full(len(own), blob)),
-                    "piece": pa.array([runs.piece[first[s]].tobytes() for s in own], pa.binary()),
-                    "least": pa.array([least[s].tobytes() for s in own], pa.binary()),
-                    "times": pa.array([times[s].tobytes() for s in own], pa.binary()),
-                    "size": pa.array([(ends - begins)[s].astype(np.int64).tobytes() for s in own], pa.binary()),
+                    "numbers": pa.array([_planes(np.stack([least[s], times[s], (ends - begins)[s]])) for s in own], pa.binary()),
                     "content": pa.array([content[upto[s.start] : upto[s.stop]].tobytes() for s in own], pa.binary()),
                 }
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     def answer(table: pa.Table) -> pa.Table:
-        def read(name: str, kind: type) -> list[np.ndarray]:
-            return [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
-
-        pieces = read("piece", np.uint64)
-        piece, least, times, size = (np.concatenate(x) for x in (pieces, read("least", np.int64), read("times", np.int64), read("size", np.int64)))
-        content = np.concatenate(read("content", np.uint8))
-        _, first, number = np.unique(piece, return_index=True, return_inverse=True)
-        low = np.full(len(first), np.iinfo(np.int64).max)
-        np.minimum.at(low, number, least)
+        numbers = [_from_planes(x.as_py(), 3) for x in table.column("numbers")]
+        least, times, size = np.concatenate(numbers, 1)
+        content = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("content")])
         begins = np.cumsum(size) - size
+        _, first, number = np.unique(range_hashes(content, begins, begins + size), return_index=True, return_inverse=True)
+        counts = np.bincount(number, minlength=len(first))
+        low = np.minimum.reduceat(least[np.argsort(number, kind="stable")], np.cumsum(counts) - counts)
         distinct = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size[first])]).astype(np.int64)), pa.py_buffer(gathered(content, begins[first], begins[first] + size[first]))])
         units = search.units(distinct)
         del content
@@ -204,13 +207,13 @@ def searched(docs: DataFrame, search: Search, shard: Callable, value_type: type)
         windows = np.diff(units.first) - search.window + 1
         place = np.cumsum(windows) - windows
         out = []
-        for own in np.split(number, np.cumsum([len(p) for p in pieces])[:-1]):
+        for own in np.split(number, np.cumsum([x.shape[1] for x in numbers])[:-1]):
             out.append(gathered(values, place[own], place[own] + windows[own]).tobytes())
         return pa.table({"blob": table.column("blob"), "shard": table.column("shard"), "values": pa.array(out, pa.binary())})
 
-    sent = flagged.mapInArrow(send, "shard int, blob long, piece binary, least binary, times binary, size binary, content binary")
+    sent = flagged.mapInArrow(send, "shard int, blob long, numbers binary, content binary")
     found = stored(sent.groupBy("shard").applyInArrow(answer, "blob long, shard int, values binary"))
-    release(docs)
+    release(docs.sparkSession)
     answers = found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("shard", "values"))).alias("answers"))
 
     def look(batch: pa.RecordBatch, i: int, texts: pa.Array) -> tuple[Units, Runs, np.ndarray]:
@@ -222,19 +225,14 @@ def searched(docs: DataFrame, search: Search, shard: Callable, value_type: type)
         place = np.cumsum(windows) - windows
         return units, runs, gathered(values, place[number], place[number] + runs.n)
 
-    return flagged.join(answers, "blob", "left"), look
-
-
-def release(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of finished jobs now: it does so once the JVM has collected what refers to them."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    return flagged.join(answers.hint("merge"), "blob", "left"), look
 
 
 def covered(n: int, runs: Runs, hit: np.ndarray, window: int) -> np.ndarray:
     """Which of n units lie in a hit window; hit: for each window of the runs, one after the other."""
     begins = np.repeat(runs.start - (np.cumsum(runs.n) - runs.n), runs.n) + np.arange(int(runs.n.sum()))
-    change = np.zeros(n + 1, np.int32)
-    np.add.at(change, begins[hit], 1)
-    np.add.at(change, begins[hit] + window, -1)
-    return np.cumsum(change)[:-1] > 0
+    starts = np.zeros(n + window, np.int32)
+    starts[begins[hit] + window] = 1
+    upto = np.cumsum(starts)
+    # the hit windows that begin at most window - 1 units before
+    return upto[window : window + n] > np.concatenate([np.zeros(min(window, n), np.int32), upto[window : window + n - min(window, n)]])

@@ -56,6 +56,12 @@ def _named(text: np.ndarray, is_lms: np.ndarray, lms: np.ndarray, sorted_lms: np
     length = end[a] - a
     same = (length == end[b] - b) & (end[a] < len(text)) & (end[b] < len(text))
     active, k = np.flatnonzero(same), 0
+    if int(text.max()) < 256:  # eight symbols at once
+        packed = packed_words(text.astype(np.uint8), 8)
+        bits = 8 * np.minimum(length[active] + 1, 8).astype(np.uint64)
+        differ = (packed[a[active]] ^ packed[b[active]]) & (~np.uint64(0) >> (np.uint64(64) - bits))
+        same[active[differ != 0]] = False
+        active, k = active[(differ == 0) & (length[active] >= 8)], 8
     while len(active):
         i = active[length[active] >= k]
         equal = text[a[i] + k] == text[b[i] + k]
@@ -67,6 +73,16 @@ def _named(text: np.ndarray, is_lms: np.ndarray, lms: np.ndarray, sorted_lms: np
     return names, int(rank[-1]) + 1
 
 
+def packed_words(text: np.ndarray, beyond: int) -> np.ndarray:
+    """For each position of a byte string, and ``beyond`` more, the eight bytes from there on as one integer; zeros follow the end."""
+    n = len(text) + beyond
+    raw = np.concatenate([text, np.zeros(beyond + 8, np.uint8)])
+    packed = np.zeros(n, np.uint64)
+    for k in range(8):
+        packed |= raw[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    return packed
+
+
 def _spread(sa: np.ndarray, text: np.ndarray, found: np.ndarray, edge: np.ndarray, step: int) -> None:
     """Put the suffixes found, in this order, at the edges of their buckets, which move by step."""
     symbols = text[found]
@@ -163,10 +179,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     out = np.zeros(n, np.int32)
     active = np.flatnonzero(before >= 0)
     if text.dtype == np.uint8:  # eight bytes at once
-        raw = np.concatenate([text, np.zeros(most + 16, np.uint8)])
-        packed = np.zeros(n + most + 8, np.uint64)
-        for k in range(8):
-            packed |= raw[k : k + n + most + 8].astype(np.uint64) << np.uint64(8 * k)
+        packed = packed_words(text, most + 8)
         for done in range(0, most, 8):
             differ = packed[active + done] ^ packed[before[active] + done]
             stops = differ != 0

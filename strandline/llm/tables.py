@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +22,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder as Parquet and read again: cuts lineage and survives lost executors."""
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: it does so once the JVM has collected what refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_stored(*frames: DataFrame) -> None:
     """Delete what stored() wrote, once nothing reads it any more."""
     for df in frames:

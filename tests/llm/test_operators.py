@@ -1,0 +1,336 @@
+"""The training-data operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeats and empty tables."""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from strandline.llm import decontamination, fm_index, jaccard, language, mixing, ngram_lm, packs, pii, queries, repeats, substrings, suffixes, topk, toxicity
+from strandline.llm.components import components
+from strandline.llm.tables import remainder
+
+DATA = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, label int, spans string, hash long"
+
+
+def documents(spark, texts):
+    """Documents with columns whose names the operators use themselves."""
+    rows = [(i, t, None if k % 5 == 0 else "ab"[k % 2], None if k % 7 == 0 else f"s{k % 3}", None, 0.5, 1, "x", 7) for k, (i, t) in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def awkward():
+    """Copies, near copies, shared passages, runs of one letter, a long text, nulls and repeated rows."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(400)}" for _ in range(6000)]
+    passage = " ".join(words[:60])
+    texts = [" ".join(words[k * 50 : k * 50 + 50 + k]) for k in range(30)]
+    texts += [texts[3], texts[3], passage + " x " + texts[5], texts[7][:-3] + "q", "y " + passage, "é" * 90 + texts[2], "a" * 130, "a" * 200, "", "  \t ", "one", "One", "one two three", None, " ".join(words)]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    return docs + [docs[4], (None, texts[3]), (None, None), (5, "other text under a used id " + texts[9])]
+
+
+def test_repeated_bytes(spark):
+    docs = awkward()
+    found = Counter(tuple(r) for r in substrings.removed(documents(spark, docs)).drop("kept").collect())
+    last, seen, expected = 1 << 62, defaultdict(lambda: 1 << 63), Counter()
+    data = [(i, (t or "").encode()) for i, t in docs]
+    for i, b in data:
+        for k in range(len(b) - 49):
+            seen[b[k : k + 50]] = min(seen[b[k : k + 50]], last if i is None else i)
+    for i, b in data:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if seen[b[k : k + 50]] < (last if i is None else i):
+                gone[k : k + 50] = b"\1" * 50
+        spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
+        expected[i, len(b), sum(gone), spans, sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()] += 1
+    assert found == expected
+
+
+def test_repeated_words(spark):
+    docs = awkward()
+    found = Counter(tuple(r) for r in fm_index.removed(documents(spark, docs)).drop("kept").collect())
+    data = [(i, (t or "").encode().split()) for i, t in docs]
+    counts = Counter(tuple(w[k : k + 35]) for _, w in data for k in range(len(w) - 34))
+    expected = Counter()
+    for i, w in data:
+        gone = [False] * len(w)
+        for k in range(len(w) - 34):
+            if counts[tuple(w[k : k + 35])] > 1:
+                gone[k : k + 35] = [True] * 35
+        expected[i, len(w), sum(gone), sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()] += 1
+    assert found == expected
+
+
+@pytest.mark.parametrize("symbols", [1, 2, 5, 250, 9000])
+def test_suffix_arrays(symbols):
+    rng = np.random.default_rng(symbols)
+    for n in (0, 1, 2, 3, 10, 200, 700):
+        text = rng.integers(0, symbols, n)
+        if n > 50:
+            text[20:40] = text[-20:]
+        order = suffixes.suffix_array(text, symbols)
+        plain = text.tolist()
+        assert order.tolist() == sorted(range(n), key=lambda i: plain[i:])
+
+
+def test_wavelet_tree_counts():
+    text = np.random.default_rng(1).integers(0, 37, 1000)
+    tree = fm_index.WaveletTree(text, 37)
+    for c in (0, 5, 36):
+        at = np.arange(0, 1001, 13)
+        assert tree.before(np.full(len(at), c), at).tolist() == [int((text[:k] == c).sum()) for k in at]
+
+
+BASE = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def base_spans(text):
+    out = [(m.start(), 0, m.end()) for m in BASE[0].finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in BASE[1].finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for k, low, high in ((2, 12, 19), (3, 9, 15)):
+        for m in BASE[k].finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            doubled = sum(sum(divmod(2 * int(c), 10)) if j % 2 else int(c) for j, c in enumerate(reversed(digits)))
+            if low <= len(digits) <= high and (k == 3 or doubled % 10 == 0):
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_personal_data_finds_what_the_patterns_find():
+    rng, anchors = random.Random(5), pii.automaton()
+    for letters in ("0123. ", "a@.-", "0 -1", "+1 ()-.5", "a@b.1+ 2é:/", "4-9 "):
+        for _ in range(1500):
+            text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+            assert [s for s in pii.find(text, anchors) if s[1] < 4] == base_spans(text), text
+
+
+def test_personal_data_of_the_method_and_redaction(spark):
+    text = 'joe (at) host.de IBAN DE89370400440532013000 http://me:secret@x.de SSN: 123-45-6789 token = "24be64439e3e49cf46b2d7c9"'
+    kinds = [pii.KINDS[k] for _, k, _ in pii.find(text, pii.automaton())]
+    assert kinds == ["masked", "account", "login", "email", "national", "secret"]
+    docs = documents(spark, [(1, f"mail a.b@c.de and {'x' * 100000}"), (2, None), (3, ""), (1, "clean")])
+    found = {r.text for r in pii.redacted(docs).collect()}
+    assert f"mail <email> and {'x' * 100000}" in found and None in found and pii.redacted(docs).columns == docs.columns
+    empty = sha256(b"").hexdigest()
+    assert pii.digest(docs).filter(F.col("base_sha256") == empty).count() == 3
+
+
+def test_mix_takes_targets(spark):
+    docs = documents(spark, awkward())
+    rows = mixing.taken(docs, seed=3).collect()
+    assert len(rows) == docs.count()
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r["size"]
+        sizes[r.source] += r["size"]
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert Counter((i, len((t or "").split())) for i, t in awkward()) == Counter((r.doc_id, r["size"]) for r in rows)
+    whole, order = 1.5 * sum(sizes.values()), sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    full = set()
+    while True:
+        level = (whole - sum(2 * sizes[s] for s in full)) / sum(weight[s] for s in order if s not in full)
+        more = {s for s in order if s not in full and weight[s] * level > 2 * sizes[s]}
+        if not more:
+            break
+        full |= more
+    for s in order:
+        assert abs(target[s] - (2 * sizes[s] if s in full else weight[s] * level)) < 1e-6 and abs(taken[s] - target[s]) <= 0.5
+    again = mixing.taken(docs.repartition(5), seed=3).collect()
+    assert Counter(map(tuple, rows)) == Counter(map(tuple, again))
+    assert mixing.taken(docs.limit(0)).count() == 0
+
+
+def test_mix_pieces_are_the_words_taken(spark):
+    docs = documents(spark, awkward())
+    rows = mixing.placed(docs, seed=1, text=True)
+    pieces = mixing.mix(rows, seed=1).collect()
+    texts = defaultdict(set)
+    for i, t in awkward():
+        texts[i].add(" ".join((t or "").split()))
+    for p in pieces:
+        assert len(p.text.split()) == p.n_words and any(p.text in t for t in texts[p.doc_id])
+
+
+def test_permutations_and_their_inverse():
+    for n in (1, 2, 3, 64, 1000):
+        places = mixing.permuted(np.arange(n), n, 9)
+        assert sorted(places) == list(range(n)) and (mixing.restored(places, n, 9) == np.arange(n)).all()
+
+
+def test_language_model_counts_and_sums(spark):
+    docs = documents(spark, awkward())
+    rows = ngram_lm.held_out_scores(docs).collect()
+    data = [(i, (t or "").encode().lower().split() + [b"\n"], zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2) for i, t in awkward()]
+    counts = Counter(w for _, ws, held in data if not held for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    expected = Counter((i, held, len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 4)) for i, ws, held in data)
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in rows) == expected
+    assert ngram_lm.held_out_scores(docs.limit(0)).count() == 0
+
+
+def test_language_model_is_normalised_and_better_than_words(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "HEAD", 500)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    parts, counts = ngram_lm.train(docs)
+    model = parts.automaton()
+    known = sum(10**u for u in model.unigrams)
+    for state in (1, 5, len(model.failure) // 2, len(model.failure) - 1):
+        total, back, s = 0.0, 0.0, state
+        for word in range(len(parts.words)):
+            p, s = 0.0, state
+            while s and (arc := model.arcs.get(s << ngram_lm.WORD_BITS | word)) is None:
+                p, s = p + model.backoff[s], model.failure[s]
+            total += 10 ** (p + (arc[0] if s else model.unigrams[word]))
+        s = state
+        while s:
+            back, s = back + model.backoff[s], model.failure[s]
+        assert abs(total + 10**back * (1 - known) - 1) < 1e-6
+    sums = ngram_lm.score(docs, parts, counts).agg(F.sum("score"), F.sum("base_score")).first()
+    assert sums[0] > sums[1]
+
+
+def test_language_identification(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    found = language.held_out_languages(docs).join(docs.select("doc_id", F.col("lang").alias("truth")), "doc_id").filter("held_out")
+    right = found.agg(F.avg((F.col("lang_pred") == F.col("truth")).cast("double"))).first()[0]
+    assert right > 0.95
+    odd = spark.createDataFrame([(1, None, "en"), (2, "123 !", "en"), (3, "", None), (None, "the word", "en"), (4, "Zug", None)], "doc_id long, text string, lang string")
+    rows = {r.doc_id: r for r in language.held_out_languages(odd).collect()}
+    assert rows[1].lang_pred == rows[2].lang_pred == rows[3].lang_pred == "und" and rows[1].score == 0
+    assert all(0 <= r.score <= 1 for r in rows.values())
+    assert {r.lang_pred for r in language.held_out_languages(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_toxicity_learns_words_of_each_language():
+    rng = random.Random(2)
+    plain = [f"{p}{k}" for p in ("en", "fr") for k in range(300)]
+    bad = {"en": ["enbad1", "enbad2", "enbad3"], "fr": ["frbad1", "frbad2", "frbad3"]}
+
+    def text(lang, toxic):
+        words = [w for w in rng.choices(plain, k=400) if w.startswith(lang)][:120]
+        for _ in range(4 * toxic):
+            words.insert(rng.randrange(len(words)), rng.choice(bad[lang]))
+        return " ".join(words)
+
+    made = [(text(lang, toxic), toxic, lang) for lang in ("en", "fr") for toxic in [1] * 120 + [0] * 240]
+    rng.shuffle(made)
+    texts, toxic, langs = zip(*made, strict=True)
+    model = toxicity.train(list(texts[:500]), np.array(toxic[:500]), list(langs[:500]))
+    score = model.score(pa.array([*texts[500:], None, "", "x " * 20000]))
+    wrong = sum((s >= 0.7) != bool(t) for s, t in zip(score, toxic[500:]))
+    assert wrong <= 6 and (score[-3:] < 0.7).all() and ((score >= 0) & (score <= 1)).all()
+
+
+def test_toxicity_without_labels(spark):
+    docs = documents(spark, awkward())
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.held_out_scores(docs, labels).collect()
+    assert len(rows) == docs.count() and {r.predicted for r in rows} == {0}
+
+
+def test_decontamination(spark):
+    bench = [(1, "Alpha beta, gamma delta epsilon zeta eta theta iota kappa lambda MU"), (2, "short item"), (3, None), (None, "nobody's own item words here"), (3, "..."), (2, "short item")]
+    docs = [(1, "x ALPHA beta gamma delta epsilon zeta eta theta iota kappa y"), (2, "a short-item, and a short item"), (3, None), (4, ""), (5, "alpha beta gamma"), (5, "É nobody s own item words here É"), (1, "x ALPHA beta gamma delta epsilon zeta eta theta iota kappa y")]
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    d = documents(spark, docs)
+    rows = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontamination.contamination(d, b).collect())
+    assert rows == Counter([(1, 12, 10, 1, True), (1, 12, 10, 1, True), (2, 7, 4, 1, True), (3, 0, 0, 0, False), (4, 0, 0, 0, False), (5, 3, 0, 0, False), (5, 8, 6, 0, True)])
+    kept = decontamination.decontaminate(d, b)
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(3, None), (4, ""), (5, "alpha beta gamma")}
+    spans = {r.text for r in decontamination.decontaminate(d, b, remove="spans").collect()}
+    assert "x           y" in spans and None in spans
+    assert decontamination.contamination(d, b.limit(0)).filter("contaminated").count() == 0
+    assert decontamination.contamination(d.limit(0), b).count() == 0
+
+
+def brute_components(docs, n, percent):
+    sets = defaultdict(list)
+    for i, t in docs:
+        w = (t or "").encode().lower().split()
+        sets[i].append(frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset())
+    up = {i: i for i in sets if i is not None}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in up:
+        for j in up:
+            if i < j and any(a and b and 100 * len(a & b) >= percent * len(a | b) for a in sets[i] for b in sets[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return Counter((i, len(s), None if i is None else root(i)) for i in sets for s in sets[i])
+
+
+@pytest.mark.parametrize(("block", "fragment"), [(256, 2048), (2, 8)])
+def test_jaccard_components(spark, monkeypatch, block, fragment):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "FRAGMENT", fragment)
+    rng = random.Random(8)
+    docs = awkward()
+    base = [f"v{k}" for k in range(80)]
+    for i in range(100, 130):  # a chain of near copies
+        base = base[:]
+        base[rng.randrange(len(base))] = f"z{i}"
+        docs.append((i, " ".join(base)))
+    found = Counter(tuple(r) for r in jaccard.join(documents(spark, docs)).collect())
+    assert found == brute_components(docs, 4, 85)
+
+
+def test_jaccard_of_nothing(spark):
+    assert jaccard.join(documents(spark, [(1, "a")]).limit(0)).count() == 0
+    assert [tuple(r) for r in jaccard.join(documents(spark, [(1, None)])).collect()] == [(1, 0, 1)]
+
+
+def test_components_in_few_rounds(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(200, 201), (201, 200)], "a long, b long")
+    found = {r.node: r.component for r in components(edges).collect()}
+    assert found == {**dict.fromkeys(range(51), 0), 200: 200, 201: 200}
+
+
+@pytest.mark.parametrize("sizes", [(16384, 4096, 1024, 0.8), (50, 3, 16, 0.2)])
+def test_top_k(spark, monkeypatch, sizes):
+    for name, value in zip(("PART_ROWS", "QUERY_ROWS", "BUCKET", "STEEP"), sizes, strict=True):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=8) * rng.choice([0.1, 1, 3])).astype(float).tolist()) for i in range(300)]
+    rows += [(i, rows[7][1]) for i in range(300, 330)] + [(330, None), (331, [1.0, None] + [0.0] * 6), (332, [float("nan")] * 8), (None, [1.0] * 8), (333, [1.0, 2.0]), (400, [0.0] * 8), (500, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
+    found = defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.rank, r.vec_id, r.score))
+    good = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    for q, v in good.items():
+        if q % 20 == 0:
+            best = sorted((-int(v @ w), i) for i, w in good.items() if i != q and len(w) == len(v))[:10]
+            assert found[q] == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
+def test_small_packs_and_shards_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(packs, "BLOB_BYTES", 500)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 2000)
+    docs = documents(spark, awkward())
+    test_repeated_bytes(spark)
+    assert fm_index.removed(docs.limit(0)).count() == 0 and substrings.removed(docs.limit(0)).count() == 0
+
+
+def test_remainder_is_crc32(spark):
+    df = spark.createDataFrame([(5,), (None,)], "doc_id long").select(remainder("doc_id", 7))
+    assert [r[0] for r in df.collect()] == [zlib.crc32(b"5") % 7, 0]
+
+
+def test_queries_are_complete():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 11))
