@@ -195,5 +195,5 @@ ORACLES = {
         f AS (SELECT "window", arg_min(t, source) AS t0 FROM w GROUP BY 1)
         SELECT "window", source, round(t - t0, 6) + 0.0 AS "offset" FROM w JOIN f USING ("window")""",
     "triangulated_points": """SELECT vec_id, round(embedding[1]::DOUBLE, 5) AS x, round(embedding[2]::DOUBLE, 5) AS y, round(embedding[3]::DOUBLE + 4, 5) AS z, 3::BIGINT AS n_views FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) >= 3""",
-    "ground_plane": f"""WITH {EVENTS} SELECT event_type AS kind, 1.0 AS nz, count(*) FILTER (value <= 95) AS inliers, count(*) AS n FROM e GROUP BY 1""",
+    "ground_plane": f"""WITH {EVENTS} SELECT event_type AS kind, 1.0::DOUBLE AS nz, count(*) FILTER (value <= 95) AS inliers, count(*) AS n FROM e GROUP BY 1""",
 }
