@@ -126,6 +126,14 @@ def lineage_recursive(spark: SparkSession, d: str) -> DataFrame:
     return graphs.ancestors(edges, "child", "parent", 8).groupBy("node").agg(F.max("distance").alias("depth"), F.min("ancestor").alias("root"))
 
 
+def overlap_closure(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of a customer that hang together by overlapping, directly or through others, named by the smallest order."""
+    o = orders(spark, d)
+    pairs = intervals.overlap_join(o, o, ["o_custkey"], 30 * DAY, closed=True).filter("a_o_orderkey < b_o_orderkey")
+    labels = graphs.component_labels(pairs.select(F.col("a_o_orderkey").alias("a"), F.col("b_o_orderkey").alias("b")))
+    return o.join(labels, o["o_orderkey"] == labels["node"], "left").groupBy(F.coalesce("component", "o_orderkey").alias("group_id")).agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+
+
 def fk_violations(spark: SparkSession, d: str) -> DataFrame:
     checks = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("labels", "doc_id", "documents", "doc_id"), ("events", "user_id", "customer", "c_custkey")]
     counts = [editlog.orphans(table(spark, d, c), table(spark, d, p), ck, pk).agg(F.lit(f"{c}.{ck}").alias("reference"), F.count("*").alias("n_violations")) for c, ck, p, pk in checks]
@@ -135,7 +143,7 @@ def fk_violations(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (asof_backward, asof_forward, asof_nearest_tolerance, bracket_lerp, asof_gap_policy, interval_overlap_open, interval_overlap_closed, point_in_interval_owner, tolerance_band, adjacent_within_gap, all_pairs, mutual_knn_ratio, shifted_range, full_outer_exact, semi_support, anti_unresolved, lineage_recursive, fk_violations)}
+QUERIES = {f.__name__: f for f in (asof_backward, asof_forward, asof_nearest_tolerance, bracket_lerp, asof_gap_policy, interval_overlap_open, interval_overlap_closed, point_in_interval_owner, tolerance_band, adjacent_within_gap, all_pairs, mutual_knn_ratio, shifted_range, full_outer_exact, semi_support, anti_unresolved, lineage_recursive, overlap_closure, fk_violations)}
 
 ORACLES = {
     "asof_backward": f"""WITH {EVENTS}
@@ -197,6 +205,9 @@ ORACLES = {
         x AS (SELECT node AS c, node - 1 AS p FROM c WHERE turn > 0 AND node - 1 IN (SELECT node FROM c)),
         up(node, ancestor, distance) AS (SELECT c, p, 1 FROM x UNION ALL SELECT u.node, x.p, u.distance + 1 FROM up u JOIN x ON x.c = u.ancestor WHERE u.distance < 8)
         SELECT node, max(distance) AS depth, min(ancestor) AS root FROM up GROUP BY 1""",
+    "overlap_closure": f"""WITH {ORDERS}, n AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY o_custkey ORDER BY start, "end", o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM o),
+        g AS (SELECT *, sum(new) OVER (PARTITION BY o_custkey ORDER BY start, "end", o_orderkey ROWS UNBOUNDED PRECEDING) AS span FROM n)
+        SELECT min(o_orderkey) AS group_id, count(*) AS n, min(start) AS start, max("end") AS "end" FROM g GROUP BY o_custkey, span""",
     "fk_violations": " UNION ALL ".join(
         f"SELECT '{c}.{ck}' AS reference, count(*) AS n_violations FROM {c} t WHERE {ck} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} u WHERE u.{pk} = t.{ck})"
         for c, ck, p, pk in [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("labels", "doc_id", "documents", "doc_id"), ("events", "user_id", "customer", "c_custkey")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.functions import geometry
 from strandline.operators import machines, matching, runs, solvers
 from strandline.plans.base import DAY, EVENTS, HOUR, events, table
 
@@ -38,6 +39,17 @@ def bouts(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", "start", "end", "n", F.round("peak", 6).alias("peak"))
 
 
+def pivots(spark: SparkSession, d: str) -> DataFrame:
+    """Turns: bouts of angular speed of the unwrapped angle, per user."""
+    e = events(spark, d).withColumn("angle", geometry.wrap_angle(F.col("value")))
+    e = runs.unwrapped(e, ["user_id"], "us", "angle")
+    order = Window.partitionBy("user_id").orderBy("us")
+    speed = F.abs(F.col("unwrapped") - F.lag("unwrapped").over(order)) / ((F.col("us") - F.lag("us").over(order)) / HOUR)
+    turning = e.withColumn("speed", F.round(speed, 9)).filter("speed is not null")
+    out = machines.bouts(turning, ["user_id"], "us", "speed", 0.25, 0.1, HOUR, PAUSE)
+    return out.select("user_id", "start", "end", "n")
+
+
 def stable_placement(spark: SparkSession, d: str) -> DataFrame:
     return machines.placements(events(spark, d), ["user_id"], "us", ["value", "k"], 60.0, 80.0, 6 * HOUR, PAUSE).select("user_id", "start", "end", "n")
 
@@ -125,7 +137,7 @@ def ground_plane(spark: SparkSession, d: str) -> DataFrame:
     return out.select("kind", F.round("nz", 4).alias("nz"), "inliers", "n")
 
 
-QUERIES = {f.__name__: f for f in (fps_thinning, refractory, peak_spacing, peaks_prominent, contact_hysteresis, bouts, stable_placement, dwell_transitions, segment_verdict, support_case, lag_correlation, lag_best, offset_lsq, triangulated_points, ground_plane)}
+QUERIES = {f.__name__: f for f in (fps_thinning, refractory, peak_spacing, peaks_prominent, contact_hysteresis, bouts, pivots, stable_placement, dwell_transitions, segment_verdict, support_case, lag_correlation, lag_best, offset_lsq, triangulated_points, ground_plane)}
 
 #: Rows of a user numbered in order, with the start of a run after a pause marked.
 STEPS = f"""{EVENTS}, s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us) AS i, coalesce(us - lag(us) OVER (PARTITION BY user_id ORDER BY us) > {PAUSE}, true) AS fresh FROM e)"""
@@ -176,6 +188,16 @@ ORACLES = {
                   CASE WHEN was IS NOT NULL AND value < 30 AND us - was >= {HOUR} THEN was END, top, n
               FROM (SELECT s.user_id, s.i, s.us, s.value, CASE WHEN s.fresh THEN NULL ELSE f.start END AS was, f.peak AS top, f.n FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1))
         SELECT user_id, done AS start, us AS "end", size::BIGINT AS n, round(high, 6) AS peak FROM f WHERE done IS NOT NULL""",
+    "pivots": f"""WITH RECURSIVE {EVENTS}, a AS (SELECT *, atan2(sin(value), cos(value)) AS angle FROM e),
+        d AS (SELECT *, angle - lag(angle) OVER w AS step, us - lag(us) OVER w AS dt FROM a WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+        v AS (SELECT user_id, us, round(abs(atan2(sin(step), cos(step))) / (dt / {HOUR}), 9) AS speed FROM d WHERE step IS NOT NULL),
+        s AS (SELECT *, row_number() OVER w AS i, coalesce(us - lag(us) OVER w > {PAUSE}, true) AS fresh FROM v WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+        f AS (SELECT user_id, i, us, CASE WHEN speed >= 0.25 THEN us END AS start, 1 AS n, NULL::BIGINT AS done, 0 AS size FROM s WHERE i = 1
+              UNION ALL
+              SELECT user_id, i, us, CASE WHEN was IS NULL THEN CASE WHEN speed >= 0.25 THEN us END WHEN speed < 0.1 THEN NULL ELSE was END, CASE WHEN was IS NULL THEN 1 ELSE n + 1 END,
+                  CASE WHEN was IS NOT NULL AND speed < 0.1 AND us - was >= {HOUR} THEN was END, n
+              FROM (SELECT s.user_id, s.i, s.us, s.speed, CASE WHEN s.fresh THEN NULL ELSE f.start END AS was, f.n FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1))
+        SELECT user_id, done AS start, us AS "end", size::BIGINT AS n FROM f WHERE done IS NOT NULL""",
     "dwell_transitions": f"""WITH {EVENTS}, l AS (SELECT *, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS level FROM e),
         n AS (SELECT *, CASE WHEN lag(level) OVER w = level THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (PARTITION BY user_id ORDER BY us)),
         r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM n),
