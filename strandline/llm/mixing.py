@@ -39,7 +39,6 @@ MOST = 2.0
 SEED = 20
 ROUNDS = 4
 GOLDEN = 0x9E3779B97F4A7C15
-WORD = r"[^\x20\x09-\x0D]+"
 
 
 def words_of(text: Column) -> Column:

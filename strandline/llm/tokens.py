@@ -136,26 +136,3 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.nda
         order = np.argsort(of, kind="stable")
         hashes, of = hashes[order], of[order]
     return hashes, of
-
-
-def sliding_lowest(keys: np.ndarray, w: int) -> np.ndarray:
-    """Positions that are the (last) lowest of some w consecutive keys, ascending, each once.
-
-    Which position a window picks depends on the window's keys alone. With fewer than w keys nothing is picked.
-    """
-    n = len(keys)
-    if n < w:
-        return np.empty(0, np.int64)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    mask = (np.uint64(1) << bits) - np.uint64(1)
-    low = (keys & ~mask) | (mask - np.arange(n, dtype=np.uint64))
-    span = 1
-    while span * 2 <= w:
-        low = np.minimum(low[: len(low) - span], low[span:])
-        span *= 2
-    if span < w:
-        low = np.minimum(low[: n - w + 1], low[w - span : w - span + n - w + 1])
-    picked = (mask - (low & mask)).astype(np.int64)
-    keep = np.ones(len(picked), bool)
-    keep[1:] = picked[1:] != picked[:-1]
-    return picked[keep]
