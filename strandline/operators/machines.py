@@ -169,3 +169,53 @@ def prominent_peaks(df: DataFrame, by: list[str], time: str, value: str, promine
 def refractory(df: DataFrame, by: list[str], time: str, pause: int, id_column: str) -> DataFrame:
     """The rows that come at least ``pause`` after the last one kept of their key."""
     return thinned(df, by, time, pause, id_column).select(*by, F.col(id_column), F.col(time))
+
+
+def partners(df: DataFrame, by: list[str], time: str, side: str, id_column: str, within: int) -> DataFrame:
+    """left_id, right_id: each row of side ``left``, in order of time, with the first unused one of side ``right`` at most ``within`` away."""
+
+    def machine(rows: pd.DataFrame) -> Iterator[dict]:
+        both = list(zip(rows[side], rows[time], rows[id_column], strict=True))
+        rights = [(t, i) for s, t, i in both if s == "right"]
+        used: set = set()
+        first = 0
+        for s, t, i in both:
+            if s != "left":
+                continue
+            while first < len(rights) and (rights[first][0] < t - within or rights[first][1] in used):
+                first += 1
+            for u, j in rights[first:]:
+                if u > t + within:
+                    break
+                if j not in used:
+                    used.add(j)
+                    yield {"left_id": i, "right_id": j}
+                    break
+
+    return over_runs(df, by, time, within, machine, "left_id long, right_id long")
+
+
+def tracked(df: DataFrame, by: list[str], time: str, axes: list[str], score: str, id_column: str, limit: float, margin: float, pause: int) -> DataFrame:
+    """time, id, state for each instant: which of its candidates is the subject that was followed so far.
+
+    The first subject after a pause is the candidate with the best score, if it leads by ``margin``; later ones are the
+    nearest to the last position, if within ``limit`` and nearer than the next by ``margin``. Otherwise id is null and the
+    state ambiguous or lost, and the last position stays.
+    """
+
+    def machine(rows: pd.DataFrame) -> Iterator[dict]:
+        last = None
+        for t, frame in rows.groupby(time, sort=True):
+            if last is None:
+                costs = sorted((-v, i, p) for v, i, p in zip(frame[score], frame[id_column], frame[axes].itertuples(index=False, name=None), strict=True))
+            else:
+                costs = sorted((sum((a - b) ** 2 for a, b in zip(p, last, strict=True)) ** 0.5, i, p) for i, p in zip(frame[id_column], frame[axes].itertuples(index=False, name=None), strict=True))
+            if last is not None and costs[0][0] > limit:
+                yield {time: t, id_column: None, "state": "lost"}
+            elif len(costs) > 1 and costs[1][0] - costs[0][0] < margin:
+                yield {time: t, id_column: None, "state": "ambiguous"}
+            else:
+                last = costs[0][2]
+                yield {time: t, id_column: costs[0][1], "state": "selected"}
+
+    return over_runs(df, by, time, pause, machine, f"{time} long, {id_column} long, state string")

@@ -54,6 +54,19 @@ def stable_placement(spark: SparkSession, d: str) -> DataFrame:
     return machines.placements(events(spark, d), ["user_id"], "us", ["value", "k"], 60.0, 80.0, 6 * HOUR, PAUSE).select("user_id", "start", "end", "n")
 
 
+def partner_match(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks of a user, each with the first view within six hours that no earlier click has taken."""
+    e = events(spark, d).filter(F.col("event_type").isin("click", "view"))
+    e = e.withColumn("side", F.when(F.col("event_type") == "click", "left").otherwise("right"))
+    return machines.partners(e, ["user_id"], "us", "side", "event_id", 6 * HOUR).select("left_id", "right_id")
+
+
+def subject_tracker(spark: SparkSession, d: str) -> DataFrame:
+    """Each event type as a camera whose frames are six hours long and whose candidates are the events in them."""
+    e = events(spark, d).withColumn("frame", F.floor(F.col("us") / (6 * HOUR)) * (6 * HOUR)).withColumn("size", F.col("k") + F.col("value") / 1000)
+    return machines.tracked(e, ["event_type"], "frame", ["value", "k"], "size", "event_id", 40.0, 0.5, DAY).select("event_type", "frame", "event_id", "state")
+
+
 def dwell_transitions(spark: SparkSession, d: str) -> DataFrame:
     """Changes of the value's level where the level before and after each held for six hours, first to last row."""
     e = events(spark, d).withColumn("level", F.when(F.col("value") > 50, "high").otherwise("low"))
@@ -137,7 +150,7 @@ def ground_plane(spark: SparkSession, d: str) -> DataFrame:
     return out.select("kind", F.round("nz", 4).alias("nz"), "inliers", "n")
 
 
-QUERIES = {f.__name__: f for f in (fps_thinning, refractory, peak_spacing, peaks_prominent, contact_hysteresis, bouts, pivots, stable_placement, dwell_transitions, segment_verdict, support_case, lag_correlation, lag_best, offset_lsq, triangulated_points, ground_plane)}
+QUERIES = {f.__name__: f for f in (fps_thinning, refractory, peak_spacing, peaks_prominent, contact_hysteresis, bouts, pivots, stable_placement, partner_match, subject_tracker, dwell_transitions, segment_verdict, support_case, lag_correlation, lag_best, offset_lsq, triangulated_points, ground_plane)}
 
 #: Rows of a user numbered in order, with the start of a run after a pause marked.
 STEPS = f"""{EVENTS}, s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us) AS i, coalesce(us - lag(us) OVER (PARTITION BY user_id ORDER BY us) > {PAUSE}, true) AS fresh FROM e)"""

@@ -74,6 +74,19 @@ def test_latch_needs_dwell_and_forgets_over_a_pause(spark):
     assert [s for _, s in sorted(values(out, "t", "state"))] == ["unknown", "unknown", "contact", "contact", "flight", "flight", "unknown", "unknown", "unknown", "unknown"]
 
 
+def test_partners_are_used_once(spark):
+    rows = [("k", 0, "left", 1), ("k", 5, "right", 2), ("k", 6, "left", 3), ("k", 8, "right", 4), ("k", 9, "left", 5), ("k", 100, "right", 6)]
+    df = spark.createDataFrame(rows, "k string, t long, side string, id long")
+    assert sorted(values(machines.partners(df, ["k"], "t", "side", "id", 10), "left_id", "right_id")) == [(1, 2), (3, 4)]
+
+
+def test_tracker_follows_the_nearest_and_says_when_it_can_not(spark):
+    rows = [(0, 0.0, 5.0, 1), (0, 9.0, 1.0, 2), (1, 0.5, 1.0, 3), (1, 8.0, 9.0, 4), (2, 1.0, 1.0, 5), (2, 0.1, 1.0, 6), (3, 50.0, 1.0, 7), (4, 1.0, 1.0, 8)]
+    df = spark.createDataFrame([("c", *r) for r in rows], "k string, t long, x double, s double, id long")
+    out = machines.tracked(df, ["k"], "t", ["x"], "s", "id", 5.0, 1.0, 10).orderBy("t")
+    assert values(out, "id", "state") == [(1, "selected"), (3, "selected"), (None, "ambiguous"), (None, "lost"), (8, "selected")]
+
+
 def test_machines_on_empty_tables(spark):
     df = spark.createDataFrame([], "k string, t long, v double, id long")
     assert machines.thinned(df, ["k"], "t", 5, "id").count() == 0
