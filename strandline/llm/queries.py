@@ -67,6 +67,59 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLES = {
+    "op1_suffix_array": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        b AS (
+            SELECT r, doc_id, unnest([substr(h, 2 * k - 1, 100) FOR k IN range(1, len(h) // 2 + 1)]) AS s,
+                unnest(range(1, len(h) // 2 + 1)) AS k
+            FROM d),
+        f AS (SELECT s, min(doc_id) AS first FROM b WHERE len(s) = 100 GROUP BY s),
+        t AS (SELECT b.r, b.k, b.s[1:2] AS x, coalesce(f.first < b.doc_id, false) AS hit FROM b LEFT JOIN f ON b.s = f.s),
+        c AS (SELECT r, k, x, bool_or(hit) OVER (PARTITION BY r ORDER BY k ROWS 49 PRECEDING) AS gone FROM t),
+        e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY k), false) AS begins FROM c),
+        g AS (
+            SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans,
+                string_agg(x, '' ORDER BY k) FILTER (NOT gone) AS kept
+            FROM e GROUP BY r)
+        SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+            coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN g USING (r)""",
+    "op6_fm_index": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        p AS (
+            SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s
+            FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+        gone AS (
+            SELECT DISTINCT r, unnest(range(i, i + 35)) AS k
+            FROM p WHERE s IN (SELECT s FROM p GROUP BY s HAVING count(*) > 1)),
+        words AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d),
+        kept AS (SELECT r, string_agg(x, ' ' ORDER BY k) AS t FROM words ANTI JOIN gone USING (r, k) GROUP BY r),
+        n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)""",
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        sh AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o
+            FROM sh AS a JOIN sh AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (
+            SELECT a, b FROM p JOIN n AS x ON a = x.doc_id JOIN n AS y ON b = y.doc_id
+            WHERE 100 * o >= 85 * (x.n + y.n - o)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        c(node, seen) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, c.seen FROM c JOIN e ON c.node = e.a),
+        m AS (SELECT node, min(seen) AS low FROM c GROUP BY node)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(low, d.doc_id) AS component_id
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON node = d.doc_id""",
     "op8_benchmark_decontamination": r"""
         WITH d AS (
             SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),

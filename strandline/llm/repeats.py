@@ -27,7 +27,7 @@ from strandline.llm import packs
 from strandline.llm.tables import release, stored
 from strandline.llm.tokens import SPACE, mix, powers, range_hashes, text_buffer, word_ranges
 
-#: Bytes of pieces in a shard, about.
+#: Bytes of pieces in a shard, about, where the pieces sent on are half of the text; walking its buckets pays for large shards.
 SHARD_BYTES = 1 << 21
 
 
@@ -167,7 +167,7 @@ def searched(docs: DataFrame, search: Search, shard: Callable, value_type: type)
     per_byte = search.units_per_byte * 2 / (search.window - search.gram + 2)
     flagged, bits = packs.repeated(blobs, keys_of, per_byte)
     size = blobs.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.coalesce(F.octet_length(t), F.lit(0))))).first()[0] or 0
-    shard_bits = max(2, int(np.ceil(np.log2(max(1.0, size * 2 / SHARD_BYTES)))))
+    shard_bits = max(2, int(np.ceil(np.log2(max(1.0, size / 2 / SHARD_BYTES)))))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
