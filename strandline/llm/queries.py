@@ -12,7 +12,7 @@ from strandline.llm.tables import read
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.removed(read(spark, sf_dir, "documents")).drop("kept")
+    return substrings.removed(read(spark, sf_dir, "documents"), kept_bytes=False)
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

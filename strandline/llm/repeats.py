@@ -33,20 +33,26 @@ SHARD_BYTES = 1 << 21
 
 @dataclass
 class Units:
-    """The texts of a blob as units: data and offsets of the bytes, hashes and byte ranges of the units, first unit of each text."""
+    """The texts of a blob as units: data and offsets of the bytes, hashes and byte ranges of the units, first unit of each text.
+
+    Without byte ranges a unit is a byte.
+    """
 
     data: np.ndarray
     offsets: np.ndarray
     hashes: np.ndarray
-    starts: np.ndarray
-    ends: np.ndarray
+    starts: np.ndarray | None
+    ends: np.ndarray | None
     first: np.ndarray
 
+    def bytes_of(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the bytes of the units first to last begin and end."""
+        return (first, last + 1) if self.starts is None else (self.starts[first], self.ends[last])
+
 
 def byte_units(texts: pa.Array) -> Units:
     data, offsets = text_buffer(texts)
-    at = np.arange(len(data))
-    return Units(data, offsets, data.astype(np.uint64) + np.uint64(1), at, at + 1, offsets)
+    return Units(data, offsets, data.astype(np.uint64) + np.uint64(1), None, None, offsets)
 
 
 def word_units(texts: pa.Array) -> Units:
@@ -179,7 +185,7 @@ def searched(docs: DataFrame, search: Search, shard: Callable, value_type: type)
                 times = np.bincount(number, minlength=len(first)).astype(np.int64)
                 own = ids_of(ids)[runs.text][np.argsort(number, kind="stable")]
                 least = np.minimum.reduceat(own, np.cumsum(times) - times)
-                begins, ends = units.starts[runs.start[first]], units.ends[runs.start[first] + runs.n[first] + search.window - 2]
+                begins, ends = units.bytes_of(runs.start[first], runs.start[first] + runs.n[first] + search.window - 2)
                 content = gathered(units.data, begins, ends)
                 upto = np.concatenate([[0], np.cumsum(ends - begins)])
                 cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]])), [len(shards)]])

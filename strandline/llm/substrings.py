@@ -34,25 +34,25 @@ def first_documents(units: repeats.Units, least: np.ndarray, times: np.ndarray,
     n = np.diff(units.offsets)
     # texts one after the other, each with a separator below all bytes behind it
     text = np.zeros(len(units.data) + len(n), np.int32)
-    own = np.repeat(np.arange(len(n)), n)
+    own = np.repeat(np.arange(len(n), dtype=np.int32), n)
     text[np.arange(len(units.data)) + own] = units.data.astype(np.int32) + 1
     sa = suffix_array(text, 257)
-    left = np.zeros(len(text), np.int64)  # bytes of the text from here on
-    left[np.arange(len(units.data)) + own] = units.offsets[1:][own] - np.arange(len(units.data))
-    document = np.append(np.repeat(least, n + 1), 0)[: len(text)]
+    left = np.zeros(len(text), np.int32)  # bytes of the text from here on
+    left[np.arange(len(units.data)) + own] = np.repeat(units.offsets[1:].astype(np.int32), n) - np.arange(len(units.data), dtype=np.int32)
+    piece = np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
     long = sa[left[sa] >= window]
     shared = common_prefixes((text & 0xFF).astype(np.uint8), long, window)
     # suffixes with one such prefix are neighbours, and nothing stands between them
     group = np.cumsum(np.append(True, shared[long[1:]] < window)) - 1 if len(long) else np.empty(0, np.int64)
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(long) else np.empty(0, np.int64)
-    lowest = np.minimum.reduceat(document[long], starts) if len(long) else np.empty(0, np.int64)
+    lowest = np.minimum.reduceat(least[piece[long]], starts) if len(long) else np.empty(0, np.int64)
     out = np.zeros(len(text), np.int64)
     out[long] = lowest[group]
     return out[left >= window]
 
 
-def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay) for each row of docs."""
+def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept_bytes: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes that stay) for each row of docs."""
     search = repeats.Search(repeats.byte_units, length, gram, 1.0)
     blobs, look = repeats.searched(docs, search, first_documents, np.int64)
 
@@ -73,6 +73,8 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                 data, stays = units.data, ~gone
                 kept = [data[a:b][stays[a:b]].tobytes() for a, b in zip(units.offsets[:-1], units.offsets[1:], strict=True)]
                 digest = [sha256(k).hexdigest() for k in kept]
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.astype(np.int64)) for x in (n, *per)), pa.array(digest), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                columns = [ids, *(pa.array(x.astype(np.int64)) for x in (n, *per)), pa.array(digest, pa.string())]
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary())] if kept_bytes else columns, [*names, "kept"] if kept_bytes else names)
 
-    return blobs.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return blobs.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_bytes)
