@@ -76,11 +76,11 @@ def _named(text: np.ndarray, is_lms: np.ndarray, lms: np.ndarray, sorted_lms: np
 def packed_words(text: np.ndarray, beyond: int) -> np.ndarray:
     """For each position of a byte string, and ``beyond`` more, the eight bytes from there on as one integer; zeros follow the end."""
     n = len(text) + beyond
-    raw = np.concatenate([text, np.zeros(beyond + 8, np.uint8)])
-    packed = np.zeros(n, np.uint64)
-    for k in range(8):
-        packed |= raw[k : k + n].astype(np.uint64) << np.uint64(8 * k)
-    return packed
+    packed = np.zeros(n + 8, np.uint64)
+    packed[: len(text)] = text
+    for step in (1, 2, 4):  # two, four, eight bytes
+        packed[:-step] |= packed[step:] << np.uint64(8 * step)
+    return packed[:n]
 
 
 def _spread(sa: np.ndarray, text: np.ndarray, found: np.ndarray, edge: np.ndarray, step: int) -> None:
