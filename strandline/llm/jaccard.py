@@ -1,7 +1,7 @@
 """Exact Jaccard self-join on word shingles with vertical partitioning.
 
-The global order puts shingles of one set alone first and those that several
-sets have last, by hash among equals. Documents of one shingle set are one class. A
+The global order puts shingles of one document alone first and those that several
+documents have last, by hash among equals. Documents of one shingle set are one class. A
 class is a candidate by the first shingles of its set in that order, its
 prefix, of which two similar sets share one at least. Candidates that hang
 together by shared prefix shingles are laid out side by side in blocks, and
@@ -63,7 +63,7 @@ def _class_keys(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
 
 
 def _shared_order(hashes: np.ndarray, of: np.ndarray, flags: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """The global order within each text: shingles of one set alone first, then by hash."""
+    """The global order within each text: shingles of one document alone first, then by hash."""
     common = flags[np.searchsorted(names, hashes >> np.uint64(64 - packs.KEY_BITS))]
     return np.argsort(of * 2 + common, kind="stable"), common  # they are in order of hash
 
@@ -89,14 +89,12 @@ def _described(bits: int, words: int, percent: int):
 
 
 def described(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """For each row of docs: doc_id, n_shingles, key1, key2 (of its set), prefix (its prefix's shingles that several sets may have), text if there are any."""
+    """For each row of docs: doc_id, n_shingles, key1, key2 (of its set), prefix (its prefix's shingles that several documents may have), text if there are any."""
 
     def keys_of(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        hashes, first = shingle_sets(texts, words)
-        own = (_class_keys(hashes, first)[0].view(np.uint64) % np.uint64(packs.REPEATS)).astype(np.uint8)
-        return packs.distinct(hashes, np.repeat(own, np.diff(first)))
+        return packs.distinct(shingle_sets(texts, words)[0])
 
-    flagged, bits = packs.repeated(packs.packed(docs), keys_of, 0.2, by_extra=True)
+    flagged, bits = packs.repeated(packs.packed(docs), keys_of, 0.2)
     return stored(flagged.mapInArrow(_described(bits, words, percent), "doc_id long, n_shingles long, key1 long, key2 long, prefix array<long>, text binary"))
 
 

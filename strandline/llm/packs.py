@@ -80,18 +80,12 @@ def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, pa.Array, int
         yield batch.column("blob")[i].as_py(), batch.column("ids")[i].values, batch.column("texts")[i].values, i
 
 
-def distinct(keys: np.ndarray, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, cut to KEY_BITS, and the extra byte of each; REPEATS if it occurs with several (without extras: more than once)."""
-    keys = keys >> np.uint64(64 - KEY_BITS)
-    order = np.argsort(keys)
-    keys = keys[order]
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, cut to KEY_BITS, and the extra byte of each; REPEATS if it occurs more than once."""
+    keys = np.sort(keys >> np.uint64(64 - KEY_BITS))
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    if extra is None:
-        many = np.diff(np.append(first, len(keys))) > 1
-        return keys[first], np.where(many, REPEATS, 0).astype(np.uint8)
-    extra = extra[order]
-    low, high = (f.reduceat(extra, first) if len(first) else extra for f in (np.minimum, np.maximum))
-    return keys[first], np.where(low == high, low, REPEATS).astype(np.uint8)
+    many = np.diff(np.append(first, len(keys))) > 1
+    return keys[first], np.where(many, REPEATS, 0).astype(np.uint8)
 
 
 def _bounds(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -111,11 +105,10 @@ def _decoded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64), planes[-1]
 
 
-def repeated(blobs: DataFrame, keys_of: Callable, keys_per_byte: float, by_extra: bool = False) -> tuple[DataFrame, int]:
+def repeated(blobs: DataFrame, keys_of: Callable, keys_per_byte: float) -> tuple[DataFrame, int]:
     """blobs with flags: which of their distinct keys may occur elsewhere too; and the number of bits of a bucket's number.
 
-    keys_of(ids, texts) gives a blob's keys and extras as distinct() does. With by_extra, a key in two blobs counts only if
-    its extra bytes differ.
+    keys_of(ids, texts) gives a blob's keys and extras as distinct() does.
     """
     total = blobs.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.coalesce(F.octet_length(t), F.lit(0))))).first()[0] or 0
     bits = max(2, int(np.ceil(np.log2(max(1, total * keys_per_byte / BUCKET_KEYS)))))
@@ -138,7 +131,7 @@ def repeated(blobs: DataFrame, keys_of: Callable, keys_per_byte: float, by_extra
         ordered, own = keys[order], extra[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         high = np.maximum.reduceat(own, first)
-        many = np.minimum.reduceat(own, first) != high if by_extra else np.diff(np.append(first, len(own))) > 1
+        many = np.diff(np.append(first, len(own))) > 1
         flags = np.empty(len(keys), bool)
         flags[order] = np.repeat(many | (high == REPEATS), np.diff(np.append(first, len(own))))
         bits_of = [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1])]

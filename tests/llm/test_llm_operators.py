@@ -290,6 +290,19 @@ def test_jaccard_components(spark, monkeypatch, block, fragment):
     assert found == brute_components(docs, 4, 85)
 
 
+def test_jaccard_links_sets_whose_keys_agree_in_a_byte(spark):
+    def key(text):
+        hashes, first = jaccard.shingle_sets(pa.array([text]))
+        return int(jaccard._class_keys(hashes, first)[0].view(np.uint64)[0]) % 255
+
+    base = " ".join(f"w{k}" for k in range(60))
+    near = next(text for i in range(100_000) if key(text := f"{base} x{i}") == key(base))
+    docs = [(1, base), (2, near), (3, "other words that nobody has")]
+    for parts in (1, 3):  # in one blob, and in several
+        found = Counter(tuple(r) for r in jaccard.join(documents(spark, docs).repartition(parts)).collect())
+        assert found == brute_components(docs, 4, 85)
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.join(documents(spark, [(1, "a")]).limit(0)).count() == 0
     assert [tuple(r) for r in jaccard.join(documents(spark, [(1, None)])).collect()] == [(1, 0, 1)]
