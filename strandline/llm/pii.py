@@ -39,11 +39,22 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-LOGIN = re.compile(r"([^\s/@:?#]{1,256}+:[^\s/@?#]{1,256}+)@")
+LOGIN = re.compile(r"([^\s/@:?#]++:[^\s/@?#]++)@")
 MASKED_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}+(?:(?:\.| ?[(\[]dot[)\]] ?)[A-Za-z0-9-]{1,63}+)++", re.IGNORECASE)
-IBAN = re.compile(r"[ :#]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+IBAN = re.compile(r"[ :#]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    country: int(length)
+    for length, countries in (x.split(":") for x in (
+        "15:NO", "16:BE", "18:DK FI FO GL NL", "19:MK SI", "20:AT BA EE KZ LT LU XK", "21:CH HR LI LV", "22:BG BH CR DE GB GE IE ME RS VA",
+        "23:AE GI IL IQ TL", "24:AD CZ ES MD PK RO SA SE SK TN VG", "25:LY PT ST", "26:IS TR", "27:FR GR IT MC MR SM", "28:AL AZ BY CY DO GT HU LB PL SV",
+        "29:BR EG PS QA UA", "30:JO KW MU", "31:MT SC", "32:LC",
+    ))
+    for country in countries.split()
+}
 NATIONAL = re.compile(r"[ :#]{0,4}((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9])")
-SECRET = re.compile(r"[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9_+/=.~-]{16,512})")
+SECRET_CUE = re.compile(r"[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?")
+SECRET = re.compile(r"[A-Za-z0-9_+/=.~-]{16,}+")
 CUES = {
     "://": "login",
     **{f"{a}at{b}": "masked" for a, b in ("()", "[]", ("( ", " )"))},
@@ -78,6 +89,13 @@ def valid_iban(text: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int:
+    """Where the IBAN from start on ends, at most at end: at its country's length or else as far as may be, on a boundary and with valid check digits; start without one."""
+    ends = [e for e in range(end, start, -1) if text[e - 1] != " " and not (text[e : e + 1].isascii() and text[e : e + 1].isalnum())]
+    ends.sort(key=lambda e: len(text[start:e].replace(" ", "")) != IBAN_LENGTHS.get(text[start : start + 2]))
+    return next((e for e in ends if valid_iban(text[start:e])), start)
+
+
 def local_start(text: str, end: int, least: int) -> int:
     while end > least and text[end - 1] in LOCAL_CHARS:
         end -= 1
@@ -89,9 +107,9 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]
     spans: list[tuple[int, int, int]] = []
     done = dict.fromkeys(KINDS, 0)  # where the last match of a kind ended
 
-    def expand(kind: str, pattern: re.Pattern, at: int, valid=lambda x: True) -> None:
+    def expand(kind: str, pattern: re.Pattern, at: int) -> None:
         m = pattern.match(text, at)
-        if m and m.start(1) >= done[kind] and valid(m[1]):
+        if m and m.start(1) >= done[kind]:
             done[kind] = m.end(1)
             spans.append((m.start(1), KINDS.index(kind), m.end(1)))
 
@@ -130,11 +148,18 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]
                 done["masked"] = m.end()
                 spans.append((start, 5, m.end()))
         elif kind == "account":
-            expand("account", IBAN, last + 1, valid_iban)
+            m = IBAN.match(text, last + 1)
+            if m and m.start(1) >= done["account"] and (end := iban_end(text, m.start(1), m.end(1))) > m.start(1):
+                done["account"] = end
+                spans.append((m.start(1), KINDS.index("account"), end))
         elif kind == "national":
             expand("national", NATIONAL, last + 1)
         else:
-            expand("secret", SECRET, last + 1, lambda x: re.search("[0-9]", x) and re.search("[A-Za-z]", x))
+            cue = SECRET_CUE.match(text, last + 1)
+            if cue and cue.end() >= done["secret"] and (m := SECRET.match(text, cue.end())):
+                done["secret"] = m.end()  # what is no secret as a whole has none at its end
+                if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+                    spans.append((m.start(), KINDS.index("secret"), m.end()))
     spans.sort()
     return spans
 

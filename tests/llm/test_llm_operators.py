@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -126,6 +127,24 @@ def test_personal_data_of_the_method_and_redaction(spark):
     assert pii.digest(docs).filter(F.col("base_sha256") == empty).count() == 3
 
 
+def test_personal_data_has_its_whole_length():
+    anchors = pii.automaton()
+    iban = "DE89 3704 0044 0532 0130 00"
+    for text, kind, value in (
+        (f"IBAN: {iban} BIC COBADEFFXXX", "account", iban),
+        (f"IBAN {iban} 12345 or so", "account", iban),
+        (f"IBAN {iban} ASAP.", "account", iban),
+        (f"token={'a1' * 3000} end", "secret", "a1" * 3000),
+        (f"https://{'u' * 300}:{'p' * 300}@host/x", "login", f"{'u' * 300}:{'p' * 300}"),
+    ):
+        assert [text[a:b] for a, k, b in pii.find(text, anchors) if pii.KINDS[k] == kind] == [value], text[:60]
+    assert not pii.find("IBAN: DE88 3704 0044 0532 0130 00 BIC", anchors)
+    began = time.process_time()
+    for text in ("token=" * 100_000, "token=1" * 100_000, "://a:" * 100_000, "IBAN DE89" * 50_000):
+        pii.find(text, anchors)
+    assert time.process_time() - began < 20
+
+
 def test_mix_takes_targets(spark):
     docs = documents(spark, awkward())
     rows = mixing.taken(docs, seed=3).collect()
