@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandline.llm.tables import drop_stored, stored
@@ -18,20 +18,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return own.filter(F.col("a") > F.col("b")).distinct()
 
 
+def _stored(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges as a stored table, and what tells such a table from another, observed as it is written."""
+    seen = Observation()
+    return stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31))).alias("s"))), seen.get
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component: the smallest node reachable, for all nodes of edges (a, b) of long ids.
 
     A node's edges are never gathered: each round is an aggregate and a join that Spark may split where a centre is hot.
     Each round is stored, so that lost executors cost one round at most.
     """
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") > F.col("b")).distinct())
+    now, state = _stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") > F.col("b")).distinct())
     last = None
-    while True:
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))).first()
-        if state == last:
-            break
-        last = state
-        before, now = now, stored(_star(_star(now, True), False))
+    while state != last:
+        before, last = now, state
+        now, state = _stored(_star(_star(now, True), False))
         drop_stored(before)
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

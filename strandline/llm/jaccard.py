@@ -4,27 +4,38 @@ The global order puts shingles of one document alone first and those that severa
 documents have last, by hash among equals. Documents of one shingle set are one class. A
 class is a candidate by the first shingles of its set in that order, its
 prefix, of which two similar sets share one at least. Candidates that hang
-together by shared prefix shingles are laid out side by side in blocks, and
-each pair of blocks that shares prefix shingles is one task. There the global
-order is cut into fragments; overlaps are counted fragment by fragment, summed
-per pair, and pairs that can't reach the threshold any more drop out. A task
-returns no more links than it needs to connect what it found to be linked.
+together by shared prefix shingles are laid out side by side in blocks.
+
+The global order is cut into ``FRAGMENTS`` ranges. What two blocks have in one
+range is one task, which counts the partial overlaps of their sets; these
+counts go on by pair of blocks, where they are summed and held against the
+threshold. Shingles of one document alone overlap with nothing and aren't sent.
+A pair of blocks returns no more links than it needs to connect what it found
+to be linked.
+
+Each block is compared with itself first. The smallest members of what is then
+connected are laid out and compared alone, as long as that halves them; so a
+large group of near copies shrinks by a block's size at each turn. Pairs of
+blocks come last, and only of those documents that share a prefix shingle with
+one they aren't connected with yet.
 
 No list of a shingle's documents is ever built, and classes, links and
 components stay in Spark. Nothing is broadcast by the operator.
 
 Edge cases: null, empty and wordless texts have an empty set and link with
-nothing; a null doc_id gets its n_shingles and no component; rows that share a
-doc_id are one node with all their links; other columns are ignored.
+nothing; an empty table gives no rows; a null doc_id gets its n_shingles and no
+component; rows that share a doc_id are one node with all their links; very long
+texts take a block alone, about 150 bytes of memory for each of theirs; other
+columns are ignored. Shingles are equal when their 64-bit hashes are.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +49,10 @@ PERCENT = 85
 #: A block has at most so many sets, and so many shingles unless one set has more.
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 16
-FRAGMENT = 2_048
+#: Ranges that the global order is cut into; a power of two.
+FRAGMENTS = 4
+#: Shingles of a range that one dense product takes at once.
+COLUMNS = 2_048
 
 
 def shingle_sets(texts: pa.Array | pa.ChunkedArray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -82,41 +96,21 @@ def _described(bits: int, words: int, percent: int):
                 prefix = (np.arange(len(hashes)) - first[:-1][of] < length[of]) & common[order]
                 counts = np.bincount(of[prefix], minlength=len(n))
                 prefixes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(hashes[order][prefix].view(np.int64)))
-                kept = pc.if_else(pa.array(counts > 0), texts, pa.nulls(len(texts), pa.binary()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), *map(pa.array, keys), prefixes, kept], ["doc_id", "n_shingles", "key1", "key2", "prefix", "text"])
+                asked = common & (counts > 0)[of]
+                shared = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of[asked], minlength=len(n)))]).astype(np.int32)), pa.array(hashes[asked].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), *map(pa.array, keys), prefixes, shared], ["doc_id", "n_shingles", "key1", "key2", "prefix", "shared"])
 
     return run
 
 
 def described(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """For each row of docs: doc_id, n_shingles, key1, key2 (of its set), prefix (its prefix's shingles that several documents may have), text if there are any."""
+    """For each row of docs: doc_id, n_shingles, key1, key2 (of its set), prefix (its prefix's shingles that several documents may have), shared (all of those, if there is a prefix)."""
 
     def keys_of(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return packs.distinct(shingle_sets(texts, words)[0])
 
     flagged, bits = packs.repeated(packs.packed(docs), keys_of, 0.2)
-    return stored(flagged.mapInArrow(_described(bits, words, percent), "doc_id long, n_shingles long, key1 long, key2 long, prefix array<long>, text binary"))
-
-
-def linked(sizes: np.ndarray, columns: list[np.ndarray], rows: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (of left, of right) of sets that link. columns, rows: by fragment, shared shingles and their sets, as coordinates.
-
-    Partial overlaps are counted for each fragment and summed; a pair stays while what is left of both sets may suffice.
-    """
-    overlap = np.zeros((len(left), len(right)), np.float32)
-    need = percent / (100.0 + percent) * (sizes[left][:, None] + sizes[right][None, :])
-    remain = np.zeros(len(sizes))
-    for r in rows:
-        remain += np.bincount(r, minlength=len(sizes))
-    for c, r in zip(columns, rows, strict=True):
-        table = np.zeros((len(sizes), int(c.max(initial=-1)) + 1), np.float32)
-        table[r, c] = 1
-        overlap += table[left] @ table[right].T
-        remain -= np.bincount(r, minlength=len(sizes))
-        if not (overlap + np.minimum(remain[left][:, None], remain[right][None, :]) >= need - 1e-6).any():
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-    union = sizes[left][:, None] + sizes[right][None, :] - overlap
-    return np.nonzero(100 * overlap >= percent * union)
+    return stored(flagged.mapInArrow(_described(bits, words, percent), "doc_id long, n_shingles long, key1 long, key2 long, prefix array<long>, shared array<long>"))
 
 
 class Forest:
@@ -137,73 +131,166 @@ class Forest:
         return i != j
 
 
-def _verified(words: int, percent: int):
+def _cut(fragments: int):
+    names = ["doc_id", "n_shingles", "left", "right", "side"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each range of the global order, with the shingles that the set has there; empty ones too."""
+        for batch in batches:
+            lists = batch.column("shared")
+            values = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+            part = (values.to_numpy().view(np.uint64) >> np.uint64(65 - fragments.bit_length())).astype(np.int64)
+            ends = np.cumsum(np.bincount(row * fragments + part, minlength=batch.num_rows * fragments))
+            segments = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
+            again = pa.array(np.repeat(np.arange(batch.num_rows), fragments))
+            fragment = pa.array(np.tile(np.arange(fragments, dtype=np.int32), batch.num_rows))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(again) for c in names), fragment, segments], [*names, "fragment", "segment"])
+
+    return run
+
+
+def _partial(key: tuple, table: pa.Table) -> pa.Table:
+    """How many shingles of one range each set of the left block shares with each of the right one (or of the left, if there is no other)."""
+    table = table.sort_by([("side", "ascending"), ("doc_id", "ascending")])
+    ids, sizes, side = (table.column(c).to_numpy() for c in ("doc_id", "n_shingles", "side"))
+    lists = table.column("segment").combine_chunks()
+    row = np.repeat(np.arange(len(ids)), np.asarray(lists.value_lengths()))
+    _, column, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    rank = np.where(times > 1, np.cumsum(times > 1) - 1, -1)
+    column = rank[column]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    n_left = int((side == 0).sum())
+    left, right = (slice(0, n_left), slice(n_left, None)) if n_left < len(ids) else (slice(None), slice(None))
+    overlap = np.zeros((len(ids[left]), len(ids[right])), np.float32)
+    for first in range(0, int(rank.max(initial=-1)) + 1, COLUMNS):
+        own = slice(*np.searchsorted(column, [first, first + COLUMNS]))
+        has = np.zeros((len(ids), COLUMNS), np.float32)
+        has[row[own], column[own] - first] = 1
+        overlap += has[left] @ has[right].T
+    counts = zlib.compress(overlap.astype(np.uint32).tobytes(), 1) if overlap.any() else b""
+    told = key[2].as_py() == 0  # ids and sizes once for each pair of blocks
+    row_of = {"left": key[0].as_py(), "right": key[1].as_py(), "n_left": n_left, "ids": ids.astype(np.int64).tobytes() if told else b"", "sizes": sizes.astype(np.int64).tobytes() if told else b"", "counts": counts}
+    return pa.table({"left": pa.array([row_of["left"]], pa.int64()), "right": pa.array([row_of["right"]], pa.int64()), "n_left": pa.array([n_left], pa.int32()), **{c: pa.array([row_of[c]], pa.binary()) for c in ("ids", "sizes", "counts")}})
+
+
+def _summed(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        hashes, first = shingle_sets(table.column("text"), words)
-        ids, label, side = (table.column(c).to_numpy() for c in ("doc_id", "label", "side"))
-        n = np.diff(first)
-        of = np.repeat(np.arange(len(n)), n)
-        forest, found = Forest(len(ids)), []
-        by_label = np.argsort(label, kind="stable")
-        for own in np.split(by_label, np.flatnonzero(np.diff(label[by_label])) + 1):
-            left, right = np.flatnonzero(side[own] == 0), np.flatnonzero(side[own] == 1)
-            if not len(right):
-                right = left
-            if len(own) < 2 or not len(left):
-                continue
-            place = np.concatenate([np.arange(first[i], first[i + 1]) for i in own])
-            row = np.repeat(np.arange(len(own)), n[own])
-            names, column, times = np.unique(hashes[place], return_inverse=True, return_counts=True)
-            order = np.argsort(times, kind="stable")  # rare ones first
-            order = order[times[order] > 1]
-            rank = np.full(len(names), -1)
-            rank[order] = np.arange(len(order))
-            column, shared = rank[column], rank[column] >= 0
-            column, row = column[shared], row[shared]
-            cut = column // FRAGMENT
-            fragments = [cut == k for k in range(-(-len(order) // FRAGMENT))]
-            a, b = linked(n[own].astype(np.float64), [column[k] % FRAGMENT for k in fragments], [row[k] for k in fragments], left, right, percent)
-            found += [(own[i], own[j]) for i, j in zip(left[a], right[b], strict=True) if i != j and forest.join(int(own[i]), int(own[j]))]
-        pairs = np.array(found, np.int64).reshape(-1, 2)
+        ids, sizes = (np.frombuffer(b"".join(x.as_py() for x in table.column(c)), np.int64) for c in ("ids", "sizes"))
+        n_left = table.column("n_left")[0].as_py()
+        shift = n_left if n_left < len(ids) else 0
+        left, right = np.arange(n_left), np.arange(shift, len(ids))
+        overlap = np.zeros((len(left), len(right)), np.int64)
+        for counts in table.column("counts"):
+            if counts.as_py():
+                overlap += np.frombuffer(zlib.decompress(counts.as_py()), np.uint32).reshape(overlap.shape)
+        union = sizes[left][:, None] + sizes[right][None, :] - overlap
+        a, b = np.nonzero((overlap > 0) & (100 * overlap >= percent * union))
+        forest = Forest(len(ids))
+        pairs = np.array([(i, j) for i, j in zip(a.tolist(), (b + shift).tolist(), strict=True) if i != j and forest.join(i, j)], np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(ids[pairs[:, 0]], pa.int64()), "b": pa.array(ids[pairs[:, 1]], pa.int64())})
 
     return run
 
 
-def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition in blocks of at most BLOCK_SHINGLES shingles, or one set; block holds the partition's number before."""
-    number, held, docs = 0, 0, 0
-    for batch in batches:
-        block = []
-        for n, part in zip(batch.column("n_shingles").to_pylist(), batch.column("block").to_pylist(), strict=True):
-            if docs and (held + n > BLOCK_SHINGLES or docs == BLOCK):
-                number, held, docs = number + 1, 0, 0
-            held, docs = held + n, docs + 1
-            block.append((part << 32) + number)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_shingles", "label")), pa.array(block, pa.int64())], ["doc_id", "n_shingles", "label", "block"])
+def compared(sets: DataFrame, work: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what links; work: doc_id, left, right (blocks) and side (0 in the left one, 1 in the right one)."""
+    cut = sets.select("doc_id", "n_shingles", "shared").join(work, "doc_id").mapInArrow(_cut(FRAGMENTS), "doc_id long, n_shingles long, left long, right long, side int, fragment int, segment array<long>")
+    partial = cut.groupBy("left", "right", "fragment").applyInArrow(_partial, "left long, right long, n_left int, ids binary, sizes binary, counts binary")
+    return stored(partial.groupBy("left", "right").applyInArrow(_summed(percent), "a long, b long"))
+
+
+def _blocked(most: int):
+    names = ["doc_id", "n_shingles", "label"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a partition in blocks of at most BLOCK_SHINGLES shingles, or one set; a label that fits in a block isn't cut.
+
+        block holds the partition's number before.
+        """
+        number, held, docs, last = 0, 0, 0, None
+        for batch in batches:
+            block = []
+            columns = (batch.column(c).to_pylist() for c in ("n_shingles", "label", "of_label", "docs_of_label", "block"))
+            for n, label, all_, all_docs, part in zip(*columns, strict=True):
+                fits = all_ <= BLOCK_SHINGLES and all_docs <= most
+                more, more_docs = (all_, all_docs) if label != last and fits else (n, 1)
+                if docs and (held + more > BLOCK_SHINGLES or docs + more_docs > most):
+                    number, held, docs = number + 1, 0, 0
+                held, docs, last = held + n, docs + 1, label
+                block.append((part << 32) + number)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(block, pa.int64())], [*names, "block"])
+
+    return run
+
+
+def blocks_of(placed: DataFrame) -> DataFrame:
+    """placed (doc_id, n_shingles, label) with block: neighbours by label and size."""
+    order = ["label", "n_shingles", "doc_id"]
+    sizes = placed.groupBy("label").agg(F.sum("n_shingles").alias("of_label"), F.count("*").alias("docs_of_label"))
+    ordered = placed.join(sizes, "label").repartitionByRange(max(1, placed.count() // (16 * BLOCK)), *order).sortWithinPartitions(*order)
+    return stored(ordered.withColumn("block", F.shiftright(F.monotonically_increasing_id(), 33)).mapInArrow(_blocked(BLOCK), "doc_id long, n_shingles long, label long, block long"))
+
+
+def _within(blocks: DataFrame) -> DataFrame:
+    """Work that compares each block with itself."""
+    return blocks.select("doc_id", F.col("block").alias("left"), F.col("block").alias("right"), F.lit(0).alias("side"))
+
+
+def _wide(blocks: DataFrame) -> DataFrame:
+    """Labels of more than one block."""
+    return stored(blocks.groupBy("label").agg(F.min("block").alias("low"), F.max("block").alias("high")).filter("low < high").select("label"))
+
+
+def _grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (doc_id, ...) with the component that the edges put the document in; itself without any."""
+    label = components(edges)
+    return stored(rows.join(label, rows["doc_id"] == label["node"], "left").select(*rows.columns, F.coalesce("component", "doc_id").alias("component")))
 
 
-def links(sets: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) that connect all that link, between the rows of sets (as described() gives, of one document for each set)."""
-    rows = sets.filter(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "doc_id")
+    rows = sets.filter(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "doc_id", "n_shingles")
     shared = stored(rows.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other")).filter(F.col("hub") != F.col("other")).drop("other"))
     near = stored(rows.join(shared, "token"))
-    label = components(near.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
-    placed = sets.join(label, sets["doc_id"] == label["node"]).select("doc_id", "n_shingles", F.col("component").alias("label"))
-    n = placed.count()
-    ordered = placed.repartitionByRange(max(1, n // (16 * BLOCK)), "label", "n_shingles", "doc_id").sortWithinPartitions("label", "n_shingles", "doc_id")
-    blocks = stored(ordered.withColumn("block", F.shiftright(F.monotonically_increasing_id(), 33)).mapInArrow(_blocked, "doc_id long, n_shingles long, label long, block long"))
-    # pairs of blocks: each with itself, and those that share a prefix shingle and sizes that may link
-    wide = blocks.groupBy("label").agg(F.min("block").alias("low"), F.max("block").alias("high")).filter("low < high").select("label")
-    in_wide = blocks.join(wide, "label", "left_semi")
-    tokens = near.join(in_wide, "doc_id").groupBy("token", "label", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    # each document hangs on its smallest hub, and its other hubs hang on that one: few pairs, as copies have the same hubs
+    first = near.groupBy("doc_id").agg(F.min("hub").alias("first"))
+    hubs = near.select("doc_id", "hub").join(first, "doc_id").select(F.col("hub").alias("a"), F.col("first").alias("b")).distinct()
+    label = components(first.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).unionByName(hubs))
+    placed = stored(sets.join(label, sets["doc_id"] == label["node"]).select("doc_id", "n_shingles", F.col("component").alias("label")))
+    blocks = blocks_of(placed)
+    edges = compared(sets, _within(blocks), percent)
+    wide = _wide(blocks)
+    if wide.isEmpty():
+        return edges
+    # the smallest members of what is connected, alone, as long as that halves them
+    members = blocks.join(wide, "label", "left_semi").drop("block")
+    grouped = _grouped(members, edges)
+    left = grouped.filter("doc_id = component").count()
+    while True:
+        again = blocks_of(grouped.filter("doc_id = component"))
+        edges = edges.unionByName(compared(sets, _within(again), percent))
+        grouped = _grouped(members, edges)
+        before, left = left, grouped.filter("doc_id = component").count()
+        if 2 * left > before:
+            break
+    # those that share a prefix shingle with one that they aren't connected with
+    open_ = near.join(grouped.select("doc_id", "label", "component"), "doc_id")
+    split = stored(open_.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token"))
+    open_ = stored(open_.join(split, "token"))
+    if open_.isEmpty():
+        return edges
+    last = blocks_of(open_.select("doc_id", "n_shingles", "label").distinct())
+    tokens = open_.select("token", "doc_id", "component").join(last, "doc_id").groupBy("token", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.min("component").alias("low"), F.max("component").alias("high"))
     i, j = tokens.alias("i"), tokens.alias("j")
     may = (F.col("i.token") == F.col("j.token")) & (F.col("i.block") < F.col("j.block")) & (F.col("i.most") * 100 >= F.col("j.least") * percent) & (F.col("j.most") * 100 >= F.col("i.least") * percent)
-    pairs = i.join(j, may).select(F.col("i.label").alias("label"), F.col("i.block").alias("left"), F.col("j.block").alias("right")).distinct()
-    sides = pairs.select("label", F.col("left").alias("block"), "left", "right", F.lit(0).alias("side")).unionByName(pairs.select("label", F.col("right").alias("block"), "left", "right", F.lit(1).alias("side")))
-    work = blocks.join(sides, ["label", "block"]).select("doc_id", "label", "left", "right", "side").unionByName(blocks.select("doc_id", "label", F.col("block").alias("left"), F.col("block").alias("right"), F.lit(0).alias("side")))
-    candidates = sets.select("doc_id", "text").join(work, "doc_id")
-    return candidates.groupBy("left", "right").applyInArrow(_verified(words, percent), "a long, b long")
+    may &= (F.least("i.low", "j.low") < F.greatest("i.high", "j.high"))
+    pairs = stored(i.join(j, may).select(F.col("i.block").alias("left"), F.col("j.block").alias("right")).distinct())
+    sides = pairs.select(F.col("left").alias("block"), "left", "right", F.lit(0).alias("side")).unionByName(pairs.select(F.col("right").alias("block"), "left", "right", F.lit(1).alias("side")))
+    across = last.join(sides, "block").select("doc_id", "left", "right", "side")
+    return edges.unionByName(compared(sets, _within(last).unionByName(across), percent))
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -213,7 +300,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     named = sets.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = stored(named.groupBy(*key).agg(F.min("doc_id").alias("rep")))
     chosen = named.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").filter(F.size("prefix") > 0)
-    edges = links(stored(chosen.dropDuplicates([*key, "doc_id"])), words, percent)
+    edges = links(stored(chosen.dropDuplicates([*key, "doc_id"])), percent)
     # rows of one doc_id are one node
     same = named.join(classes, key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     twice = same.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).filter("b <> c")

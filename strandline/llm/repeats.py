@@ -63,16 +63,15 @@ def word_units(texts: pa.Array) -> Units:
 
 @dataclass
 class Runs:
-    """Runs of windows: anchor hash, piece hash, text, first unit of the first window, number of windows."""
+    """Runs of windows: anchor hash, text, first unit of the first window, number of windows."""
 
     anchor: np.ndarray
-    piece: np.ndarray
     text: np.ndarray
     start: np.ndarray
     n: np.ndarray
 
     def chosen(self, keep: np.ndarray) -> Runs:
-        return Runs(*(x[keep] for x in (self.anchor, self.piece, self.text, self.start, self.n)))
+        return Runs(*(x[keep] for x in (self.anchor, self.text, self.start, self.n)))
 
 
 def runs_of(units: Units, window: int, gram: int) -> Runs:
@@ -80,7 +79,7 @@ def runs_of(units: Units, window: int, gram: int) -> Runs:
     n = len(units.hashes)
     nothing = np.empty(0, np.int64)
     if n < window:
-        return Runs(nothing.view(np.uint64), nothing.view(np.uint64), nothing, nothing, nothing)
+        return Runs(nothing.view(np.uint64), nothing, nothing, nothing)
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(units.hashes * up[:-1], out=sums[1:])
@@ -103,10 +102,8 @@ def runs_of(units: Units, window: int, gram: int) -> Runs:
     start = np.flatnonzero(new)
     at = np.flatnonzero(valid)
     count = np.diff(np.append(np.searchsorted(at, start), len(at)))
-    end = start + count - 1 + window
-    piece = mix((sums[end] - sums[start]) * down[start] + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     anchor = mix(grams[pick[start]])  # lowest hashes are low: mixed again they fill shards evenly
-    return Runs(anchor, piece, text[start].astype(np.int64), start, count)
+    return Runs(anchor, text[start].astype(np.int64), start, count)
 
 
 def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -116,11 +113,12 @@ def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return data[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
 
 
-def distinct_pieces(runs: Runs, shard_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of the distinct pieces by (shard, piece hash); the shard of each; and for each run the number of its piece."""
+def distinct_pieces(units: Units, runs: Runs, window: int, shard_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of the distinct pieces by (shard, hash of the piece's bytes); the shard of each; and for each run the number of its piece."""
     shard = (runs.anchor >> np.uint64(64 - shard_bits)).astype(np.int64)
-    order = np.lexsort((runs.piece, shard))
-    a, b = shard[order], runs.piece[order]
+    piece = range_hashes(units.data, *units.bytes_of(runs.start, runs.start + runs.n + window - 2))
+    order = np.lexsort((piece, shard))
+    a, b = shard[order], piece[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(order) else np.empty(0, bool)
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
@@ -181,7 +179,7 @@ def searched(docs: DataFrame, search: Search, shard: Callable, value_type: type)
                 units, runs = search.flagged_runs(texts, batch.column("flags")[i].as_py(), bits)
                 if not len(runs.start):
                     continue
-                first, shards, number = distinct_pieces(runs, shard_bits)
+                first, shards, number = distinct_pieces(units, runs, search.window, shard_bits)
                 times = np.bincount(number, minlength=len(first)).astype(np.int64)
                 own = ids_of(ids)[runs.text][np.argsort(number, kind="stable")]
                 least = np.minimum.reduceat(own, np.cumsum(times) - times)
@@ -226,7 +224,7 @@ def searched(docs: DataFrame, search: Search, shard: Callable, value_type: type)
         units, runs = search.flagged_runs(texts, batch.column("flags")[i].as_py(), bits)
         parts = batch.column("answers")[i].as_py() or []
         values = np.concatenate([np.empty(0, value_type), *(np.frombuffer(x["values"], value_type) for x in parts)])
-        first, _, number = distinct_pieces(runs, shard_bits)
+        first, _, number = distinct_pieces(units, runs, search.window, shard_bits)
         windows = runs.n[first]
         place = np.cumsum(windows) - windows
         return units, runs, gathered(values, place[number], place[number] + runs.n)

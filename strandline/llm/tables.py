@@ -14,8 +14,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a folder beside the warehouse."""
+    """spark.checkpoint.dir of the session; where it is unset in local mode, as in tests, a folder beside the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
 
 

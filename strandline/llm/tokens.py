@@ -8,11 +8,14 @@ at most ``CHUNK`` bytes plus 16 bytes a word, whatever the number of documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
+#: Ranges of more bytes are hashed one by one.
+LONG = 1024
 #: An odd multiplier, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -89,32 +92,46 @@ def word_ranges(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = S
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each range; starts and ends ascend."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))
-        low, high = int(starts[i]), int(ends[j - 1])
-        up, down = powers(high - low + 1)
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        a, b = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = (sums[b] - sums[a]) * down[a]
-        i = j
-    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of the bytes of each range.
+
+    Ranges of up to LONG bytes are mixed eight bytes at a time, each step depending on the one before, so that no
+    arrangement of bytes cancels out as it can in a polynomial modulo 2**64; longer ones get BLAKE2b.
+    """
+    sizes = ends - starts
+    out = mix((sizes.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each position on
+    long = sizes > LONG
+    active, done = np.flatnonzero((sizes > 0) & ~long), 0
+    while len(active):
+        left = sizes[active] - done
+        part = eight[starts[active] + done] & (~np.uint64(0) >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)))
+        out[active] = mix((out[active] ^ part) * np.uint64(BASE))
+        active, done = active[left > 8], done + 8
+    for i in np.flatnonzero(long).tolist():
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of two neighbours as one; the order of the two matters."""
+    return mix(left * np.uint64(BASE) + right)
 
 
 def window_hashes(items: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each n consecutive items (64-bit hashes)."""
+    """A hash of each n consecutive items (64-bit hashes), joined pair by pair with mixing at each level."""
     m = len(items) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(m, np.uint64)
-    factor = 1
-    for k in range(n):
-        factor = factor * BASE % (1 << 64)
-        out += items[k : k + m] * np.uint64(factor)
-    return mix(out)
+    out, taken, level, span = None, 0, items, 1
+    while True:
+        if n & span:
+            own = level[taken : taken + m]
+            out = own if out is None else _joined(out, own)
+            taken += span
+        if taken == n:
+            return mix(out + np.uint64(n))
+        level, span = _joined(level[:-span], level[span:]), span * 2
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import decontamination, fm_index, jaccard, language, mixing, ngram_lm, packs, pii, queries, repeats, substrings, suffixes, topk, toxicity
+from strandline.llm import decontamination, fm_index, jaccard, language, mixing, ngram_lm, packs, pii, queries, repeats, substrings, suffixes, tokens, topk, toxicity
 from strandline.llm.components import components
 from strandline.llm.tables import remainder
 
@@ -294,10 +294,10 @@ def brute_components(docs, n, percent):
     return Counter((i, len(s), None if i is None else root(i)) for i in sets for s in sets[i])
 
 
-@pytest.mark.parametrize(("block", "fragment"), [(256, 2048), (2, 8)])
-def test_jaccard_components(spark, monkeypatch, block, fragment):
+@pytest.mark.parametrize(("block", "fragments"), [(256, 4), (2, 16)])
+def test_jaccard_components(spark, monkeypatch, block, fragments):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "FRAGMENT", fragment)
+    monkeypatch.setattr(jaccard, "FRAGMENTS", fragments)
     rng = random.Random(8)
     docs = awkward()
     base = [f"v{k}" for k in range(80)]
@@ -366,3 +366,36 @@ def test_remainder_is_crc32(spark):
 
 def test_queries_are_complete():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 11))
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two strings of n letters whose polynomial hashes modulo 2**64 agree, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("length", [512, 1024, 2048, 4096])
+def test_words_are_told_apart(spark, length):
+    one, other = thue_morse(length)
+    line = [f"w{k}" for k in range(40)]
+    texts = [(1, " ".join([*line[:20], one, *line[20:]])), (2, " ".join([*line[:20], other, *line[20:]]))]
+    assert [r.n_removed for r in fm_index.removed(documents(spark, texts)).collect()] == [0, 0]
+    texts = [(1, f"{one} x y z"), (2, f"{other} x y z"), (3, f"{one} x y z"), (4, one), (5, other)]
+    assert {r.doc_id: r.component_id for r in jaccard.join(documents(spark, texts)).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_windows_are_told_apart():
+    one, other = (np.array([ord(c) for c in x], np.uint64) for x in thue_morse(64))
+    for n in (4, 5, 12, 32, 35):
+        hashes = np.concatenate([tokens.window_hashes(one, n), tokens.window_hashes(other, n)])
+        plain = [tuple(x[i : i + n]) for x in (one, other) for i in range(len(x) - n + 1)]
+        assert len(set(hashes.tolist())) == len(set(plain))
+
+
+def test_large_groups_are_linked(spark):
+    """Chains and groups over several blocks, whose ends share nothing."""
+    words = [f"v{k}" for k in range(2000)]
+    docs = [(k, " ".join(words[2 * k : 2 * k + 100])) for k in range(700)]
+    docs += [(5000 + k, " ".join([*words[1900:], f"u{k}", *words[1800:1900]])) for k in range(600)]
+    found = {r.doc_id: r.component_id for r in jaccard.join(documents(spark, docs)).collect()}
+    assert found == {i: 0 if i < 700 else 5000 for i, _ in docs}
