@@ -109,7 +109,7 @@ def described(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     def keys_of(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return packs.distinct(shingle_sets(texts, words)[0])
 
-    flagged, bits = packs.repeated(packs.packed(docs), keys_of, 0.2)
+    flagged, bits = packs.repeated(*packs.packed(docs), keys_of, 0.2)
     return stored(flagged.mapInArrow(_described(bits, words, percent), "doc_id long, n_shingles long, key1 long, key2 long, prefix array<long>, shared array<long>"))
 
 

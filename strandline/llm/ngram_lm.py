@@ -1,298 +1,214 @@
 """Scoring texts with a weighted backoff automaton.
 
-All training texts are counted: words first, then pairs of frequent words,
-then triples whose both pairs are kept. Kept n-grams, smoothed by absolute
-discounting, become states with arcs for the words that follow; every state
-has a failure arc to its longest proper suffix that carries the backoff
-weight. One traversal from left to right carries the state and adds up log10
-probabilities, so each text's probabilities sum to one over all texts.
-
-Unigrams are never cut: probability (c + 1) / (N + V + 1) for every word, where
-the rest for unseen words counts as one more. Words outside the broadcast part
-of the vocabulary are scored by a join with the full table of counts.
-
-Bounds, all parameters, for what is sent to every task: ``HEAD`` words,
-``CONTEXT_WORDS`` words that pairs are made of, ``PAIRS`` and ``TRIPLES``, each
-the most frequent ones counted over all training texts; entries with equal
-counts at such a limit are left out together. The automaton's size is thus
-fixed, and what it was counted from grows with the corpus.
+Words, pairs and triples of all training texts are counted, each of them
+whatever its count: documents lie in blobs, each blob sends the distinct
+n-grams of its texts to buckets of n-grams, where they are counted over the
+corpus, and gets the counts of its own ones back (packs.counted). What is
+gathered thus grows with the corpus, and no task or broadcast holds it whole.
+
+A blob's texts are scored by the part of the automaton that they can reach.
+N-grams with a count, smoothed by a Dirichlet prior from the next shorter
+n-gram, are states with arcs for the words that follow; every state has a
+failure arc to its longest proper suffix that carries the backoff weight. One
+traversal from left to right carries the state and adds up log10
+probabilities. Texts are traversed side by side, long ones in stretches: a
+state depends on two words at most, so that a stretch starts two words early
+from the root and then is in the state of the whole text's traversal.
+
+Probabilities: of a word alone (c + 1) / (N + V + 1), where all words without a
+count share one more; after a context h of one or two tokens
+(c(hw) + m p(w | shorter h)) / (c(h) + m), with m of ``PRIOR``. Over all
+continuations of any context they sum to one, and so over all texts.
+
+N-grams are equal when 62 bits of their hashes are. Memory is about 150 bytes
+for each byte of a blob, or of the longest text.
 
 Edge cases: a null text is empty and scores its end alone; with no training
-text every probability is that of an unseen word, 1; each input row gives one
-result row, also where ids repeat; other columns are ignored.
+text every probability is that of an unseen word, 1; an empty table gives no
+rows; each input row gives one result row, also where ids repeat; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.tables import drop_stored, remainder, stored
-
-HEAD = 1 << 17
-CONTEXT_WORDS = 1 << 14
-PAIRS = 1 << 18
-TRIPLES = 1 << 17
-DISCOUNT = 0.6
-#: The end token, which no word equals.
-END = b"\n"
-WORD_BITS = 20
-FLUSH = 1 << 20
-FLUSH_KEYS = 1 << 22
-
-
-def tokens_of(text: pa.Scalar) -> list[bytes]:
-    """Words of a binary scalar, A-Z in lower case; bytes.lower and bytes.split know ASCII alone."""
-    return text.as_py().lower().split() if text.is_valid else []
-
-
-def binary(batch: pa.RecordBatch) -> pa.Array:
-    return pc.cast(batch.column("text"), pa.binary())
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
-
-    counts: Counter = Counter()
-    for batch in batches:
-        counts[END] += batch.num_rows
-        for text in binary(batch):
-            counts.update(tokens_of(text))
-            if len(counts) > FLUSH:
-                yield flush()
-                counts.clear()
-    if counts:
-        yield flush()
-
-
-def _size_class(n: Column) -> Column:
-    """A coarse order of counts: exact below 1024, 64 steps for each doubling above."""
-    return F.when(n < 1024, n).otherwise(F.lit(1024) + F.floor(F.log2(n / 1024) * 64)).cast("long")
-
-
-def most_frequent(counts: DataFrame, most: int, least: int = 1) -> DataFrame:
-    """Rows of counts with the largest n: as many whole size classes as fit in most rows, of n from least on."""
-    classes = counts.filter(F.col("n") >= least).groupBy(_size_class(F.col("n")).alias("size_class")).agg(F.count("*").alias("rows"))
-    limit, total = 1 << 62, 0
-    for size_class, rows in sorted(((r.size_class, r.rows) for r in classes.collect()), reverse=True):  # at most some thousand classes
-        total += rows
-        if total > most:
-            break
-        limit = size_class
-    return counts.filter((F.col("n") >= least) & (_size_class(F.col("n")) >= limit))
-
-
-def _sequences(batch: pa.RecordBatch, vocabulary: dict[bytes, int]) -> Iterator[np.ndarray]:
-    """Word numbers of each text between two ends (0); -1 for words outside the vocabulary."""
-    for text in binary(batch):
-        yield np.fromiter(map(vocabulary.get, [END, *tokens_of(text), END], repeat(-1)), np.int64)
-
-
-def _counted(parts: list[np.ndarray]) -> pa.RecordBatch:
-    keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], ["key", "n"])
-
-
-def _key_counts(texts: DataFrame, keys_of) -> DataFrame:
-    """Counts of the integer keys that keys_of(word numbers) gives for each text, over all texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for batch in batches:
-            for keys in keys_of(batch):
-                parts.append(keys)
-                size += len(keys)
-                if size > FLUSH_KEYS:
-                    yield _counted(parts)
-                    parts, size = [], 0
-        if size:
-            yield _counted(parts)
-
-    return texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _pairs(words: np.ndarray) -> np.ndarray:
-    """Keys of all pairs of neighbours; -1 where a word is no context word."""
-    known = (words >= 0) & (words < CONTEXT_WORDS)
-    return np.where(known[:-1] & known[1:], words[:-1] << WORD_BITS | words[1:], -1)
-
-
-def _numbers(keys: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """Numbers of the keys among the sorted kept ones; -1 for others."""
-    if not len(kept):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(kept, keys), len(kept) - 1)
-    return np.where(kept[at] == keys, at, -1)
+from strandline.llm import packs
+from strandline.llm.tables import remainder
+from strandline.llm.tokens import ASCII_LOWER, mix, range_hashes, text_buffer, window_hashes, word_ranges
+
+#: How many observations the shorter context counts for, for contexts of one and of two tokens.
+PRIOR = (4.0, 2.0)
+#: The end token's hash; words are never empty, so that none has it.
+END = np.uint64(0x27D4EB2F165667C5)
+#: Words of a stretch that is traversed by itself.
+STRETCH = 256
+WORD, PAIR, TRIPLE = 1, 2, 3
+
+
+def sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of all texts, an end before and behind each, and where each text begins (and the last ends)."""
+    data, offsets = text_buffer(texts)
+    data = ASCII_LOWER[data]
+    starts, ends, first = word_ranges(data, offsets)
+    own = np.repeat(np.arange(len(texts)), np.diff(first))
+    out = np.full(len(starts) + 2 * len(texts), END)
+    out[np.arange(len(starts)) + 2 * own + 1] = range_hashes(data, starts, ends)
+    return out, first + 2 * np.arange(len(first))
+
+
+def ngram_keys(tokens: np.ndarray, first: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Keys of the words, pairs and triples that end at each position, and which positions have one within their text."""
+    place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
+    keys, valid = [], []
+    for n in (WORD, PAIR, TRIPLE):
+        key = np.zeros(len(tokens), np.uint64)
+        key[n - 1 :] = mix(tokens) if n == WORD else window_hashes(tokens, n)
+        keys.append((key & ~np.uint64(3)) | np.uint64(n))
+        valid.append(place >= max(1, n - 1))
+    return keys, valid
 
 
 @dataclass
 class Automaton:
-    """vocabulary: numbers of the head words, 0 for the end. States: 0 the root, 1 + w for a word, then pairs.
+    """State 0 is the root, which has an arc for each word: its log10 probability and next state are in root and root_next.
 
-    arcs: state << WORD_BITS | word to (log10 probability, next state); failure and backoff (log10): by state.
+    Arcs of other states: (state << 32 | word), sorted, with their log10 probabilities and next states. failure and
+    backoff (log10) are by state.
     """
 
-    vocabulary: dict[bytes, int]
-    unigrams: list[float]
-    arcs: dict[int, tuple[float, int]]
-    failure: list[int]
-    backoff: list[float]
-
-    def score(self, words: list[int]) -> float:
-        """log10 probability of the words and the end after them, without the unigram part of words outside the vocabulary."""
-        arcs, failure, backoff, unigrams = self.arcs, self.failure, self.backoff, self.unigrams
-        state, total = 1, 0.0
-        for word in words:
-            if word < 0:
-                while state:
-                    total += backoff[state]
-                    state = failure[state]
+    root: np.ndarray
+    root_next: np.ndarray
+    arcs: np.ndarray
+    weight: np.ndarray
+    next: np.ndarray
+    failure: np.ndarray
+    backoff: np.ndarray
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log10 probabilities of the words from the states, and the states that follow."""
+        total, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        todo = np.arange(len(state))
+        now = state
+        while len(todo):
+            at_root = now == 0
+            done = todo[at_root]
+            total[done] += self.root[word[done]]
+            after[done] = self.root_next[word[done]]
+            todo, now = todo[~at_root], now[~at_root]
+            if not len(todo):
+                break
+            key = now << 32 | word[todo]
+            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1) if len(self.arcs) else np.zeros(len(key), np.int64)
+            found = self.arcs[at] == key if len(self.arcs) else np.zeros(len(key), bool)
+            done = todo[found]
+            total[done] += self.weight[at[found]]
+            after[done] = self.next[at[found]]
+            todo, now = todo[~found], now[~found]
+            total[todo] += self.backoff[now]
+            now = self.failure[now]
+        return total, after
+
+    def score(self, words: np.ndarray, first: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
+        """Log10 probability of each text; words: numbers of the tokens as sequences() gives them."""
+        length = np.diff(first) - 1  # tokens to be scored, behind the first end
+        lanes = -(-length // stretch)
+        text = np.repeat(np.arange(len(length)), lanes)
+        begin = first[:-1][text] + 1 + (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * stretch
+        end = np.minimum(begin + stretch, first[1:][text])
+        order = np.argsort(begin - end, kind="stable")  # the longest first
+        text, begin, end = text[order], begin[order], end[order]
+        state, total = np.zeros(len(text), np.int64), np.zeros(len(text))
+        for k in range(-2, stretch):
+            n = int(np.searchsorted(begin - end, -k, "left")) if k >= 0 else len(text)
+            own = np.arange(n) if k != -2 else np.flatnonzero(begin - 2 >= first[:-1][text])
+            if not len(own):
                 continue
-            while state:
-                arc = arcs.get(state << WORD_BITS | word)
-                if arc:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += backoff[state]
-                state = failure[state]
-            else:
-                total += unigrams[word]
-                state = 1 + word
-        return total
+            more, state[own] = self.step(state[own], words[begin[own] + k])
+            if k >= 0:
+                total[own] += more
+        return np.bincount(text, total, len(length))
+
+
+def automaton(keys: list[np.ndarray], valid: list[np.ndarray], names: np.ndarray, counts: np.ndarray, train_tokens: int, distinct: int) -> tuple[Automaton, np.ndarray, np.ndarray]:
+    """The automaton of the n-grams of a blob; the number of the word at each position; the count of each word number."""
+    number = np.searchsorted(names, np.concatenate(keys)).reshape(3, -1)
+    number[:, ~valid[0]] = np.searchsorted(names, mix(END[None]) & ~np.uint64(3) | np.uint64(WORD))  # the end in front is the end
+    kind = (names & np.uint64(3)).astype(np.int64)
+    local = np.zeros(len(names), np.int64)
+    for n in (WORD, PAIR, TRIPLE):
+        local[kind == n] = np.arange(int((kind == n).sum()))
+    word = local[number[0]]
+    word_counts = counts[kind == WORD].astype(np.float64)
+    p1 = (word_counts + 1.0) / (train_tokens + distinct + 1.0)
+    where = []  # one position of each pair and triple that has a count
+    for n in (PAIR, TRIPLE):
+        at = np.flatnonzero(valid[n - 1])
+        which, seen = np.unique(number[n - 1][at], return_index=True)
+        where.append(at[seen[counts[which] > 0]])
+    m1, m2 = PRIOR
+    at2, at3 = where
+    state_of_word = np.where(word_counts > 0, np.cumsum(word_counts > 0), 0)
+    known = int((word_counts > 0).sum())
+    pair_state = np.zeros(len(names), np.int64)
+    pair_state[number[1][at2]] = known + 1 + np.arange(len(at2))
+
+    def after_word(at: np.ndarray) -> np.ndarray:
+        before = word_counts[word[at - 1]]
+        return (counts[number[1][at]] + m1 * p1[word[at]]) / (before + m1)
+
+    p2 = after_word(at2)
+    p3 = (counts[number[2][at3]] + m2 * after_word(at3)) / (counts[number[1][at3 - 1]] + m2)
+    arcs = np.concatenate([state_of_word[word[at2 - 1]] << 32 | word[at2], pair_state[number[1][at3 - 1]] << 32 | word[at3]])
+    weight, target = np.log10(np.concatenate([p2, p3])), np.concatenate([pair_state[number[1][at2]], pair_state[number[1][at3]]])
+    order = np.argsort(arcs)
+    failure = np.concatenate([np.zeros(known + 1, np.int64), state_of_word[word[at2]]])
+    backoff = np.log10(np.concatenate([[1.0], m1 / (word_counts[word_counts > 0] + m1), m2 / (counts[number[1][at2]] + m2)]))
+    return Automaton(np.log10(p1), state_of_word, arcs[order], weight[order], target[order], failure, backoff), word, word_counts
+
+
+def scored(docs: DataFrame, learns: Column) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs, by a model of the rows where learns holds.
+
+    To score other texts than those learned from, put both in one table.
+    """
+    blobs, size = packs.packed(docs.withColumn("_learns", F.coalesce(learns, F.lit(False))), ("_learns",))
 
+    def keys_of(i: int, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        tokens, first = sequences(batch.column("texts")[i].values)
+        keys, valid = ngram_keys(tokens, first)
+        learned = np.repeat(batch.column("_learns")[i].values.to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
+        every, counts = np.concatenate([k[v] for k, v in zip(keys, valid, strict=True)]), np.concatenate([learned[v] for v in valid])
+        names, number = np.unique(every, return_inverse=True)
+        return names, np.bincount(number, counts, len(names)).astype(np.int64)
 
-@dataclass
-class Parts:
-    """The automaton as arrays, small to send; each task builds its dictionaries from them."""
-
-    words: list[bytes]
-    counts: np.ndarray
-    tokens: int
-    distinct: int
-    pairs: np.ndarray
-    pair_counts: np.ndarray
-    triples: np.ndarray
-    triple_counts: np.ndarray
-
-    def vocabulary(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words)}
-
-    def automaton(self) -> Automaton:
-        n = len(self.words)
-        p1 = (self.counts + 1.0) / (self.tokens + self.distinct + 1.0)
-        a, b = self.pairs >> WORD_BITS, self.pairs & ((1 << WORD_BITS) - 1)
-        p2 = np.maximum(self.pair_counts - DISCOUNT, 0) / self.counts[a]
-        after_word = np.log10(np.maximum(1 - np.bincount(a, p2, n), 1e-9) / np.maximum(1 - np.bincount(a, p1[b], n), 1e-9))
-        of, c = self.triples >> WORD_BITS, self.triples & ((1 << WORD_BITS) - 1)
-        ends = _numbers(b[of] << WORD_BITS | c, self.pairs) if len(of) else np.empty(0, np.int64)
-        p3 = np.maximum(self.triple_counts - DISCOUNT, 0) / self.pair_counts[of]
-        m = len(self.pairs)
-        after_pair = np.log10(np.maximum(1 - np.bincount(of, p3, m), 1e-9) / np.maximum(1 - np.bincount(of, p2[ends], m), 1e-9))
-        # a pair that no kept triple continues behaves like its last word
-        state = np.where(np.bincount(of, minlength=m) > 0, 1 + n + np.arange(m), 1 + b)
-        arcs = dict(zip(((1 + a) << WORD_BITS | b).tolist(), zip(np.log10(p2).tolist(), state.tolist(), strict=True), strict=True))
-        arcs |= dict(zip(((1 + n + of) << WORD_BITS | c).tolist(), zip(np.log10(p3).tolist(), state[ends].tolist(), strict=True), strict=True))
-        return Automaton(self.vocabulary(), np.log10(p1).tolist(), arcs, [0] * (n + 1) + (1 + b).tolist(), [0.0, *after_word.tolist(), *after_pair.tolist()])
-
-
-def train(texts: DataFrame) -> tuple[Parts, DataFrame]:
-    """The automaton of the column text, and the table of all counts: token, n."""
-    texts = texts.select("text")
-    counts = stored(texts.mapInArrow(_word_counts, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
-    end = counts.filter(F.col("token") == F.lit(END)).first()
-    head = sorted(((r.n, r.token) for r in most_frequent(counts.filter(F.col("token") != F.lit(END)), HEAD).collect()), reverse=True)
-    words = [END, *(bytes(token) for _, token in head)]
-    word_counts = np.array([end.n if end else 0, *(n for n, _ in head)], np.float64)
-    shared = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words[:CONTEXT_WORDS])})
-
-    def kept(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-        counted = stored(counted)
-        found = most_frequent(counted, most, least=2).toPandas().sort_values("key")
-        drop_stored(counted)
-        return found["key"].to_numpy(np.int64), found["n"].to_numpy(np.float64)
-
-    def pair_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for words in _sequences(batch, shared.value):
-            keys = _pairs(words)
-            yield keys[keys >= 0]
-
-    pairs, pair_counts = kept(_key_counts(texts, pair_keys), PAIRS)
-    known_pairs = texts.sparkSession.sparkContext.broadcast(pairs)
-
-    def triple_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        sequences = list(_sequences(batch, shared.value))
-        numbers = _numbers(np.concatenate([_pairs(words) for words in sequences]) if sequences else np.empty(0, np.int64), known_pairs.value)
-        first = 0
-        for words in sequences:
-            own = numbers[first : first + len(words) - 1]
-            first += len(words) - 1
-            yield (own[:-1] << WORD_BITS | words[2:])[(own[:-1] >= 0) & (own[1:] >= 0)]
-
-    triples, triple_counts = kept(_key_counts(texts, triple_keys), TRIPLES)
-    return Parts(words, word_counts, total.tokens, total.distinct, pairs, pair_counts, triples, triple_counts), counts
-
-
-_built: dict[int, Automaton] = {}
-
-
-def score(docs: DataFrame, parts: Parts, counts: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns keep of docs with n_tokens, n_known, train_tokens, base_score and score for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(parts)
-    kept = docs.select(*keep).schema
-    unseen = parts.tokens + parts.distinct + 1
+    answered, sums = packs.counted(blobs, size, keys_of, 0.3)
+    found = {r.kind: r for r in sums.collect()}  # four rows
+    train_tokens, distinct = (int(found[WORD].total), int(found[WORD].distinct)) if WORD in found else (0, 0)
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shared.value)
-        if key not in _built:
-            _built.clear()
-            _built[key] = shared.value.automaton()
-        model = _built[key]
-        known, base_of = model.vocabulary, model.unigrams
-        trained = shared.value.counts[0] > 0
         for batch in batches:
-            out: dict[str, list] = {name: [] for name in ("n_tokens", "n_known", "base_score", "score", "rest")}
-            for text in binary(batch):
-                tokens = tokens_of(text)
-                words = [*map(known.get, tokens, repeat(-1)), 0]
-                rest = Counter(t for t, w in zip(tokens, words) if w < 0)
-                n_rest = sum(rest.values())
-                out["n_tokens"].append(len(words))
-                out["n_known"].append(len(words) - n_rest - (not trained))
-                out["base_score"].append(sum([base_of[w] for w in words if w >= 0]))
-                out["score"].append(model.score(words))
-                out["rest"].append([{"token": t, "times": n} for t, n in rest.items()])
-            rest_type = pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int64())]))
-            types = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "rest": rest_type}
-            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in keep), *(pa.array(out[name], kind) for name, kind in types.items())], [*keep, *types])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    scored = docs.select(*keep, "text").mapInArrow(traverse, f"{schema}, n_tokens long, n_known long, base_score double, score double, rest array<struct<token: binary, times: long>>")
-    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()))
-    p = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(unseen)))
-    rest = (
-        scored.filter(F.size("rest") > 0)
-        .select("row", F.inline("rest"))
-        .join(counts, "token", "left")
-        .groupBy("row")
-        .agg(F.sum(p * F.col("times")).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("found"))
-    )
-    more, found = F.coalesce("more", F.lit(0.0)), F.coalesce("found", F.lit(0))
-    return scored.drop("rest").join(rest, "row", "left").select(*keep, "n_tokens", (F.col("n_known") + found).alias("n_known"), F.lit(parts.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+            for _, ids, texts, i in packs.opened(batch):
+                tokens, first = sequences(texts)
+                keys, valid = ngram_keys(tokens, first)
+                names = np.unique(np.concatenate([k[v] for k, v in zip(keys, valid, strict=True)]))
+                model, word, counts = automaton(keys, valid, names, packs.answers_of(batch, i), train_tokens, distinct)
+                own = np.repeat(np.arange(len(texts)), np.diff(first))
+                scores = [np.bincount(own, w * valid[0], len(texts)) for w in (np.ones(len(word)), counts[word] > 0, model.root[word])]
+                columns = {"n_tokens": scores[0].astype(np.int64), "n_known": scores[1].astype(np.int64), "train_tokens": np.full(len(texts), train_tokens), "base_score": scores[2], "score": model.score(word, first)}
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns.values())], ["doc_id", *columns])
+
+    return answered.mapInArrow(traverse, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out and the columns of score(), learned from the rows that aren't held out."""
-    docs = docs.select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
-    parts, counts = train(docs.filter(~F.col("held_out")))
-    return score(docs, parts, counts, ("doc_id", "held_out"))
+    """doc_id, held_out and the columns of scored(), learned from the rows that aren't held out."""
+    held_out = remainder("doc_id", 7) == 2
+    found = scored(docs.select("doc_id", "text"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

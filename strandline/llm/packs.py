@@ -31,29 +31,36 @@ BUCKET_KEYS = 1 << 20
 #: Extra byte of keys that repeat within their blob.
 REPEATS = 255
 BLOBS = "ids array<long>, texts array<binary>"
+#: Bytes of a blob at most, where a corpus is so large that its keys fall into many more buckets than a blob has keys.
+LARGE_BLOB_BYTES = 8 << 20
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def row(ids: list[pa.Array], texts: list[pa.Array]) -> pa.RecordBatch:
-        columns = [pa.concat_arrays(x) for x in (ids, texts)]
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns]
-        return pa.RecordBatch.from_arrays(lists, ["ids", "texts"])
-
-    ids, texts, size = [], [], 0
-    for batch in batches:
-        text = pc.cast(batch.column("text"), pa.binary())
-        lengths = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
-        group = (np.cumsum(lengths) + size) // BLOB_BYTES
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(lengths)]
-        for first, end in zip(cuts[:-1], cuts[1:], strict=True):
-            if first and texts:
-                yield row(ids, texts)
-                ids, texts = [], []
-            ids.append(batch.column("doc_id").slice(first, end - first))
-            texts.append(text.slice(first, end - first))
-        size = int(size + lengths.sum()) % BLOB_BYTES
-    if texts:
-        yield row(ids, texts)
+def _packed(most: int, extra: tuple[str, ...]):
+    names = ["ids", "texts", *extra]
+
+    def row(columns: list[list[pa.Array]]) -> pa.RecordBatch:
+        whole = [pa.concat_arrays(x) for x in columns]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in whole]
+        return pa.RecordBatch.from_arrays(lists, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns, size = [[] for _ in names], 0
+        for batch in batches:
+            text = pc.cast(batch.column("text"), pa.binary())
+            lengths = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+            group = (np.cumsum(lengths) + size) // most
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(lengths)]
+            for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if first and columns[0]:
+                    yield row(columns)
+                    columns = [[] for _ in names]
+                for held, values in zip(columns, (batch.column("doc_id"), text, *(batch.column(c) for c in extra)), strict=True):
+                    held.append(values.slice(first, end - first))
+            size = int(size + lengths.sum()) % most
+        if columns[0]:
+            yield row(columns)
+
+    return run
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -64,14 +71,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, str(BATCH_BYTES))
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """Stored blobs of docs (doc_id, text): blob, ids, texts.
+def packed(docs: DataFrame, extra: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """Stored blobs of docs (doc_id, text): blob, ids, texts and arrays of the boolean columns extra; and the bytes of all texts.
 
-    Arrow batches of this session have at most BATCH_BYTES from here on, unless they already are smaller.
+    Blobs grow with the square root of the corpus once it is beyond some tens of terabytes. Arrow batches of this session
+    have at most BATCH_BYTES from here on, unless they already are smaller.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(texts.mapInArrow(_packed, BLOBS).withColumn("blob", F.monotonically_increasing_id()))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    most = max(BLOB_BYTES, min(LARGE_BLOB_BYTES, int(np.sqrt(total))))
+    schema = ", ".join([BLOBS, *(f"{c} array<boolean>" for c in extra)])
+    return stored(texts.mapInArrow(_packed(most, extra), schema).withColumn("blob", F.monotonically_increasing_id())), total
 
 
 def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, pa.Array, int]]:
@@ -105,13 +116,17 @@ def _decoded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64), planes[-1]
 
 
-def repeated(blobs: DataFrame, keys_of: Callable, keys_per_byte: float) -> tuple[DataFrame, int]:
-    """blobs with flags: which of their distinct keys may occur elsewhere too; and the number of bits of a bucket's number.
+def bucket_bits(keys: float) -> int:
+    """Bits of a bucket's number, for so many keys in all."""
+    return max(2, int(np.ceil(np.log2(max(1.0, keys / BUCKET_KEYS)))))
+
+
+def repeated(blobs: DataFrame, total: int, keys_of: Callable, keys_per_byte: float) -> tuple[DataFrame, int]:
+    """blobs, of total bytes, with flags: which of their distinct keys may occur elsewhere too; and the number of bits of a bucket's number.
 
     keys_of(ids, texts) gives a blob's keys and extras as distinct() does.
     """
-    total = blobs.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.coalesce(F.octet_length(t), F.lit(0))))).first()[0] or 0
-    bits = max(2, int(np.ceil(np.log2(max(1, total * keys_per_byte / BUCKET_KEYS)))))
+    bits = bucket_bits(total * keys_per_byte)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,3 +167,69 @@ def flags_of(keys: np.ndarray, flags: list[dict] | None, bits: int) -> np.ndarra
         first, end = at[x["bucket"]], at[x["bucket"] + 1]
         out[first:end] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=int(end - first)).astype(bool)
     return out
+
+
+def _whole_planes(numbers: np.ndarray, width: int = 8) -> bytes:
+    """Numbers of up to width bytes by byte planes."""
+    return np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _of_planes(data: bytes, width: int = 8) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
+def counted(blobs: DataFrame, total: int, keys_of: Callable, keys_per_byte: float) -> tuple[DataFrame, DataFrame]:
+    """blobs with answers: the corpus counts of their keys; and a table of sums (kind, distinct, total) over the keys that count.
+
+    keys_of(row number, batch) gives a blob's sorted distinct 64-bit keys, whose lowest two bits are a kind, and the
+    count of each in the blob. All counts are kept, whatever they are; answers_of() reads them.
+    """
+    bits = bucket_bits(total * keys_per_byte)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, _, _, i in opened(batch):
+                keys, counts = keys_of(i, batch)
+                at = _whole_bounds(keys, bits)
+                own = np.flatnonzero(np.diff(at))
+                data = [_whole_planes(np.diff(keys[at[b] : at[b + 1]], prepend=np.uint64(b) << np.uint64(64 - bits))) + _whole_planes(counts[at[b] : at[b + 1]].astype(np.uint64), 4) for b in own]
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.full(len(own), blob)), pa.array(data, pa.binary())], ["bucket", "blob", "data"])
+
+    def find(key: tuple, table: pa.Table) -> pa.Table:
+        base = np.uint64(key[0].as_py()) << np.uint64(64 - bits)
+        sizes, keys, counts = [], [], []
+        for x in table.column("data"):
+            data = x.as_py()
+            sizes.append(len(data) // 12)
+            keys.append(base + np.cumsum(_of_planes(data[: 8 * sizes[-1]]), dtype=np.uint64))
+            counts.append(_of_planes(data[8 * sizes[-1] :], 4))
+        names, number = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(number, np.concatenate(counts)).astype(np.uint64)
+        del keys, counts
+        answers = [_whole_planes(x) for x in np.split(sums[number], np.cumsum(sizes)[:-1])]
+        kind = (names & np.uint64(3)).astype(np.int64)
+        distinct, whole = (np.bincount(kind, w, 4).astype(np.int64) for w in (sums > 0, sums))
+        lists = []
+        for values in (distinct, whole):
+            told = np.zeros((len(sizes), 4), np.int64)
+            told[0] = values  # once for each bucket
+            lists.append(pa.FixedSizeListArray.from_arrays(pa.array(told.ravel()), 4).cast(pa.list_(pa.int64())))
+        return pa.table({"blob": table.column("blob"), "bucket": pa.array(np.full(len(sizes), key[0].as_py(), np.int32)), "counts": pa.array(answers, pa.binary()), "distinct": lists[0], "total": lists[1]})
+
+    sent = blobs.mapInArrow(send, "bucket int, blob long, data binary")
+    found = stored(sent.groupBy("bucket").applyInArrow(find, "blob long, bucket int, counts binary, distinct array<long>, total array<long>"))
+    sums = found.select(F.posexplode(F.arrays_zip("distinct", "total")).alias("kind", "x")).groupBy("kind").agg(F.sum("x.distinct").alias("distinct"), F.sum("x.total").alias("total"))
+    answers = found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("answers"))
+    return blobs.join(answers.hint("merge"), "blob", "left"), sums
+
+
+def _whole_bounds(keys: np.ndarray, bits: int) -> np.ndarray:
+    return np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
+
+
+def answers_of(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    """The corpus counts of a blob's sorted distinct keys, from the column that counted() adds."""
+    return np.concatenate([np.empty(0, np.uint64), *(_of_planes(x["counts"]) for x in batch.column("answers")[i].as_py() or [])]).astype(np.int64)

@@ -163,14 +163,13 @@ def searched(docs: DataFrame, search: Search, shard: Callable, value_type: type)
     its occurrences) and returns for all windows of all pieces, one after the other, a number. The function returned
     gives for a blob its units, its flagged runs, and the numbers of the windows of each run, one after the other.
     """
-    blobs = packs.packed(docs)
+    blobs, size = packs.packed(docs)
 
     def keys_of(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return packs.distinct(runs_of(search.units(texts), search.window, search.gram).anchor)
 
     per_byte = search.units_per_byte * 2 / (search.window - search.gram + 2)
-    flagged, bits = packs.repeated(blobs, keys_of, per_byte)
-    size = blobs.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.coalesce(F.octet_length(t), F.lit(0))))).first()[0] or 0
+    flagged, bits = packs.repeated(blobs, size, keys_of, per_byte)
     shard_bits = max(2, int(np.ceil(np.log2(max(1.0, size / 2 / SHARD_BYTES)))))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -200,25 +200,53 @@ def test_language_model_counts_and_sums(spark):
     assert ngram_lm.held_out_scores(docs.limit(0)).count() == 0
 
 
-def test_language_model_is_normalised_and_better_than_words(spark, monkeypatch):
-    monkeypatch.setattr(ngram_lm, "HEAD", 500)
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    parts, counts = ngram_lm.train(docs)
-    model = parts.automaton()
-    known = sum(10**u for u in model.unigrams)
-    for state in (1, 5, len(model.failure) // 2, len(model.failure) - 1):
-        total, back, s = 0.0, 0.0, state
-        for word in range(len(parts.words)):
-            p, s = 0.0, state
-            while s and (arc := model.arcs.get(s << ngram_lm.WORD_BITS | word)) is None:
-                p, s = p + model.backoff[s], model.failure[s]
-            total += 10 ** (p + (arc[0] if s else model.unigrams[word]))
-        s = state
-        while s:
-            back, s = back + model.backoff[s], model.failure[s]
-        assert abs(total + 10**back * (1 - known) - 1) < 1e-6
-    sums = ngram_lm.score(docs, parts, counts).agg(F.sum("score"), F.sum("base_score")).first()
-    assert sums[0] > sums[1]
+def plain_model(data):
+    """Probability of a token after the two before it, from counts in plain dictionaries."""
+    c = [Counter(), Counter(), Counter()]
+    for ws, held in data:
+        if not held:
+            seq = ["", *ws]
+            for k in range(1, len(seq)):
+                c[0][seq[k]] += 1
+                c[1][tuple(seq[k - 1 : k + 1])] += 1
+                if k > 1:
+                    c[2][tuple(seq[k - 2 : k + 1])] += 1
+    n, v = sum(c[0].values()), len(c[0])
+    starts = sum(not held for _, held in data)
+
+    def p(w, before):
+        p1 = (c[0][w] + 1) / (n + v + 1)
+        one = starts if before[-1] == "" else c[0][before[-1]]
+        p2 = (c[1][before[-1], w] + 4 * p1) / (one + 4)
+        if len(before) == 1:
+            return p2
+        return (c[2][before[-2], before[-1], w] + 2 * p2) / (c[1][before[-2], before[-1]] + 2)
+
+    return p, c[0]
+
+
+def test_language_model_scores(spark):
+    docs = awkward()
+    data = [((t or "").lower().split() + [b"end"], zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2) for i, t in docs]
+    p, words = plain_model(data)
+    expected = sorted((len(ws), sum(math.log10(p(w, ["", *ws][max(0, k - 1) : k + 1])) for k, w in enumerate(ws))) for ws, _ in data)
+    found = sorted((r.n_tokens, r.score) for r in ngram_lm.held_out_scores(documents(spark, docs)).collect())
+    assert [x[0] for x in found] == [x[0] for x in expected]
+    assert np.allclose([x[1] for x in found], [x[1] for x in expected], rtol=1e-9)
+    for before in (["", "w5"], ["w5", "w6"], [""], ["never"], ["never", "w7"], ["w5", "never"]):
+        assert abs(sum(p(w, before) for w in [*words, "seen by nobody"]) - 1) < 1e-9
+
+
+def test_language_model_stretches_change_nothing():
+    texts = pa.array([b"a b c a b d " * 400, b"", None, b"a b", b"d a b c " * 90])
+    tokens, first = ngram_lm.sequences(texts)
+    keys, valid = ngram_lm.ngram_keys(tokens, first)
+    names, counts = np.unique(np.concatenate([k[v] for k, v in zip(keys, valid)]), return_counts=True)
+    counts[::3] = 0
+    model, word, _ = ngram_lm.automaton(keys, valid, names, counts, 500, 5)
+    whole = model.score(word, first, 1 << 20)
+    for stretch in (1, 2, 3, 64):
+        assert np.allclose(model.score(word, first, stretch), whole)
 
 
 def test_language_identification(spark):
