@@ -261,6 +261,60 @@ def test_language_identification(spark):
     assert {r.lang_pred for r in language.held_out_languages(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_language(rows):
+    """lang_pred and score from counts in plain dictionaries, learned from rows that aren't held out."""
+    counts, docs = [defaultdict(Counter) for _ in range(6)], Counter()
+    for i, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(b"" if i is None else str(i).encode()) % 5:
+            docs[lang] += 1
+            for w in re.findall(r"[a-zé]+", text.lower()):
+                counts[0][w][lang] += 1
+                for level in range(1, 6):
+                    for k in range(len(w) + 3 - level):
+                        counts[level][f"<{w}>"[k : k + level]][lang] += 1
+    langs = sorted({lang for c in counts for x in c.values() for lang in x})
+
+    def frequency(level, gram, lang):
+        return math.log((counts[level][gram][lang] + 0.5) / (sum(x[lang] for x in counts[level].values()) + 0.5 * len(counts[level])))
+
+    def predict(text):
+        words = re.findall(r"[a-zé]+", (text or "").lower())
+        if not words or not langs:
+            return "und", 0.0
+        total = {lang: math.log(docs[lang] / sum(docs[x] for x in langs)) for lang in langs}
+        for w in words:
+            for level in (0, 5, 4, 3, 2, 1):
+                grams = [w] if level == 0 else [f"<{w}>"[k : k + level] for k in range(max(0, len(w) + 3 - level))]
+                known = [g for g in grams if g in counts[level]]
+                if known:
+                    for lang in langs:
+                        total[lang] += sum(frequency(level, g, lang) for g in known) / len(known)
+                    break
+        best = max(langs, key=lambda x: (total[x], [-ord(c) for c in x]))
+        return best, 1 / sum(math.exp(total[x] - total[best]) for x in langs)
+
+    return predict
+
+
+def test_language_predictions(spark):
+    rng = random.Random(9)
+    words = {x: ["".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(30)] for x, letters in (("aa", "abcdé"), ("bb", "cdefg"), ("cc", "efgha"))}
+    rows = [(i, " ".join(rng.choices(words[x], k=rng.randint(1, 6))), x) for i in range(40) for x in words]
+    rows += [(7, "² ½ ①", "aa"), (8, None, "bb"), (9, "", None), (None, "abc", None), (10, "zzz qqq", "aa"), (10, "zzz qqq", "aa"), (11, "abcdefgh " * 30_000, None)]
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    predict = plain_language(rows)
+    expected = Counter((i, *(x if k == 0 else round(x, 6) for k, x in enumerate(predict(t)))) for i, t, _ in rows)
+    assert Counter((r.doc_id, r.lang_pred, round(r.score, 6)) for r in language.held_out_languages(df).collect()) == expected
+    assert language.held_out_languages(df.limit(0)).count() == 0
+
+
+def test_a_rare_language_is_learned_beside_a_hot_one(spark):
+    rows = [(i, f"the cat sat on mat{i % 50}", "hot") for i in range(3000)] + [(5000 + i, "ein hund im garten", "rare") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, F.col("doc_id"), rows=100)
+    assert model.predict(["hund garten", "cat"])[0] == ["rare", "hot"]
+
+
 def test_toxicity_learns_words_of_each_language():
     rng = random.Random(2)
     plain = [f"{p}{k}" for p in ("en", "fr") for k in range(300)]
