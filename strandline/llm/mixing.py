@@ -21,6 +21,7 @@ table gives an empty mix. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ SHARE = 1.5
 MOST = 2.0
 SEED = 20
 ROUNDS = 4
+#: Slots that a task draws, about.
+TASK_SLOTS = 1 << 17
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -115,8 +118,8 @@ def _key(seed: int, rank: int, turn: int) -> int:
     return (seed * 1_000_003 + rank) * 1_009 + turn
 
 
-def dealt(source: dict, shards: int, block: int = BLOCK, seed: int = SEED) -> Iterator[tuple[int, int, int, int, int]]:
-    """The slots of a source by shard: (shard, turn, first slot, end slot, words of the last slot).
+def dealt(source: dict, shards: int, block: int = BLOCK, seed: int = SEED) -> Iterator[np.ndarray]:
+    """The slots of a source by shard, an array for each turn: shard, turn, first slot, end slot, words of the last slot.
 
     Turns are passes over the source; a slot that ends before its block does is the last of the source.
     """
@@ -135,9 +138,8 @@ def dealt(source: dict, shards: int, block: int = BLOCK, seed: int = SEED) -> It
             last = left - before
         counts = np.random.default_rng([seed, source["rank"], turn]).multinomial(slots, np.full(shards, 1 / shards))
         ends = np.cumsum(counts)
-        for shard, (n, end) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True)):
-            if n:
-                yield shard, turn, end - n, end, last if end == slots else 0
+        own = np.flatnonzero(counts)
+        yield np.stack([own, np.full(len(own), turn), (ends - counts)[own], ends[own], np.where(ends[own] == slots, last, 0)], 1)
 
 
 def placed(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, text: bool = False) -> DataFrame:
@@ -178,9 +180,11 @@ def slots(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
         for batch in batches:
             for source in batch.to_pylist():
                 blocks = -(-source["source_size"] // block)
-                found = np.array(list(dealt(source, shards, block, seed)), np.int64).reshape(-1, 5)
-                same = [pa.array(np.full(len(found), x, np.int64)) for x in (source["rank"], blocks)]
-                yield pa.RecordBatch.from_arrays([*same, *(pa.array(x) for x in found.T)], ["rank", "blocks", "shard", "turn", "first", "end", "last"])
+                for found in dealt(source, shards, block, seed):
+                    for k in range(0, len(found), 1 << 16):
+                        part = found[k : k + (1 << 16)]
+                        same = [pa.array(np.full(len(part), x, np.int64)) for x in (source["rank"], blocks)]
+                        yield pa.RecordBatch.from_arrays([*same, *(pa.array(x) for x in part.T)], ["rank", "blocks", "shard", "turn", "first", "end", "last"])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +200,8 @@ def slots(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*same, pa.array(order.astype(np.int64)), pa.array(permuted(number, x["blocks"], key)), pa.array(take)], ["shard", "rank", "turn", "slot", "block", "take"])
 
     counts = sources.mapInArrow(deal, "rank long, blocks long, shard long, turn long, first long, end long, last long")
-    return counts.repartition("rank", "shard", "turn").mapInArrow(draw, "shard long, rank long, turn long, slot long, block long, take long")
+    tasks = max(1, math.ceil(total / block / TASK_SLOTS))  # a number, so that adaptive execution doesn't join these small rows
+    return counts.repartition(tasks, "rank", "shard", "turn").mapInArrow(draw, "shard long, rank long, turn long, slot long, block long, take long")
 
 
 def mix(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
