@@ -4,7 +4,9 @@ Vectors become integers, floor(1024 x). Candidates are laid out by falling
 length in parts of about ``PART_ROWS`` rows, queries in blocks of about
 ``QUERY_ROWS``; each pair of a part and a block is one group, so that no task
 holds more, however many vectors or equal vectors there are. The longest part
-first gives every query a score that its k-th hit reaches at least.
+first gives every query a score that its k-th hit reaches at least; queries
+whose score asks for similar lengths then share a block, and a part whose
+longest vector is too short for a block isn't paired with it.
 
 Within a group, buckets of ``BUCKET`` vectors of similar length are searched.
 A query's best score so far, over both lengths, is the cosine that a bucket's
@@ -17,8 +19,8 @@ Edge cases: rows with a null id or vector, or a null or non-finite component,
 take no part; vectors are compared with those of the same number of components
 only; rows with the query's own id are no candidates, other rows that repeat
 each are; a query id that repeats asks once, with its first vector in array
-order; ties go to the smaller id. Scores are exact while components times
-dimension stay below 2**63. Other columns are ignored.
+order; ties go to the smaller id; an empty table gives no rows. Scores are exact; one
+that needs more than 64 bits raises OverflowError. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +47,11 @@ HIT = "query_id long, vec_id long, score long"
 
 def prepared(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id, v (array of doubles that hold integers) and length of the rows that take part."""
-    x = F.transform("embedding", lambda c: F.floor(c.cast("double") * scale).cast("double"))
+    def whole(c: Column) -> Column:
+        scaled = c.cast("double") * scale
+        return F.when(F.abs(scaled) < F.lit(2.0**53), F.floor(scaled).cast("double")).otherwise(scaled)  # larger doubles are integers
+
+    x = F.transform("embedding", whole)
     finite = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
     good = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(finite)
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, c: total + c * c))
@@ -65,9 +71,17 @@ def _matrices(table: pa.Table, key: str) -> Iterator[tuple[int, np.ndarray, np.n
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of rows: doubles hold them below 2**53, else 64-bit integers."""
-    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1])
-    return (a @ b.T).astype(np.int64) if most < 2**53 else a.astype(np.int64) @ b.astype(np.int64).T
+    """Exact integer products of rows: doubles hold them below 2**53, 64-bit integers below 2**63, Python's above; those that end beyond 2**63 raise."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    if most < 2**53:
+        return (a @ b.T).astype(np.int64)
+    if most < 2**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    exact = np.vectorize(int, otypes=[object])
+    out = exact(a) @ exact(b).T
+    if any(abs(x) >= 1 << 63 for x in out.ravel()):
+        raise OverflowError("an inner product needs more than 64 bits")
+    return out.astype(np.int64)
 
 
 class Best:
@@ -166,17 +180,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     queries = stored(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")))
     keys = ["part", "block"]
 
-    def against(some: DataFrame, asked: DataFrame, part: Column) -> DataFrame:
-        left = some.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = asked.withColumn("part", part)
+    def against(some: DataFrame, asked: DataFrame, pairs: DataFrame) -> DataFrame:
+        left, right = some.join(pairs, "part"), asked.join(pairs, "block")
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _searched(a, b, k), HIT)
 
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    longest, last = candidates.agg(F.min("part"), F.max("part")).first()
     unknown = queries.withColumn("floor", F.lit(None).cast("double"))
-    longest = candidates.agg(F.min("part")).first()[0] or 0
-    first = against(candidates.filter(F.col("part") == longest), unknown, F.lit(longest))
+    first = against(candidates.filter(F.col("part") == longest), unknown, every.sparkSession.range(1).select(F.lit(longest or 0).alias("part"), every_block))
     floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
-    last = candidates.agg(F.max("part")).first()[0] or 0
-    asked = stored(queries.join(floors, "query_id", "left"))
-    hits = against(candidates, asked, F.explode(F.sequence(F.lit(0), F.lit(last))))
+    need = F.when(F.col("floor") > 0, F.col("floor") / F.col("length")).otherwise(0.0)  # the length that a hit has at least
+    known = queries.drop("block").join(floors, "query_id", "left").withColumn("need", need)
+    asked = stored(known.repartitionByRange(blocks, "need", "query_id").withColumn("block", F.spark_partition_id()))
+    needs = asked.groupBy("block").agg(F.min("need").alias("least"))
+    lengths = candidates.groupBy("part").agg(F.max("length").alias("most"))
+    pairs = needs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(last or 0)))).join(lengths, "part")
+    pairs = stored(pairs.filter(F.col("most") * (1 + 4 * SLACK) >= F.col("least") * (1 - 4 * SLACK)).select("part", "block"))
+    hits = against(candidates, asked.drop("need"), pairs)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
