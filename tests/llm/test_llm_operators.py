@@ -335,6 +335,38 @@ def test_toxicity_learns_words_of_each_language():
     assert wrong <= 6 and (score[-3:] < 0.7).all() and ((score >= 0) & (score <= 1)).all()
 
 
+def test_toxicity_forward_pass():
+    """Scores of a classifier against loops over words, filters and positions."""
+    texts = ["a b c d", "", "b", "c a c a b d e " * 20]
+    model = toxicity.train([f"{w} x{i} y" for i in range(40) for w in ("a b", "d e")], np.array([1, 0] * 40), ["en"] * 80)
+    ids, begin = toxicity.word_buckets(pa.array(texts))
+    for t, text in enumerate(texts):
+        words = [ids[:, begin[t] + k] for k in range(len(text.split()))]
+        pooled = []
+        for responses, bias in zip(model.responses, model.bias, strict=True):
+            best = [-math.inf] * len(bias)
+            for at in range(len(words) + 1):  # a filter may run over the end
+                for f in range(len(bias)):
+                    best[f] = max(best[f], sum(float(responses[j][words[at + j][s], f]) for j in range(len(responses)) if at + j < len(words) for s in (0, 1)))
+            pooled += [max(0.0, x + float(y)) for x, y in zip(best, bias, strict=True)]
+        logit = sum(x * float(y) for x, y in zip(pooled, model.out, strict=True)) + model.out_bias
+        lang = model.language(ids, begin)[t]
+        expected = 1 / (1 + math.exp(-(toxicity.SLOPE * (logit - model.thresholds[lang]) + math.log(0.7 / 0.3))))
+        assert abs(model.score(pa.array(texts))[t] - expected) < 1e-4
+
+
+def test_toxicity_learns_from_long_texts_and_counts_label_rows_once(spark):
+    rng = random.Random(1)
+    long = [(i, " ".join(rng.choices([f"w{k}" for k in range(500)], k=1500) + ["bad1 bad2"] * (i % 3 == 0)), "en", "x", 1) for i in range(150)]
+    docs = spark.createDataFrame(long + [(None, None, None, None, None), (0, long[0][1], "en", "x", 1)], "doc_id long, text string, lang string, score string, predicted int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)] * 3, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.responses
+    rows = toxicity.scored(docs, model, "s").collect()
+    assert len(rows) == 152 and sum((r.s >= 0.7) != (r.doc_id % 3 == 0) for r in rows if r.doc_id is not None) <= 8
+    assert toxicity.held_out_scores(docs.limit(0), labels).count() == 0 and toxicity.held_out_scores(docs, labels.limit(0)).count() == 152
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, awkward())
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
@@ -433,6 +465,17 @@ def test_top_k(spark, monkeypatch, sizes):
             assert found[q] == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
+def test_top_k_of_nothing_and_of_large_numbers(spark):
+    schema = "vec_id long, embedding array<double>"
+    assert topk.top_k(spark.createDataFrame([], schema), F.col("vec_id") % 20 == 0).count() == 0
+    rows = [(0, [2.0**20, 3.0, 2.0**15]), (1, [2.0**20, 1.0, -1.0]), (2, [-(2.0**20), 5.0, 0.0]), (3, [1.5, 2.0**21, 0.25])]
+    found = {r.vec_id: r.score for r in topk.top_k(spark.createDataFrame(rows, schema), F.col("vec_id") == 0).collect()}
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    assert found == {i: sum(x * y for x, y in zip(whole[0], v)) for i, v in whole.items() if i}
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e18, 1.0]), (1, [1e18, 1.0])], schema), F.col("vec_id") == 0).collect()
+
+
 def test_small_packs_and_shards_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(packs, "BLOB_BYTES", 500)
     monkeypatch.setattr(repeats, "SHARD_BYTES", 2000)
