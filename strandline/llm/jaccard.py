@@ -6,18 +6,16 @@ class is a candidate by the first shingles of its set in that order, its
 prefix, of which two similar sets share one at least. Candidates that hang
 together by shared prefix shingles are laid out side by side in blocks.
 
-The global order is cut into ``FRAGMENTS`` ranges. What two blocks have in one
-range is one task, which counts the partial overlaps of their sets; these
-counts go on by pair of blocks, where they are summed and held against the
-threshold. Shingles of one document alone overlap with nothing and aren't sent.
-A pair of blocks returns no more links than it needs to connect what it found
-to be linked.
-
-Each block is compared with itself first. The smallest members of what is then
-connected are laid out and compared alone, as long as that halves them; so a
-large group of near copies shrinks by a block's size at each turn. Pairs of
-blocks come last, and only of those documents that share a prefix shingle with
-one they aren't connected with yet.
+The global order is cut into ``FRAGMENTS`` ranges. Two blocks have a table of
+partial overlaps of their sets for each range; these tables go on by pair of
+blocks, where they are summed and held against the threshold. A pair of blocks
+returns no more links than it needs to connect what it found to be linked.
+
+Each block is compared with itself first. The smallest members of the groups
+that this connects are laid out and compared alone, as long as that halves
+them; so a large group of near copies shrinks by a block's size at each turn.
+Pairs of blocks come last, and only of those documents that share a prefix
+shingle with one they aren't connected with yet.
 
 No list of a shingle's documents is ever built, and classes, links and
 components stay in Spark. Nothing is broadcast by the operator.
@@ -31,11 +29,11 @@ columns are ignored. Shingles are equal when their 64-bit hashes are.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,21 +94,20 @@ def _described(bits: int, words: int, percent: int):
                 prefix = (np.arange(len(hashes)) - first[:-1][of] < length[of]) & common[order]
                 counts = np.bincount(of[prefix], minlength=len(n))
                 prefixes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(hashes[order][prefix].view(np.int64)))
-                asked = common & (counts > 0)[of]
-                shared = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of[asked], minlength=len(n)))]).astype(np.int32)), pa.array(hashes[asked].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), *map(pa.array, keys), prefixes, shared], ["doc_id", "n_shingles", "key1", "key2", "prefix", "shared"])
+                kept = pc.if_else(pa.array(counts > 0), texts, pa.nulls(len(texts), pa.binary()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), *map(pa.array, keys), prefixes, kept], ["doc_id", "n_shingles", "key1", "key2", "prefix", "text"])
 
     return run
 
 
 def described(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """For each row of docs: doc_id, n_shingles, key1, key2 (of its set), prefix (its prefix's shingles that several documents may have), shared (all of those, if there is a prefix)."""
+    """For each row of docs: doc_id, n_shingles, key1, key2 (of its set), prefix (its prefix's shingles that several documents may have), text if there are any."""
 
     def keys_of(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return packs.distinct(shingle_sets(texts, words)[0])
 
     flagged, bits = packs.repeated(*packs.packed(docs), keys_of, 0.2)
-    return stored(flagged.mapInArrow(_described(bits, words, percent), "doc_id long, n_shingles long, key1 long, key2 long, prefix array<long>, shared array<long>"))
+    return stored(flagged.mapInArrow(_described(bits, words, percent), "doc_id long, n_shingles long, key1 long, key2 long, prefix array<long>, text binary"))
 
 
 class Forest:
@@ -131,49 +128,48 @@ class Forest:
         return i != j
 
 
-def _cut(fragments: int):
-    names = ["doc_id", "n_shingles", "left", "right", "side"]
+def _small(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32) if counts.max(initial=0) <= np.iinfo(t).max))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each range of the global order, with the shingles that the set has there; empty ones too."""
-        for batch in batches:
-            lists = batch.column("shared")
-            values = lists.flatten()
-            row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
-            part = (values.to_numpy().view(np.uint64) >> np.uint64(65 - fragments.bit_length())).astype(np.int64)
-            ends = np.cumsum(np.bincount(row * fragments + part, minlength=batch.num_rows * fragments))
-            segments = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
-            again = pa.array(np.repeat(np.arange(batch.num_rows), fragments))
-            fragment = pa.array(np.tile(np.arange(fragments, dtype=np.int32), batch.num_rows))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(again) for c in names), fragment, segments], [*names, "fragment", "segment"])
 
-    return run
+def _partial(words: int, fragments: int):
+    names = ("left", "right", "fragment", "ids", "sizes", "n_left", "counts")
 
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """For each range of the global order, how many shingles each set of the left block shares with each of the right one there.
 
-def _partial(key: tuple, table: pa.Table) -> pa.Table:
-    """How many shingles of one range each set of the left block shares with each of the right one (or of the left, if there is no other)."""
-    table = table.sort_by([("side", "ascending"), ("doc_id", "ascending")])
-    ids, sizes, side = (table.column(c).to_numpy() for c in ("doc_id", "n_shingles", "side"))
-    lists = table.column("segment").combine_chunks()
-    row = np.repeat(np.arange(len(ids)), np.asarray(lists.value_lengths()))
-    _, column, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-    rank = np.where(times > 1, np.cumsum(times > 1) - 1, -1)
-    column = rank[column]
-    row, column = row[column >= 0], column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    n_left = int((side == 0).sum())
-    left, right = (slice(0, n_left), slice(n_left, None)) if n_left < len(ids) else (slice(None), slice(None))
-    overlap = np.zeros((len(ids[left]), len(ids[right])), np.float32)
-    for first in range(0, int(rank.max(initial=-1)) + 1, COLUMNS):
-        own = slice(*np.searchsorted(column, [first, first + COLUMNS]))
-        has = np.zeros((len(ids), COLUMNS), np.float32)
-        has[row[own], column[own] - first] = 1
-        overlap += has[left] @ has[right].T
-    counts = zlib.compress(overlap.astype(np.uint32).tobytes(), 1) if overlap.any() else b""
-    told = key[2].as_py() == 0  # ids and sizes once for each pair of blocks
-    row_of = {"left": key[0].as_py(), "right": key[1].as_py(), "n_left": n_left, "ids": ids.astype(np.int64).tobytes() if told else b"", "sizes": sizes.astype(np.int64).tobytes() if told else b"", "counts": counts}
-    return pa.table({"left": pa.array([row_of["left"]], pa.int64()), "right": pa.array([row_of["right"]], pa.int64()), "n_left": pa.array([n_left], pa.int32()), **{c: pa.array([row_of[c]], pa.binary()) for c in ("ids", "sizes", "counts")}})
+        Without a right block, the left one is compared with itself. Ids and sizes come with the first range.
+        """
+        table = table.sort_by([("side", "ascending"), ("doc_id", "ascending")])
+        hashes, first = shingle_sets(table.column("text"), words)
+        ids, side = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
+        n_left = int((side == 0).sum())
+        left, right = (slice(0, n_left), slice(n_left, None)) if n_left < len(ids) else (slice(None), slice(None))
+        sizes = np.diff(first).astype(np.int64)
+        row = np.repeat(np.arange(len(ids)), sizes)
+        found, column, times = np.unique(hashes, return_inverse=True, return_counts=True)  # the global order: by hash
+        kept = times > 1
+        rank = np.where(kept, np.cumsum(kept) - 1, -1)[column]
+        order = np.argsort(rank, kind="stable")
+        order = order[int((rank < 0).sum()) :]
+        row, rank = row[order], rank[order]
+        bounds = np.searchsorted(found[kept], np.arange(1, fragments, dtype=np.uint64) << np.uint64(65 - fragments.bit_length()))
+        out: dict[str, list] = {name: [] for name in names}
+        for k, (begin, end) in enumerate(zip([0, *bounds], [*bounds, int(kept.sum())], strict=True)):
+            overlap = np.zeros((len(ids[left]), len(ids[right])), np.float32)
+            for at in range(begin, end, COLUMNS):
+                own = slice(*np.searchsorted(rank, [at, min(end, at + COLUMNS)]))
+                has = np.zeros((len(ids), COLUMNS), np.float32)
+                has[row[own], rank[own] - at] = 1
+                overlap += has[left] @ has[right].T
+            if k == 0 or overlap.any():
+                told = [ids.astype(np.int64).tobytes(), sizes.tobytes()] if k == 0 else [b"", b""]
+                for name, value in zip(names, [key[0].as_py(), key[1].as_py(), k, *told, n_left, packs.squeezed(_small(overlap).tobytes())], strict=True):
+                    out[name].append(value)
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
+        return pa.table({name: pa.array(out[name], t) for name, t in zip(names, types, strict=True)})
+
+    return run
 
 
 def _summed(percent: int):
@@ -184,8 +180,8 @@ def _summed(percent: int):
         left, right = np.arange(n_left), np.arange(shift, len(ids))
         overlap = np.zeros((len(left), len(right)), np.int64)
         for counts in table.column("counts"):
-            if counts.as_py():
-                overlap += np.frombuffer(zlib.decompress(counts.as_py()), np.uint32).reshape(overlap.shape)
+            data = packs.unsqueezed(counts.as_py())
+            overlap += np.frombuffer(data, f"<u{len(data) // overlap.size}").reshape(overlap.shape)
         union = sizes[left][:, None] + sizes[right][None, :] - overlap
         a, b = np.nonzero((overlap > 0) & (100 * overlap >= percent * union))
         forest = Forest(len(ids))
@@ -195,10 +191,9 @@ def _summed(percent: int):
     return run
 
 
-def compared(sets: DataFrame, work: DataFrame, percent: int) -> DataFrame:
+def compared(sets: DataFrame, work: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges (a, b) that connect what links; work: doc_id, left, right (blocks) and side (0 in the left one, 1 in the right one)."""
-    cut = sets.select("doc_id", "n_shingles", "shared").join(work, "doc_id").mapInArrow(_cut(FRAGMENTS), "doc_id long, n_shingles long, left long, right long, side int, fragment int, segment array<long>")
-    partial = cut.groupBy("left", "right", "fragment").applyInArrow(_partial, "left long, right long, n_left int, ids binary, sizes binary, counts binary")
+    partial = sets.select("doc_id", "text").join(work, "doc_id").groupBy("left", "right").applyInArrow(_partial(words, FRAGMENTS), "left long, right long, fragment int, ids binary, sizes binary, n_left int, counts binary")
     return stored(partial.groupBy("left", "right").applyInArrow(_summed(percent), "a long, b long"))
 
 
@@ -239,18 +234,21 @@ def _within(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc_id", F.col("block").alias("left"), F.col("block").alias("right"), F.lit(0).alias("side"))
 
 
-def _wide(blocks: DataFrame) -> DataFrame:
-    """Labels of more than one block."""
-    return stored(blocks.groupBy("label").agg(F.min("block").alias("low"), F.max("block").alias("high")).filter("low < high").select("label"))
-
-
 def _grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """rows (doc_id, ...) with the component that the edges put the document in; itself without any."""
     label = components(edges)
     return stored(rows.join(label, rows["doc_id"] == label["node"], "left").select(*rows.columns, F.coalesce("component", "doc_id").alias("component")))
 
 
-def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def _heads(grouped: DataFrame) -> DataFrame:
+    """The smallest member of each group of several documents, where its label has several such groups."""
+    groups = grouped.groupBy("label", "component").agg(F.count("*").alias("n")).filter("n > 1")
+    several = groups.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label")
+    named = groups.join(several, "label", "left_semi").select(F.col("component").alias("doc_id"))
+    return stored(grouped.join(named, "doc_id", "left_semi").select("doc_id", "n_shingles", "label"))
+
+
+def links(sets: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) that connect all that link, between the rows of sets (as described() gives, of one document for each set)."""
     rows = sets.filter(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "doc_id", "n_shingles")
     shared = stored(rows.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other")).filter(F.col("hub") != F.col("other")).drop("other"))
@@ -261,36 +259,36 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     label = components(first.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).unionByName(hubs))
     placed = stored(sets.join(label, sets["doc_id"] == label["node"]).select("doc_id", "n_shingles", F.col("component").alias("label")))
     blocks = blocks_of(placed)
-    edges = compared(sets, _within(blocks), percent)
-    wide = _wide(blocks)
+    edges = compared(sets, _within(blocks), words, percent)
+    wide = stored(blocks.groupBy("label").agg(F.min("block").alias("low"), F.max("block").alias("high")).filter("low < high").select("label"))
     if wide.isEmpty():
         return edges
-    # the smallest members of what is connected, alone, as long as that halves them
-    members = blocks.join(wide, "label", "left_semi").drop("block")
+    # the smallest members of connected groups, alone, as long as that halves them
+    members = stored(blocks.join(wide, "label", "left_semi"))
     grouped = _grouped(members, edges)
-    left = grouped.filter("doc_id = component").count()
-    while True:
-        again = blocks_of(grouped.filter("doc_id = component"))
-        edges = edges.unionByName(compared(sets, _within(again), percent))
+    heads = _heads(grouped)
+    left = heads.count()
+    while left > 1:
+        edges = edges.unionByName(compared(sets, _within(blocks_of(heads)), words, percent))
         grouped = _grouped(members, edges)
-        before, left = left, grouped.filter("doc_id = component").count()
+        heads, before = _heads(grouped), left
+        left = heads.count()
         if 2 * left > before:
             break
     # those that share a prefix shingle with one that they aren't connected with
-    open_ = near.join(grouped.select("doc_id", "label", "component"), "doc_id")
+    open_ = near.join(grouped.select("doc_id", "block", "component"), "doc_id")
     split = stored(open_.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token"))
-    open_ = stored(open_.join(split, "token"))
-    if open_.isEmpty():
-        return edges
-    last = blocks_of(open_.select("doc_id", "n_shingles", "label").distinct())
-    tokens = open_.select("token", "doc_id", "component").join(last, "doc_id").groupBy("token", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = stored(open_.join(split, "token").select("token", "doc_id", "n_shingles", "block", "component"))
+    tokens = open_.groupBy("token", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.min("component").alias("low"), F.max("component").alias("high"))
     i, j = tokens.alias("i"), tokens.alias("j")
     may = (F.col("i.token") == F.col("j.token")) & (F.col("i.block") < F.col("j.block")) & (F.col("i.most") * 100 >= F.col("j.least") * percent) & (F.col("j.most") * 100 >= F.col("i.least") * percent)
-    may &= (F.least("i.low", "j.low") < F.greatest("i.high", "j.high"))
+    may &= F.least("i.low", "j.low") < F.greatest("i.high", "j.high")
     pairs = stored(i.join(j, may).select(F.col("i.block").alias("left"), F.col("j.block").alias("right")).distinct())
+    if pairs.isEmpty():
+        return edges
     sides = pairs.select(F.col("left").alias("block"), "left", "right", F.lit(0).alias("side")).unionByName(pairs.select(F.col("right").alias("block"), "left", "right", F.lit(1).alias("side")))
-    across = last.join(sides, "block").select("doc_id", "left", "right", "side")
-    return edges.unionByName(compared(sets, _within(last).unionByName(across), percent))
+    across = open_.select("doc_id", "block").distinct().join(sides, "block").select("doc_id", "left", "right", "side")
+    return edges.unionByName(compared(sets, across, words, percent))
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -300,7 +298,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     named = sets.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = stored(named.groupBy(*key).agg(F.min("doc_id").alias("rep")))
     chosen = named.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").filter(F.size("prefix") > 0)
-    edges = links(stored(chosen.dropDuplicates([*key, "doc_id"])), percent)
+    edges = links(stored(chosen.dropDuplicates([*key, "doc_id"])), words, percent)
     # rows of one doc_id are one node
     same = named.join(classes, key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     twice = same.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).filter("b <> c")

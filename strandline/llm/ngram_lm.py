@@ -20,7 +20,9 @@ count share one more; after a context h of one or two tokens
 (c(hw) + m p(w | shorter h)) / (c(h) + m), with m of ``PRIOR``. Over all
 continuations of any context they sum to one, and so over all texts.
 
-N-grams are equal when 62 bits of their hashes are. Memory is about 150 bytes
+Words are equal when 63 bits of their hashes are. Pairs and triples have as many
+bits as tell all but one of some ten thousand apart, more in a larger corpus
+(key_bits): what costs disk is their keys. Memory is about 150 bytes
 for each byte of a blob, or of the longest text.
 
 Edge cases: a null text is empty and scores its end alone; with no training
@@ -49,7 +51,7 @@ PRIOR = (4.0, 2.0)
 END = np.uint64(0x27D4EB2F165667C5)
 #: Words of a stretch that is traversed by itself.
 STRETCH = 256
-WORD, PAIR, TRIPLE = 1, 2, 3
+WORD, PAIR, TRIPLE = 1, 2, 3  # tokens of an n-gram
 
 
 def sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,14 +65,23 @@ def sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first + 2 * np.arange(len(first))
 
 
-def ngram_keys(tokens: np.ndarray, first: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Keys of the words, pairs and triples that end at each position, and which positions have one within their text."""
+def key_bits(size: int) -> int:
+    """Bits of the keys of pairs and triples in a corpus of so many bytes: of those without a count one in 2**15 seems to have one."""
+    return min(63, max(44, int(size).bit_length() + 14))
+
+
+def ngram_keys(tokens: np.ndarray, first: np.ndarray, bits: int = 63) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Keys of the words, pairs and triples that end at each position, and which positions have one within their text.
+
+    Keys of words are even; those of pairs and triples are odd and differ in the highest bits alone.
+    """
     place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
     keys, valid = [], []
     for n in (WORD, PAIR, TRIPLE):
         key = np.zeros(len(tokens), np.uint64)
         key[n - 1 :] = mix(tokens) if n == WORD else window_hashes(tokens, n)
-        keys.append((key & ~np.uint64(3)) | np.uint64(n))
+        low = np.uint64(1 if n == WORD else 64 - bits)
+        keys.append((key >> low << low) | np.uint64(n != WORD))
         valid.append(place >= max(1, n - 1))
     return keys, valid
 
@@ -139,13 +150,10 @@ class Automaton:
 def automaton(keys: list[np.ndarray], valid: list[np.ndarray], names: np.ndarray, counts: np.ndarray, train_tokens: int, distinct: int) -> tuple[Automaton, np.ndarray, np.ndarray]:
     """The automaton of the n-grams of a blob; the number of the word at each position; the count of each word number."""
     number = np.searchsorted(names, np.concatenate(keys)).reshape(3, -1)
-    number[:, ~valid[0]] = np.searchsorted(names, mix(END[None]) & ~np.uint64(3) | np.uint64(WORD))  # the end in front is the end
-    kind = (names & np.uint64(3)).astype(np.int64)
-    local = np.zeros(len(names), np.int64)
-    for n in (WORD, PAIR, TRIPLE):
-        local[kind == n] = np.arange(int((kind == n).sum()))
-    word = local[number[0]]
-    word_counts = counts[kind == WORD].astype(np.float64)
+    number[:, ~valid[0]] = np.searchsorted(names, mix(END[None]) & ~np.uint64(1))  # the end in front is the end
+    is_word = (names & np.uint64(1)) == 0
+    word = (np.cumsum(is_word) - 1)[number[0]]
+    word_counts = counts[is_word].astype(np.float64)
     p1 = (word_counts + 1.0) / (train_tokens + distinct + 1.0)
     where = []  # one position of each pair and triple that has a count
     for n in (PAIR, TRIPLE):
@@ -179,26 +187,27 @@ def scored(docs: DataFrame, learns: Column) -> DataFrame:
     To score other texts than those learned from, put both in one table.
     """
     blobs, size = packs.packed(docs.withColumn("_learns", F.coalesce(learns, F.lit(False))), ("_learns",))
+    bits = key_bits(size)
 
     def keys_of(i: int, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         tokens, first = sequences(batch.column("texts")[i].values)
-        keys, valid = ngram_keys(tokens, first)
+        keys, valid = ngram_keys(tokens, first, bits)
         learned = np.repeat(batch.column("_learns")[i].values.to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
         every, counts = np.concatenate([k[v] for k, v in zip(keys, valid, strict=True)]), np.concatenate([learned[v] for v in valid])
         names, number = np.unique(every, return_inverse=True)
         return names, np.bincount(number, counts, len(names)).astype(np.int64)
 
-    answered, sums = packs.counted(blobs, size, keys_of, 0.3)
-    found = {r.kind: r for r in sums.collect()}  # four rows
-    train_tokens, distinct = (int(found[WORD].total), int(found[WORD].distinct)) if WORD in found else (0, 0)
+    answered, sums, read = packs.counted(blobs, size, keys_of, 0.3, bits)
+    words = sums.filter("odd = 0").first()
+    train_tokens, distinct = (words.total, words.distinct) if words else (0, 0)
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, ids, texts, i in packs.opened(batch):
                 tokens, first = sequences(texts)
-                keys, valid = ngram_keys(tokens, first)
+                keys, valid = ngram_keys(tokens, first, bits)
                 names = np.unique(np.concatenate([k[v] for k, v in zip(keys, valid, strict=True)]))
-                model, word, counts = automaton(keys, valid, names, packs.answers_of(batch, i), train_tokens, distinct)
+                model, word, counts = automaton(keys, valid, names, read(batch, i, names), train_tokens, distinct)
                 own = np.repeat(np.arange(len(texts)), np.diff(first))
                 scores = [np.bincount(own, w * valid[0], len(texts)) for w in (np.ones(len(word)), counts[word] > 0, model.root[word])]
                 columns = {"n_tokens": scores[0].astype(np.int64), "n_known": scores[1].astype(np.int64), "train_tokens": np.full(len(texts), train_tokens), "base_score": scores[2], "score": model.score(word, first)}

@@ -103,14 +103,23 @@ def _bounds(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(KEY_BITS - bits))
 
 
+def squeezed(data: bytes) -> bytes:
+    """Compressed with an entropy code, which the shuffle's own compression lacks; the size comes first."""
+    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[4:], int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
+
+
 def _encoded(keys: np.ndarray, extra: np.ndarray) -> bytes:
-    """Differences of sorted keys by byte planes, so that the shuffle's compression finds the zeros."""
+    """Differences of sorted keys by byte planes, compressed."""
     steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return steps.view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].T.tobytes() + extra.tobytes()
+    return squeezed(steps.view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].T.tobytes() + extra.tobytes())
 
 
 def _decoded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(data, np.uint8).reshape(KEY_BITS // 8 + 1, -1)
+    planes = np.frombuffer(unsqueezed(data), np.uint8).reshape(KEY_BITS // 8 + 1, -1)
     steps = np.zeros((planes.shape[1], 8), np.uint8)
     steps[:, : KEY_BITS // 8] = planes[:-1].T
     return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64), planes[-1]
@@ -181,55 +190,70 @@ def _of_planes(data: bytes, width: int = 8) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def counted(blobs: DataFrame, total: int, keys_of: Callable, keys_per_byte: float) -> tuple[DataFrame, DataFrame]:
-    """blobs with answers: the corpus counts of their keys; and a table of sums (kind, distinct, total) over the keys that count.
+def _in_order(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The order in which a blob's sorted keys travel: by bucket, in a bucket even ones first."""
+    place = (keys >> np.uint64(64 - bits)) * np.uint64(2) + (keys & np.uint64(1))
+    return np.argsort(place, kind="stable")
+
+
+def counted(blobs: DataFrame, total: int, keys_of: Callable, keys_per_byte: float, odd_bits: int = 63) -> tuple[DataFrame, DataFrame, Callable]:
+    """blobs with answers: the corpus counts of their keys; a table of sums (odd, distinct, total) over the keys that count; and a reader.
 
-    keys_of(row number, batch) gives a blob's sorted distinct 64-bit keys, whose lowest two bits are a kind, and the
-    count of each in the blob. All counts are kept, whatever they are; answers_of() reads them.
+    keys_of(row number, batch) gives a blob's sorted distinct 64-bit keys, even or odd by kind, and the count of each in
+    the blob; of odd ones only the highest odd_bits differ. All counts are kept, whatever they are. The reader gets a
+    batch, a row number and the blob's sorted keys, and gives the corpus count of each.
     """
     bits = bucket_bits(total * keys_per_byte)
+    shifts = (np.uint64(1), np.uint64(64 - odd_bits))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, _, _, i in opened(batch):
                 keys, counts = keys_of(i, batch)
-                at = _whole_bounds(keys, bits)
+                order = _in_order(keys, bits)
+                keys, counts = keys[order], counts[order].astype(np.uint64)
+                bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                at = np.searchsorted(bucket, np.arange((1 << bits) + 1))
                 own = np.flatnonzero(np.diff(at))
-                data = [_whole_planes(np.diff(keys[at[b] : at[b + 1]], prepend=np.uint64(b) << np.uint64(64 - bits))) + _whole_planes(counts[at[b] : at[b + 1]].astype(np.uint64), 4) for b in own]
+                data = []
+                for b in own:
+                    part, base = keys[at[b] : at[b + 1]], np.uint64(b) << np.uint64(64 - bits)
+                    cut = int(np.searchsorted(part & np.uint64(1), 1))
+                    steps = [np.diff(k - base >> shift, prepend=np.uint64(0)) for k, shift in zip((part[:cut], part[cut:]), shifts, strict=True)]
+                    data.append(squeezed(cut.to_bytes(4, "little") + b"".join(map(_whole_planes, steps)) + _whole_planes(counts[at[b] : at[b + 1]], 4)))
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.full(len(own), blob)), pa.array(data, pa.binary())], ["bucket", "blob", "data"])
 
     def find(key: tuple, table: pa.Table) -> pa.Table:
         base = np.uint64(key[0].as_py()) << np.uint64(64 - bits)
         sizes, keys, counts = [], [], []
         for x in table.column("data"):
-            data = x.as_py()
-            sizes.append(len(data) // 12)
-            keys.append(base + np.cumsum(_of_planes(data[: 8 * sizes[-1]]), dtype=np.uint64))
-            counts.append(_of_planes(data[8 * sizes[-1] :], 4))
+            data = unsqueezed(x.as_py())
+            cut, n = int.from_bytes(data[:4], "little"), (len(data) - 4) // 12
+            sizes.append(n)
+            for odd, steps in enumerate((data[4 : 4 + 8 * cut], data[4 + 8 * cut : 4 + 8 * n])):
+                keys.append(base + (np.cumsum(_of_planes(steps), dtype=np.uint64) << shifts[odd]) + np.uint64(odd))
+            counts.append(_of_planes(data[4 + 8 * n :], 4))
         names, number = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(number, np.concatenate(counts)).astype(np.uint64)
         del keys, counts
-        answers = [_whole_planes(x) for x in np.split(sums[number], np.cumsum(sizes)[:-1])]
-        kind = (names & np.uint64(3)).astype(np.int64)
-        distinct, whole = (np.bincount(kind, w, 4).astype(np.int64) for w in (sums > 0, sums))
+        answers = [squeezed(_whole_planes(x)) for x in np.split(sums[number], np.cumsum(sizes)[:-1])]
+        odd = (names & np.uint64(1)).astype(np.int64)
         lists = []
-        for values in (distinct, whole):
-            told = np.zeros((len(sizes), 4), np.int64)
-            told[0] = values  # once for each bucket
-            lists.append(pa.FixedSizeListArray.from_arrays(pa.array(told.ravel()), 4).cast(pa.list_(pa.int64())))
+        for weights in (sums > 0, sums):
+            told = np.zeros((len(sizes), 2), np.int64)
+            told[0] = np.bincount(odd, weights, 2)  # once for each bucket
+            lists.append(pa.FixedSizeListArray.from_arrays(pa.array(told.ravel()), 2).cast(pa.list_(pa.int64())))
         return pa.table({"blob": table.column("blob"), "bucket": pa.array(np.full(len(sizes), key[0].as_py(), np.int32)), "counts": pa.array(answers, pa.binary()), "distinct": lists[0], "total": lists[1]})
 
+    def read(batch: pa.RecordBatch, i: int, keys: np.ndarray) -> np.ndarray:
+        parts = [_of_planes(unsqueezed(x["counts"])) for x in batch.column("answers")[i].as_py() or []]
+        out = np.empty(len(keys), np.int64)
+        out[_in_order(keys, bits)] = np.concatenate([np.empty(0, np.uint64), *parts])
+        return out
+
     sent = blobs.mapInArrow(send, "bucket int, blob long, data binary")
     found = stored(sent.groupBy("bucket").applyInArrow(find, "blob long, bucket int, counts binary, distinct array<long>, total array<long>"))
-    sums = found.select(F.posexplode(F.arrays_zip("distinct", "total")).alias("kind", "x")).groupBy("kind").agg(F.sum("x.distinct").alias("distinct"), F.sum("x.total").alias("total"))
+    release(blobs.sparkSession)
+    sums = found.select(F.posexplode(F.arrays_zip("distinct", "total")).alias("odd", "x")).groupBy("odd").agg(F.sum("x.distinct").alias("distinct"), F.sum("x.total").alias("total"))
     answers = found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("answers"))
-    return blobs.join(answers.hint("merge"), "blob", "left"), sums
-
-
-def _whole_bounds(keys: np.ndarray, bits: int) -> np.ndarray:
-    return np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
-
-
-def answers_of(batch: pa.RecordBatch, i: int) -> np.ndarray:
-    """The corpus counts of a blob's sorted distinct keys, from the column that counted() adds."""
-    return np.concatenate([np.empty(0, np.uint64), *(_of_planes(x["counts"]) for x in batch.column("answers")[i].as_py() or [])]).astype(np.int64)
+    return blobs.join(answers.hint("merge"), "blob", "left"), sums, read
