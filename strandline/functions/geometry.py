@@ -160,3 +160,62 @@ def ray_angle(a: Column, b: Column, point: Column) -> Column:
     """The angle under which a point sees two centres."""
     cosine = dot(unit(minus(a, point)), unit(minus(b, point)))
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+
+
+def quaternion_to_matrix(w: Column, x: Column, y: Column, z: Column) -> list[Column]:
+    """The nine entries, row by row, of the rotation matrix of a unit quaternion."""
+    return [
+        1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y),
+        2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x),
+        2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y),
+    ]
+
+
+def matrix_to_quaternion(m: list[Column]) -> list[Column]:
+    """The unit quaternion with w at or above 0 of a rotation matrix, from its largest diagonal term."""
+    squares = [1 + m[0] + m[4] + m[8], 1 + m[0] - m[4] - m[8], 1 - m[0] + m[4] - m[8], 1 - m[0] - m[4] + m[8]]
+    pairs = [m[7] - m[5], m[2] - m[6], m[3] - m[1]], [m[1] + m[3], m[2] + m[6], m[5] + m[7]]
+    (wx, wy, wz), (xy, xz, yz) = pairs
+    products = [[squares[0], wx, wy, wz], [wx, squares[1], xy, xz], [wy, xy, squares[2], yz], [wz, xz, yz, squares[3]]]
+    largest = F.greatest(*squares)
+    chosen = F.coalesce(*(F.when(square == largest, F.array(*row)) for square, row in zip(squares, products, strict=True)))
+    scaled = [F.get(chosen, F.lit(k)) / (2 * F.sqrt(largest)) for k in range(4)]
+    sign = F.when(scaled[0] < 0, -1.0).otherwise(1.0)
+    return [c * sign for c in scaled]
+
+
+def box_area(left: Column, top: Column, right: Column, bottom: Column) -> Column:
+    """Area of a box; 0 where it is turned inside out."""
+    return F.greatest(right - left, F.lit(0.0)) * F.greatest(bottom - top, F.lit(0.0))
+
+
+def match_cost(box: list[Column], other: list[Column]) -> Column:
+    """How far two boxes are apart: distance of their centres over the mean diagonal, and the log ratio of their areas."""
+    centre = [((a[0] + a[2]) / 2, (a[1] + a[3]) / 2) for a in (box, other)]
+    diagonal = [F.sqrt((a[2] - a[0]) ** 2 + (a[3] - a[1]) ** 2) for a in (box, other)]
+    far = F.sqrt((centre[0][0] - centre[1][0]) ** 2 + (centre[0][1] - centre[1][1]) ** 2) / ((diagonal[0] + diagonal[1]) / 2)
+    return far + F.abs(F.log(box_area(*box) / box_area(*other)))
+
+
+def to_crop(x: Column, y: Column, left: Column, top: Column, width: Column, height: Column, turn: Column, mirror: Column, scale: Column) -> tuple[Column, Column]:
+    """Source pixels as pixels of a crop that is turned by quarter turns (0, 90, 180 or 270 degrees, clockwise), mirrored and scaled, in this order."""
+    u, v = x - left, y - top
+    across = F.when(turn == 90, height - v).when(turn == 180, width - u).when(turn == 270, v).otherwise(u)
+    down = F.when(turn == 90, u).when(turn == 180, height - v).when(turn == 270, width - u).otherwise(v)
+    wide = F.when(turn.isin(90, 270), height).otherwise(width)
+    return F.when(mirror, wide - across).otherwise(across) * scale, down * scale
+
+
+def from_crop(x: Column, y: Column, left: Column, top: Column, width: Column, height: Column, turn: Column, mirror: Column, scale: Column) -> tuple[Column, Column]:
+    """The source pixels that to_crop() sends to these."""
+    wide = F.when(turn.isin(90, 270), height).otherwise(width)
+    down = y / scale
+    across = F.when(mirror, wide - x / scale).otherwise(x / scale)
+    u = F.when(turn == 90, down).when(turn == 180, width - across).when(turn == 270, width - down).otherwise(across)
+    v = F.when(turn == 90, height - across).when(turn == 180, height - down).when(turn == 270, across).otherwise(down)
+    return u + left, v + top
+
+
+def midpoint_span(a: list[Column], b: list[Column]) -> tuple[list[Column], Column]:
+    """The middle of two points, and their distance."""
+    return [(p + q) / 2 for p, q in zip(a, b, strict=True)], F.sqrt(sum(((p - q) ** 2 for p, q in zip(a, b, strict=True)), F.lit(0.0)))

@@ -18,8 +18,9 @@ BUCKET = 86_400_000_000
 def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, payload: list[str], direction: str = "backward", bucket: int = BUCKET, to: str = "match") -> DataFrame:
     """left with a struct of right's time and payload: its last row at or before (or first at or after) the time, or null.
 
-    Right rows at one time count in the order of their payload, the last one wins.
+    Right rows at one time count in the order of their payload, the last one wins. A null in a key or time matches nothing.
     """
+    right = right.dropna(subset=[*by, time])
     sign = 1 if direction == "backward" else -1
     clock = F.col(time) * sign
     rights = right.select(*by, clock.alias("_t"), F.struct(time, *payload).alias("_r"), F.lit(0).alias("_side"))

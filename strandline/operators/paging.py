@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,10 +12,19 @@ def keyset_page(df: DataFrame, order: str, cursor: int | None, size: int) -> Dat
     return rows.orderBy(order).limit(size)
 
 
-def byte_pages(df: DataFrame, by: list[str], order: str, body: str, most: int) -> DataFrame:
-    """df with the page (from 0) of each row, where pages are cut each time a further ``most`` bytes of bodies have passed."""
-    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("page", F.floor(F.coalesce(F.sum(F.octet_length(body)).over(before), F.lit(0)) / most).cast("long"))
+def byte_page(df: DataFrame, by: list[str], order: str, body: str, most: int, cursor: Column | None = None) -> DataFrame:
+    """Each key's page after the cursor: rows in order until the next one would make more than ``most`` bytes of bodies.
+
+    next_cursor is the order of the page's last row, null where nothing follows. A body that is larger by itself raises.
+    """
+    size = F.coalesce(F.octet_length(body), F.lit(0))
+    checked = F.when(size > most, F.raise_error(F.concat(F.lit("individual entity exceeds response bound: "), F.col(order).cast("string"))).cast("int")).otherwise(size)
+    rows = df if cursor is None else df.filter(F.col(order) > cursor)
+    in_order = Window.partitionBy(*by).orderBy(order)
+    rows = rows.withColumns({"_upto": F.sum(checked).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_next": F.lead(checked).over(in_order)})
+    page = rows.filter(F.col("_upto") <= most)
+    last = F.when(F.col("_next").isNotNull() & (F.col("_upto") + F.col("_next") > most), F.col(order))
+    return page.withColumn("next_cursor", F.max(last).over(Window.partitionBy(*by))).drop("_upto", "_next")
 
 
 def top_with_margin(df: DataFrame, by: list[str], score: str, tie: str) -> DataFrame:

@@ -1,51 +1,54 @@
 """Local weighted polynomial regression over centred windows of time.
 
-Normal equations of a quadratic are sums over a window frame, so the fit is a
-closed form of window aggregates and stays in Spark's generated code. Time is
-integral microseconds; each row is the origin of its own fit.
+Each row is the origin of its own fit, in units of the radius, so that sums
+stay of one size on series of any length. Series are cut into buckets of time
+that overlap by the radius: a key with many rows is spread over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MICRO = 1e-6
+#: Radii in a bucket.
+BUCKET_RADII = 64
 
 
-def local_quadratic(df: DataFrame, by: list[str], time: str, value: str, radius: int, ridge: float = 0.0, least: int = 3) -> DataFrame:
-    """df with n_fit, smooth, velocity and acceleration of the value from a quadratic over the rows within radius (microseconds).
+def local_quadratic(df: DataFrame, by: list[str], time: str, value: str, radius: int, ridge: float = 0.0, least: int = 3, sigma: str | None = None) -> DataFrame:
+    """df with n_fit, smooth, velocity, acceleration and smooth_sigma of the value from a quadratic over the rows within radius (microseconds).
 
-    Null where fewer than ``least`` rows are near or they don't determine a quadratic. ``ridge`` is added to the
-    equation of the square, scaled with the radius.
+    Rows weigh as the inverse square of sigma, where that column is given; smooth_sigma is the fit's own uncertainty then,
+    and that of a unit uncertainty otherwise. Rows without a value or with a sigma that isn't above 0 don't count. Null
+    where fewer than ``least`` rows are near or they don't determine a quadratic. ``ridge`` is added to the equation of
+    the square, in units of the radius. Rows without a time are dropped.
     """
-    frame = Window.partitionBy(*by).orderBy(time).rangeBetween(-radius, radius)
-    # sums about the key's first instant, then moved to each row's own
-    origin = F.min(time).over(Window.partitionBy(*by))
-    t = (F.col(time) - origin) * MICRO
-    rows = df.withColumn("_t", t)
-    sums = {f"_s{k}": F.sum(F.pow("_t", F.lit(k))).over(frame) for k in range(5)} | {f"_m{k}": F.sum(F.col(value) * F.pow("_t", F.lit(k))).over(frame) for k in range(3)}
-    rows = rows.withColumns(sums)
-    c, s, m = F.col("_t"), [F.col(f"_s{k}") for k in range(5)], [F.col(f"_m{k}") for k in range(3)]
-    moved = {
-        "_u1": s[1] - c * s[0],
-        "_u2": s[2] - 2 * c * s[1] + c * c * s[0],
-        "_u3": s[3] - 3 * c * s[2] + 3 * c * c * s[1] - c * c * c * s[0],
-        "_u4": s[4] - 4 * c * s[3] + 6 * c * c * s[2] - 4 * c * c * c * s[1] + c * c * c * c * s[0] + F.lit(ridge * (radius * MICRO) ** 4),
-        "_v1": m[1] - c * m[0],
-        "_v2": m[2] - 2 * c * m[1] + c * c * m[0],
-    }
-    rows = rows.withColumns(moved)
-    n, u1, u2, u3, u4 = s[0], *(F.col(f"_u{k}") for k in range(1, 5))
-    y0, y1, y2 = m[0], F.col("_v1"), F.col("_v2")
+    width = radius * BUCKET_RADII
+    row, bucket = F.monotonically_increasing_id(), F.floor(F.col(time) / width)
+    weight = F.lit(1.0) if sigma is None else F.when(F.col(sigma) > 0, 1 / (F.col(sigma) * F.col(sigma)))
+    near = F.array_distinct(F.transform(F.array(F.lit(-radius), F.lit(0), F.lit(radius)), lambda d: F.floor((F.col(time) + d) / width)))
+    copies = df.filter(F.col(time).isNotNull()).select("*", row.alias("_row"), bucket.alias("_own"), F.explode(near).alias("_bucket"))
+    frame = Window.partitionBy(*by, "_bucket").orderBy(time).rangeBetween(-radius, radius)
+    point = F.when(F.col(value).isNotNull() & weight.isNotNull(), F.struct(F.col(time).cast("long").alias("t"), F.col(value).cast("double").alias("y"), weight.alias("w")))
+    rows = copies.withColumn("_near", F.collect_list(point).over(frame)).filter("_bucket = _own")
+
+    def total(term) -> Column:
+        u = lambda x: (x["t"] - F.col(time)) / F.lit(float(radius))
+        return F.aggregate("_near", F.lit(0.0), lambda so_far, x: so_far + x["w"] * term(u(x), x["y"]))
+
+    terms = {"_s0": lambda u, y: F.lit(1.0), "_s1": lambda u, y: u, "_s2": lambda u, y: u * u, "_s3": lambda u, y: u * u * u, "_s4": lambda u, y: u * u * u * u, "_m0": lambda u, y: y, "_m1": lambda u, y: u * y, "_m2": lambda u, y: u * u * y}
+    rows = rows.withColumns({name: total(term) for name, term in terms.items()} | {"n_fit": F.size("_near").cast("long")})
+    n, u1, u2, u3, u4 = (F.col(f"_s{k}") for k in range(5))
+    u4 = u4 + F.lit(ridge)
+    y0, y1, y2 = (F.col(f"_m{k}") for k in range(3))
     det = n * (u2 * u4 - u3 * u3) - u1 * (u1 * u4 - u2 * u3) + u2 * (u1 * u3 - u2 * u2)
     a = y0 * (u2 * u4 - u3 * u3) - u1 * (y1 * u4 - y2 * u3) + u2 * (y1 * u3 - y2 * u2)
     b = n * (y1 * u4 - y2 * u3) - y0 * (u1 * u4 - u2 * u3) + u2 * (u1 * y2 - u2 * y1)
     q = n * (u2 * y2 - u3 * y1) - u1 * (u1 * y2 - u2 * y1) + y0 * (u1 * u3 - u2 * u2)
-    good = (n >= least) & (F.abs(det) > 1e-9 * F.greatest(F.abs(n * u2 * u4), F.lit(1e-30)))
-    out = {"n_fit": n.cast("long"), "smooth": F.when(good, a / det), "velocity": F.when(good, b / det), "acceleration": F.when(good, 2 * q / det)}
-    hidden = [*sums, *moved, "_t"]
-    return rows.withColumns(out).drop(*hidden)
+    good = (F.col("n_fit") >= least) & (det > 1e-6 * n * u2 * u4) & (u2 > 0)
+    r = radius * MICRO
+    fit = {"smooth": a / det, "velocity": b / det / r, "acceleration": 2 * q / det / (r * r), "smooth_sigma": F.sqrt((u2 * u4 - u3 * u3) / det)}
+    return rows.withColumns({name: F.when(good, x) for name, x in fit.items()}).drop(*terms, "_near", "_row", "_own", "_bucket")
 
 
 def local_slope(df: DataFrame, by: list[str], time: str, value: str, before: int, after: int, to: str = "slope") -> DataFrame:

@@ -17,8 +17,9 @@ def keyset_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def byte_capped_page(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("text is not null")
-    return paging.byte_pages(docs, ["source"], "doc_id", "text", 20_000).groupBy("source", "page").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("n_bytes"))
+    docs = table(spark, d, "documents").filter("octet_length(text) <= 20000")
+    page = paging.byte_page(docs, ["source"], "doc_id", "text", 20_000, F.lit(20))
+    return page.select("source", "doc_id", F.octet_length("text").alias("n_bytes"), "next_cursor")
 
 
 def top1_margin(spark: SparkSession, d: str) -> DataFrame:
@@ -119,8 +120,8 @@ QUERIES = {f.__name__: f for f in (keyset_page, byte_capped_page, top1_margin, e
 
 ORACLES = {
     "keyset_page": f"WITH {EVENTS} SELECT event_id, user_id, event_type FROM e WHERE event_id > (SELECT floor(avg(event_id)) FROM e) ORDER BY event_id LIMIT 257",
-    "byte_capped_page": """WITH p AS (SELECT source, strlen(text) AS b, coalesce(sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 20000 AS page FROM documents WHERE text IS NOT NULL)
-        SELECT source, page::BIGINT AS page, count(*) AS n, sum(b)::BIGINT AS n_bytes FROM p GROUP BY 1, 2""",
+    "byte_capped_page": """WITH p AS (SELECT source, doc_id, strlen(text) AS b, sum(strlen(text)) OVER w AS upto, lead(strlen(text)) OVER w AS following FROM documents WHERE strlen(text) <= 20000 AND doc_id > 20 WINDOW w AS (PARTITION BY source ORDER BY doc_id))
+        SELECT source, doc_id, b::INTEGER AS n_bytes, max(CASE WHEN upto + following > 20000 THEN doc_id END) OVER (PARTITION BY source) AS next_cursor FROM p WHERE upto <= 20000""",
     "top1_margin": f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER w AS rank, lead(value) OVER w AS next FROM e WINDOW w AS (PARTITION BY user_id ORDER BY value DESC, event_id))
         SELECT user_id, event_id, round(value, 6) AS value, round(value - next, 6) AS margin FROM r WHERE rank = 1""",
     "even_sample": f"""WITH {EVENTS}, r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY us) - 1 AS place, count(*) OVER (PARTITION BY user_id) AS n FROM e)

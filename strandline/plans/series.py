@@ -90,7 +90,7 @@ def local_quadratic(spark: SparkSession, d: str) -> DataFrame:
     # each event type is a series; its clock runs 86,400 times as fast, so that days are seconds
     scaled = events(spark, d).withColumn("fast", (F.col("us") / 86_400).cast("long"))
     out = smoothing.local_quadratic(scaled, ["event_type"], "fast", "value", 500_000, least=4)
-    return out.select("event_id", "n_fit", F.round("smooth", 0).alias("smooth"), F.round("velocity", -1).alias("velocity"))
+    return out.select("event_id", "n_fit", F.round("smooth", 4).alias("smooth"), F.round("velocity", 3).alias("velocity"), F.round("acceleration", 2).alias("acceleration"), F.round("smooth_sigma", 5).alias("smooth_sigma"))
 
 
 def short_gap_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -212,12 +212,14 @@ ORACLES = {
     "local_slope": f"""WITH {EVENTS}, t AS (SELECT *, (us // 3600 - min(us // 3600) OVER (PARTITION BY user_id)) * 1e-6 AS t FROM e)
         SELECT event_id, round(regr_slope(value, t) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 4) AS slope FROM t""",
     "local_quadratic": f"""WITH {EVENTS}, f AS (SELECT *, us // 86400 AS fast FROM e),
-        p AS (SELECT a.event_id, (b.fast - a.fast) * 1e-6 AS u, b.value AS y FROM f a JOIN f b ON a.event_type = b.event_type AND b.fast BETWEEN a.fast - 500000 AND a.fast + 500000),
+        p AS (SELECT a.event_id, (b.fast - a.fast) / 500000.0::DOUBLE AS u, b.value AS y FROM f a JOIN f b ON a.event_type = b.event_type AND b.fast BETWEEN a.fast - 500000 AND a.fast + 500000 WHERE b.value IS NOT NULL),
         s AS (SELECT event_id, count(*) AS n, sum(u) AS u1, sum(u * u) AS u2, sum(u ** 3) AS u3, sum(u ** 4) AS u4, sum(y) AS y0, sum(u * y) AS y1, sum(u * u * y) AS y2 FROM p GROUP BY 1),
         t AS (SELECT *, n * (u2 * u4 - u3 * u3) - u1 * (u1 * u4 - u2 * u3) + u2 * (u1 * u3 - u2 * u2) AS det FROM s)
-        SELECT event_id, n AS n_fit, round(CASE WHEN ok THEN (y0 * (u2 * u4 - u3 * u3) - u1 * (y1 * u4 - y2 * u3) + u2 * (y1 * u3 - y2 * u2)) / det END, 0) + 0.0 AS smooth,
-               round(CASE WHEN ok THEN (n * (y1 * u4 - y2 * u3) - y0 * (u1 * u4 - u2 * u3) + u2 * (u1 * y2 - u2 * y1)) / det END, -1) + 0.0 AS velocity
-        FROM (SELECT *, n >= 4 AND abs(det) > 1e-9 * greatest(abs(n * u2 * u4), 1e-30) AS ok FROM t)""",
+        SELECT event_id, n AS n_fit, round(CASE WHEN ok THEN (y0 * (u2 * u4 - u3 * u3) - u1 * (y1 * u4 - y2 * u3) + u2 * (y1 * u3 - y2 * u2)) / det END, 4) + 0.0 AS smooth,
+               round(CASE WHEN ok THEN (n * (y1 * u4 - y2 * u3) - y0 * (u1 * u4 - u2 * u3) + u2 * (u1 * y2 - u2 * y1)) / det / 0.5 END, 3) + 0.0 AS velocity,
+               round(CASE WHEN ok THEN 2 * (n * (u2 * y2 - u3 * y1) - u1 * (u1 * y2 - u2 * y1) + y0 * (u1 * u3 - u2 * u2)) / det / 0.25 END, 2) + 0.0 AS acceleration,
+               round(CASE WHEN ok THEN sqrt((u2 * u4 - u3 * u3) / det) END, 5) AS smooth_sigma
+        FROM (SELECT *, n >= 4 AND det > 1e-6 * n * u2 * u4 AND u2 > 0 AS ok FROM t)""",
     "short_gap_fill": f"""WITH {EVENTS}, v AS (SELECT event_id, user_id, us, CASE WHEN event_type <> 'error' THEN value END AS value FROM e),
         x AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN us END IGNORE NULLS) OVER b AS bt, last_value(value IGNORE NULLS) OVER b AS bv,
                      first_value(CASE WHEN value IS NOT NULL THEN us END IGNORE NULLS) OVER f AS ft, first_value(value IGNORE NULLS) OVER f AS fv FROM v

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +12,13 @@ from pyspark.sql import types as T
 
 #: Fixed tokens that stand for a missing value in detector CSV files.
 MISSING = ("", "nan", "na", "null")
-#: Fixed joints and sides of the wide CSV, in the order of its columns.
-JOINTS = ("shoulder", "elbow", "wrist", "hip", "knee", "ankle")
-SIDES = ("L", "R")
+#: Fixed joints of the wide CSV, in the order of its columns.
+JOINTS = ("L_shoulder", "R_shoulder", "L_elbow", "R_elbow", "L_wrist", "R_wrist", "L_hip", "R_hip", "L_knee", "R_knee", "L_ankle", "R_ankle")
 
 
 def wide_columns() -> list[str]:
-    """frame_index, time_ms, then x, y and score of every joint of each side."""
-    return ["frame_index", "time_ms", *(f"{side}_{joint}_{part}" for side in SIDES for joint in JOINTS for part in ("x", "y", "score"))]
+    """frame_index, time_ms, then x, y and score of every joint."""
+    return ["frame_index", "time_ms", *(f"{joint}_{part}" for joint in JOINTS for part in ("x", "y", "score"))]
 
 
 def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -33,13 +33,11 @@ def wide_to_long(wide: DataFrame) -> DataFrame:
     Missing tokens become null. problem names a joint that is missing in part, or a score that isn't in [0, 1]; coordinates
     off the frame are kept.
     """
-    names = [f"{side}_{joint}" for side in SIDES for joint in JOINTS]
-
     def number(column: str):
         text = F.lower(F.trim(F.col(column)))
         return F.when(~text.isin(*MISSING), F.col(column)).try_cast("double")
 
-    points = F.array(*(F.struct(F.lit(n).alias("landmark"), *(number(f"{n}_{p}").alias(p) for p in ("x", "y", "score"))) for n in names))
+    points = F.array(*(F.struct(F.lit(n).alias("landmark"), *(number(f"{n}_{p}").alias(p) for p in ("x", "y", "score"))) for n in JOINTS))
     long = wide.select(F.col("frame_index").cast("long").alias("frame_index"), F.col("time_ms").cast("double").alias("time_ms"), F.inline(points))
     known = sum((F.col(p).isNotNull().cast("int") for p in ("y", "score")), F.col("x").isNotNull().cast("int"))
     problem = F.when(~known.isin(0, 3), "missing_in_part").when(~F.col("score").between(0, 1), "score_out_of_range")
@@ -71,9 +69,12 @@ def published(spark: SparkSession, root: str, layer: str, identity: dict, produc
 
 
 def verified_files(spark: SparkSession, folder: str, receipt: DataFrame) -> DataFrame:
-    """path, problem (missing, wrong_size, wrong_hash) of a receipt's files (path, size, sha256) that aren't as it says; hashes are computed where the files are read."""
+    """path, problem (missing, wrong_size, wrong_hash) of a receipt's files (path below the folder, size, sha256) that aren't as it says; hashes are computed where the files are read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    found = files.select(F.element_at(F.split("path", "/"), -1).alias("path"), "length", F.sha2("content", 256).alias("hash"))
+    found = files.select(F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/").alias("full"), "length", F.sha2("content", 256).alias("hash"))
+    found = found.withColumn("path", F.expr(f"substring(full, {len(re.sub('^[a-z0-9]+:/*', '/', root)) + 2})")).drop("full")
     checked = receipt.join(found, "path", "left")
     problem = F.when(F.col("length").isNull(), "missing").when(F.col("length") != F.col("size"), "wrong_size").when(F.col("hash") != F.col("sha256"), "wrong_hash")
     return checked.select("path", problem.alias("problem")).filter("problem is not null")

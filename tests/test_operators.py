@@ -167,5 +167,33 @@ def test_artifacts_are_computed_once(spark, tmp_path):
 
 def test_receipts(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"abc")
-    receipt = spark.createDataFrame([("a.bin", 3, "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"), ("b.bin", 1, "x")], "path string, size long, sha256 string")
-    assert values(tables.verified_files(spark, str(tmp_path), receipt), "path", "problem") == [("b.bin", "missing")]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.bin").write_bytes(b"other")
+    receipt = spark.createDataFrame([("sub/a.bin", 3, "x"), ("a.bin", 3, "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"), ("b.bin", 1, "x")], "path string, size long, sha256 string")
+    assert sorted(values(tables.verified_files(spark, str(tmp_path), receipt), "path", "problem")) == [("b.bin", "missing"), ("sub/a.bin", "wrong_size")]
+
+
+def test_wide_csv_has_the_contract_order():
+    assert tables.wide_columns()[2:9] == ["L_shoulder_x", "L_shoulder_y", "L_shoulder_score", "R_shoulder_x", "R_shoulder_y", "R_shoulder_score", "L_elbow_x"]
+
+
+def test_asof_matches_no_null_key(spark):
+    left = spark.createDataFrame([(None, 10), ("a", 10), ("a", None)], "k string, t long")
+    right = spark.createDataFrame([(None, 5, 1), ("a", 5, 2), ("a", None, 3)], "k string, t long, v long")
+    found = {(r.k, r.t): r.match and r.match.v for r in asof.asof(left, right, ["k"], "t", ["v"]).collect()}
+    assert found == {(None, 10): None, ("a", 10): 2, ("a", None): None}
+
+
+def test_local_fit_of_a_line_for_an_hour(spark):
+    line = spark.range(0, 3600 * 50, 7).select((F.col("id") * 20_000).alias("t"), (F.col("id") * 0.02 * 3.0 + 1.0).alias("y"), F.lit(0.5).alias("s"), F.lit(1).alias("k"))
+    fit = smoothing.local_quadratic(line, ["k"], "t", "y", 600_000, sigma="s")
+    row = fit.agg(F.count("smooth"), F.min("velocity"), F.max("velocity"), F.max(F.abs("acceleration")), F.max(F.abs(F.col("smooth") - F.col("y"))), F.max("smooth_sigma")).first()
+    assert row[0] > 25_000 and abs(row[1] - 3) < 1e-6 and abs(row[2] - 3) < 1e-6 and row[3] < 1e-5 and row[4] < 1e-6 and 0 < row[5] < 0.6
+
+
+def test_pages_keep_their_cap(spark):
+    rows = spark.createDataFrame([("a", i, "x" * 9000) for i in range(6)], "k string, i long, body string")
+    assert [(r.i, r.next_cursor) for r in paging.byte_page(rows, ["k"], "i", "body", 10_000).collect()] == [(0, 0)]
+    assert [(r.i, r.next_cursor) for r in paging.byte_page(rows, ["k"], "i", "body", 18_000, F.lit(3)).collect()] == [(4, None), (5, None)]
+    with pytest.raises(Exception, match="exceeds"):
+        paging.byte_page(rows, ["k"], "i", "body", 5_000).collect()
