@@ -206,7 +206,7 @@ def overlap_graph(spark: SparkSession, d: str) -> DataFrame:
     seen = events(spark, d).filter("event_type = 'purchase'").select("user_id", F.floor(F.col("us") / (HOUR // 4)).alias("slot")).distinct()
     first = seen.groupBy("slot").agg(F.min("user_id").alias("a"))
     edges = seen.join(first, "slot").filter(F.col("a") != F.col("user_id")).select("a", F.col("user_id").alias("b")).distinct()
-    label = graphs.components(edges)
+    label = graphs.component_labels(edges)
     return statistics.reachable(edges, seen.select(F.col("user_id").alias("node")).distinct(), label)
 
 
