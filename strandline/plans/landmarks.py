@@ -37,11 +37,11 @@ def effective_frame(spark: SparkSession, d: str) -> DataFrame:
     offset = gates.effective_offset(manual, auto, F.when(F.col("k") % 2 == 0, F.lit(0.25)), F.col("event_type") == "view")
     at = F.col("us") / 1e6 + F.col("offset")
     rows = e.withColumn("offset", offset).withColumn("seconds", at)
-    return rows.select("event_id", F.round("offset", 6).alias("offset"), F.round("seconds", 5).alias("seconds"), gates.clock_consistent(F.col("us") / 1e6, F.col("offset"), F.col("seconds")).alias("consistent"))
+    return rows.select("event_id", F.round("offset", 6).alias("offset"), F.round("seconds", 3).alias("seconds"), gates.clock_consistent(F.col("us") / 1e6, F.col("offset"), F.col("seconds")).alias("consistent"))
 
 
 def rational_pts(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).select("event_id", F.round(gates.rational_seconds(F.col("event_id"), F.lit(1001), F.col("k") * 1000), 6).alias("seconds"))
+    return events(spark, d).select("event_id", F.round(gates.rational_seconds(F.col("event_id"), F.lit(1001), F.col("k") * 1000), 9).alias("seconds"))
 
 
 def movement_state(spark: SparkSession, d: str) -> DataFrame:
@@ -260,8 +260,8 @@ ORACLES = {
     "view_admission": f"""WITH {EVENTS}, r AS (SELECT *, concat_ws(',', CASE WHEN event_type = 'error' THEN 'unknown' END, CASE WHEN value < 5 THEN 'low_score' END, CASE WHEN k < 3 OR k > 90 THEN 'outside' END) AS reasons FROM e)
         SELECT event_id, reasons, round(CASE WHEN reasons = '' THEN 2.0 / greatest(value / 100, 0.1) END, 6) AS sigma FROM r""",
     "effective_frame": f"""WITH {EVENTS}, o AS (SELECT *, CASE WHEN k < 10 THEN k * 0.5::DOUBLE WHEN k > 30 THEN value / 10 + CASE WHEN k % 2 = 0 THEN 0.25 ELSE 0 END WHEN event_type = 'view' THEN CASE WHEN k % 2 = 0 THEN 0.25 ELSE 0 END END AS o FROM e)
-        SELECT event_id, round(o, 6) AS "offset", round(us / 1e6 + o, 5) AS seconds, o IS NOT NULL AS consistent FROM o""",
-    "rational_pts": f"WITH {EVENTS} SELECT event_id, round(CASE WHEN k <> 0 THEN event_id::DOUBLE * 1001 / (k * 1000) END, 6) AS seconds FROM e",
+        SELECT event_id, round(o, 6) AS "offset", round(us / 1e6 + o, 3) AS seconds, o IS NOT NULL AS consistent FROM o""",
+    "rational_pts": f"WITH {EVENTS} SELECT event_id, round(CASE WHEN k <> 0 THEN event_id::DOUBLE * 1001 / (k * 1000) END, 9) AS seconds FROM e",
     "movement_state": f"""WITH {EVENTS} SELECT event_id, CASE WHEN event_type = 'error' THEN 'unknown' WHEN value - k / 10.0::DOUBLE > 30 THEN 'moving' WHEN value + k / 10.0::DOUBLE <= 30 THEN 'quiet' ELSE 'unknown' END AS state FROM e""",
     "point_relations": f"""WITH {EVENTS}, x AS (SELECT event_id, 'lateral' AS axis, value - 20 AS v, 'right' AS low, 'left' AS high FROM e UNION ALL SELECT event_id, 'vertical', k - 50.0::DOUBLE, 'below', 'above' FROM e
             UNION ALL SELECT event_id, 'forward', CASE WHEN k > 4 THEN value - k END, 'behind', 'ahead' FROM e)
