@@ -134,7 +134,10 @@ def hand_state(fingers: Column) -> Column:
 def crossing(frame: Column, left_elbow: Column, left_wrist: Column, right_elbow: Column, right_wrist: Column) -> Column:
     """Whether forearms cross in the plane of a body's right and up axes (crossed, not_crossed, unknown), and which is in front."""
     joints = {"a": left_elbow, "b": left_wrist, "c": right_elbow, "d": right_wrist}
-    turned = F.struct(*(within(frame, p).alias(n) for n, p in joints.items()), total_sigma(*joints.values()).alias("sigma"), frame["sigma"].alias("angle"))
+    given = F.struct(frame.alias("frame"), *(p.alias(n) for n, p in joints.items()), total_sigma(*joints.values()).alias("sigma"))
+
+    def turned(s: Column) -> Column:
+        return F.struct(*(within(s["frame"], s[n]).alias(n) for n in joints), s["sigma"].alias("sigma"), s["frame"]["sigma"].alias("angle"))
 
     def sides(s: Column) -> Column:
         u, v, w = minus(s["b"], s["a"]), minus(s["d"], s["c"]), minus(s["c"], s["a"])
@@ -162,7 +165,7 @@ def crossing(frame: Column, left_elbow: Column, left_wrist: Column, right_elbow:
         front = F.when(~outside & inside & (F.abs(depth) > margin), F.when(depth > 0, "left_forearm").otherwise("right_forearm"))
         return F.struct(value.alias("value"), front.alias("front"))
 
-    return bound(bound(bound(turned, sides), solved), told)
+    return bound(bound(bound(bound(given, turned), sides), solved), told)
 
 
 def placement(first: dict[str, Column], second: dict[str, Column], body: Column, body_sigma: Column) -> list[Column]:
