@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontamination, fm_index, jaccard, language, mixing, ngram_lm, pii, substrings, topk, toxicity
+from strandline.llm import centroids, decontamination, fm_index, grace, jaccard, language, mixing, ngram_lm, pii, substrings, topk, toxicity, trie
 from strandline.llm.tables import read
 
 
@@ -51,6 +51,20 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(read(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grace.classes(read(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.prefixes(read(spark, sf_dir, "conversations"))
+    conv_id = F.col("conv_id")
+    return trie.trie(trie.rebuilt(turns, conv_id - conv_id % 20, F.crc32(conv_id.cast("string")) % 4))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array": op1_suffix_array,
@@ -63,9 +77,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_top_k": op10_top_k,
+        "op11_centroids": op11_centroids,
+        "op12_exact_dedup": op12_exact_dedup,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
+def _lloyd_rounds(rounds: int) -> str:
+    """a0, c1, a1 ... as SQL: nearest centroids of c0, centroids moved to them, and so on."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+            SELECT r, any_value(vec_id) AS vec_id, min(c) FILTER (d = least) AS c, any_value(least) AS distance
+            FROM (SELECT *, min(d) OVER (PARTITION BY r) AS least FROM (
+                SELECT r, vec_id, c, (list_dot_product(v, v) + list_dot_product(m, m) - 2 * list_dot_product(v, m))::BIGINT AS d
+                FROM v CROSS JOIN c{k}))
+            GROUP BY r)""")
+        if k < rounds:
+            steps.append(f"""c{k + 1} AS MATERIALIZED (
+            SELECT c, coalesce(moved, m) AS m FROM c{k} LEFT JOIN (
+                SELECT c, list(x ORDER BY j) AS moved FROM (
+                    SELECT c, j, CAST(sum(x) // count(*) - (sum(x) % count(*) < 0)::INTEGER AS BIGINT) AS x
+                    FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS j FROM v JOIN a{k} USING (r)) GROUP BY c, j)
+                GROUP BY c) USING (c))""")
+    return ",\n        ".join(steps)
+
+
 ORACLES = {
     "op1_suffix_array": """
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -153,6 +190,59 @@ ORACLES = {
             FROM v AS q JOIN v AS c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_centroids": f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+            FROM embeddings WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS m
+            FROM v QUALIFY c < 40),
+        {_lloyd_rounds(5)},
+        t AS (SELECT a5.*, m FROM a5 JOIN c5 USING (c))
+        SELECT vec_id, c::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+            (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+        FROM t""",
+    "op12_exact_dedup": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t
+            FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+            row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+        FROM d WINDOW w AS (PARTITION BY t ORDER BY doc_id NULLS LAST, r)""",
+    "op13_prefix_trie": r"""
+        WITH o AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+            FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (
+            SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(
+                list_prepend(4294967295::UBIGINT, [ascii(x)::UBIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+                lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+                    lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT) % 4 AS h
+            FROM (SELECT DISTINCT conv_id FROM o)),
+        r AS (
+            SELECT c.conv_id, 0 AS part, i, role, text FROM c JOIN o ON o.conv_id = base AND i < h
+            UNION ALL SELECT c.conv_id, 1, i, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND i >= h),
+        s AS (
+            SELECT conv_id, coalesce(list({'role': role, 'text': text} ORDER BY part, i) FILTER (part IS NOT NULL), []) AS turns
+            FROM c LEFT JOIN r USING (conv_id) GROUP BY conv_id),
+        p AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM s),
+        n AS (
+            SELECT depth, turns[1:depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+                string_agg(conv_id, ',' ORDER BY conv_id) FILTER (depth = len(turns)) AS ids
+            FROM p GROUP BY ALL),
+        m AS (
+            SELECT n.*, up.conv_id AS parent_conv_id, CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) *
+                len(list_filter(regexp_split_to_array(n.prefix[n.depth].text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) END AS own
+            FROM n LEFT JOIN n AS up ON up.depth = n.depth - 1 AND up.prefix = n.prefix[1:n.depth - 1]),
+        k AS (
+            SELECT *, (SELECT count(*) FROM m AS x WHERE x.depth = m.depth + 1 AND x.prefix[1:m.depth] = m.prefix) AS n_children
+            FROM m),
+        b AS (SELECT k.*, unnest(range(0, depth + 1)) AS level FROM k),
+        t AS (SELECT level, prefix[1:level] AS top, sum(own) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM b GROUP BY ALL)
+        SELECT conv_id, depth, parent_conv_id, n_convs, n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens,
+            sha256(coalesce(ids, '')) AS ends_sha256
+        FROM k JOIN t ON level = depth AND top = prefix""",
 }
 
 

@@ -46,3 +46,10 @@ def drop_stored(*frames: DataFrame) -> None:
 def remainder(id_column: str, modulus: int) -> Column:
     """crc32 of the id as text modulo modulus; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % F.lit(modulus)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, or with so many underscores before it that no column in taken is called so, whatever its case."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
