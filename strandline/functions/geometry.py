@@ -189,12 +189,25 @@ def box_area(left: Column, top: Column, right: Column, bottom: Column) -> Column
     return F.greatest(right - left, F.lit(0.0)) * F.greatest(bottom - top, F.lit(0.0))
 
 
-def match_cost(box: list[Column], other: list[Column]) -> Column:
-    """How far two boxes are apart: distance of their centres over the mean diagonal, and the log ratio of their areas."""
-    centre = [((a[0] + a[2]) / 2, (a[1] + a[3]) / 2) for a in (box, other)]
-    diagonal = [F.sqrt((a[2] - a[0]) ** 2 + (a[3] - a[1]) ** 2) for a in (box, other)]
-    far = F.sqrt((centre[0][0] - centre[1][0]) ** 2 + (centre[0][1] - centre[1][1]) ** 2) / ((diagonal[0] + diagonal[1]) / 2)
-    return far + F.abs(F.log(box_area(*box) / box_area(*other)))
+#: Fixed weights of a match: centres, torso, size; and the least score of a torso point that counts.
+MATCH_WEIGHTS, TORSO_SCORE = (0.45, 0.35, 0.2), 0.2
+
+
+def match_cost(before: list[Column], now: list[Column], torso: Column) -> Column:
+    """How far a candidate's box (left, top, right, bottom) is from the last one's, in roots of the last one's area (1 at least).
+
+    torso is an array of (score, distance) of the shoulders and hips that both have, score being the lower of the two; points
+    below TORSO_SCORE don't count, and without any the centres stand for them. Areas count as 1 at least.
+    """
+    old, new = box_area(*before), box_area(*now)
+    scale = F.greatest(F.sqrt(old), F.lit(1.0))
+    middles = [((a[0] + a[2]) / 2, (a[1] + a[3]) / 2) for a in (before, now)]
+    centre = F.hypot(middles[0][0] - middles[1][0], middles[0][1] - middles[1][1]) / scale
+    sure = F.filter(torso, lambda p: p["score"] >= TORSO_SCORE)
+    total = F.aggregate(sure, F.lit(0.0), lambda so_far, p: so_far + p["distance"])
+    points = F.coalesce(F.when(F.size(sure) > 0, total / F.size(sure) / scale), centre)
+    size = F.abs(F.log(F.greatest(new, F.lit(1.0)) / F.greatest(old, F.lit(1.0))))
+    return MATCH_WEIGHTS[0] * centre + MATCH_WEIGHTS[1] * points + MATCH_WEIGHTS[2] * size
 
 
 def to_crop(x: Column, y: Column, left: Column, top: Column, width: Column, height: Column, turn: Column, mirror: Column, scale: Column) -> tuple[Column, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions import gates, geometry
+from strandline.functions import evidence, gates, geometry
 from strandline.operators import graphs, ordering, statistics
 from strandline.plans.base import DAY, EVENTS, HOUR, ORDERS, events, orders, table
 
@@ -16,7 +16,8 @@ def state():
 
 
 def landmark_gate(spark: SparkSession, d: str) -> DataFrame:
-    usable = gates.landmark_usable(F.col("user_id") % 3 > 0, F.col("value"), F.col("k"), state(), F.col("k") - 5, F.when(F.col("k") % 4 > 0, F.col("value") > 1))
+    selected = F.when(F.col("k") % 7 > 0, F.col("user_id") % 3 > 0)
+    usable = gates.landmark_usable(selected, F.col("value"), F.col("k"), state(), F.when(F.col("k") % 3 > 0, F.col("k") - 5), F.when(F.col("k") % 4 > 0, F.col("value") > 1))
     return events(spark, d).select("event_id", usable.alias("usable"))
 
 
@@ -26,15 +27,24 @@ def support_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def view_admission(spark: SparkSession, d: str) -> DataFrame:
-    rules = {"unknown": F.col("event_type") == "error", "low_score": F.col("value") < 5, "outside": (F.col("k") < 3) | (F.col("k") > 90)}
-    e = events(spark, d).withColumn("reasons", gates.reject_reasons(rules))
-    return e.select("event_id", F.array_join("reasons", ",").alias("reasons"), F.round(F.when(F.size("reasons") == 0, gates.view_sigma(F.lit(2.0), F.col("value") / 100, 0.1)), 6).alias("sigma"))
+    """Reasons against each event as a view of a landmark, its user's calibration and clock, and the noise of those admitted."""
+    known = F.lit("observed")
+    score = F.when(F.col("k") % 5 > 0, F.col("value") / 100)
+    point = evidence.quality(state(), score, F.lit(0.0), F.array())
+    clock = evidence.quality(F.when(F.col("user_id") % 11 > 0, known).otherwise("unknown"), F.col("k") / 100.0, F.lit(0.0), F.array())
+    camera = F.when(F.col("user_id") % 7 > 0, evidence.quality(known, F.when(F.col("user_id") % 2 > 0, F.lit(0.04)), F.lit(0.0), F.array()))
+    bracket = F.when(F.col("event_id") % 2 == 0, F.lit(0.1))
+    e = events(spark, d).withColumns({"point": point, "clock": clock, "camera": camera})
+    reasons = gates.view_reasons(F.col("k") != 13, F.col("value"), F.col("value"), F.col("point"), F.col("k") - 2, F.col("clock"), F.col("camera"), 0.05)
+    sigma = gates.view_sigma(2.0, F.col("point.score"), F.lit(1.5), F.col("camera.score"), F.lit(0.02), F.col("clock.score"), 30.0, bracket)
+    e = e.withColumn("reasons", reasons)
+    return e.select("event_id", F.array_join("reasons", ",").alias("reasons"), F.round(F.when(F.size("reasons") == 0, sigma), 6).alias("sigma"))
 
 
 def effective_frame(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
     manual, auto = F.when(F.col("k") < 10, F.col("k") * 0.5), F.when(F.col("k") > 30, F.col("value") / 10)
-    offset = gates.effective_offset(manual, auto, F.when(F.col("k") % 2 == 0, F.lit(0.25)), F.col("event_type") == "view")
+    offset = gates.effective_offset(manual, auto, F.when(F.col("k") % 2 == 0, F.lit(0.25)), F.col("event_type") == "view", F.col("user_id") % 5 > 0)
     at = F.col("us") / 1e6 + F.col("offset")
     rows = e.withColumn("offset", offset).withColumn("seconds", at)
     return rows.select("event_id", F.round("offset", 6).alias("offset"), F.round("seconds", 3).alias("seconds"), gates.clock_consistent(F.col("us") / 1e6, F.col("offset"), F.col("seconds")).alias("consistent"))
@@ -45,14 +55,22 @@ def rational_pts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def movement_state(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).select("event_id", gates.tri_state(F.when(F.col("event_type") != "error", F.col("value")), F.col("k") / 10.0, 30.0).alias("state"))
+    """Whether each event moves, by its value as a linear and its k as an angular rate."""
+    linear = evidence.quality(state(), F.lit(None).cast("double"), F.col("k") / 10.0, F.array("event_type"))
+    angular = evidence.quality(F.lit("inferred"), F.lit(None).cast("double"), F.when(F.col("user_id") % 3 > 0, F.lit(1.0)), F.array("event_type"))
+    found = gates.movement([(F.col("value"), linear, 40.0, 30.0), (F.col("k").cast("double"), angular, 80.0, 60.0)], 2.0)
+    return events(spark, d).select("event_id", found.alias("state"))
 
 
 def point_relations(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d)
-    axes = {"lateral": (F.col("value") - 20, ("right", "left")), "vertical": (F.col("k") - 50.0, ("below", "above")), "forward": (F.when(F.col("k") > 4, F.col("value") - F.col("k")), ("behind", "ahead"))}
-    found = F.array(*(F.struct(F.lit(axis).alias("axis"), gates.relation(delta, F.lit(3.0), names).alias("relation")) for axis, (delta, names) in axes.items()))
-    return e.select("event_id", F.inline(found))
+    """Events as points beside the origin of a frame turned about its up axis."""
+    e = events(spark, d).withColumns({"c": F.cos(F.col("user_id") / 7.0), "s": F.sin(F.col("user_id") / 7.0)})
+    zero, one = F.lit(0.0), F.lit(1.0)
+    axes = [[F.col("c"), F.col("s"), zero], [-F.col("s"), F.col("c"), zero], [zero, zero, one]]
+    point = [F.col("value") - 20, F.when(F.col("k") > 4, F.col("k") - 50.0), F.col("value") - F.col("k")]
+    found = gates.relations(point, [zero, zero, zero], axes, F.lit(1.0), F.when(F.col("event_type") != "error", F.lit(0.05)))
+    named = F.array(*(F.struct(F.lit(axis).alias("axis"), value.alias("relation")) for axis, value in zip(gates.RELATIONS, found, strict=True)))
+    return e.select("event_id", F.inline(named))
 
 
 def detections_top_n(spark: SparkSession, d: str) -> DataFrame:
@@ -225,9 +243,12 @@ def quaternion_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def box_match(spark: SparkSession, d: str) -> DataFrame:
+    """A box for each event, some of them empty, beside another one, with two torso points."""
     one = [F.lit(0.0), F.lit(0.0), F.col("value") + 1, F.col("k") + 1.0]
-    other = [F.col("k") / 2.0, F.lit(1.0), F.col("k") + 5.0, F.col("value") + 3]
-    return events(spark, d).select("event_id", F.round(geometry.box_area(*one), 6).alias("area"), F.round(geometry.match_cost(one, other), 6).alias("cost"))
+    other = [F.col("k") / 2.0, F.lit(1.0), F.col("k") + 5.0, F.col("value") - 3]
+    torso = F.array(F.struct((F.col("k") / 100.0).alias("score"), F.col("value").alias("distance")), F.struct(F.lit(0.5).alias("score"), F.col("k").cast("double").alias("distance")))
+    cost = geometry.match_cost(one, other, F.when(F.col("event_type") != "error", torso))
+    return events(spark, d).select("event_id", F.round(geometry.box_area(*one), 6).alias("area"), F.round(cost, 6).alias("cost"))
 
 
 def crop_maps(spark: SparkSession, d: str) -> DataFrame:
@@ -254,18 +275,24 @@ QUERIES = {
 
 W = "(PARTITION BY user_id ORDER BY us)"
 ORACLES = {
-    "landmark_gate": f"""WITH {EVENTS} SELECT event_id, coalesce(user_id % 3 > 0 AND value IS NOT NULL AND k IS NOT NULL AND event_type NOT IN ('error', 'signup') AND k > 5, false)
-        AND coalesce(CASE WHEN k % 4 > 0 THEN value > 1 END, true) AS usable FROM e""",
+    "landmark_gate": f"""WITH {EVENTS} SELECT event_id, value IS NOT NULL AND k IS NOT NULL AND event_type NOT IN ('error', 'signup') AND NOT (k % 7 > 0 AND user_id % 3 = 0)
+        AND NOT (k % 3 > 0 AND k <= 5) AND NOT (k % 4 > 0 AND value <= 1) AS usable FROM e""",
     "support_gate": f"WITH {EVENTS} SELECT user_id, us // {DAY} AS day, max(value) < 60 AS supported FROM e GROUP BY 1, 2",
-    "view_admission": f"""WITH {EVENTS}, r AS (SELECT *, concat_ws(',', CASE WHEN event_type = 'error' THEN 'unknown' END, CASE WHEN value < 5 THEN 'low_score' END, CASE WHEN k < 3 OR k > 90 THEN 'outside' END) AS reasons FROM e)
-        SELECT event_id, reasons, round(CASE WHEN reasons = '' THEN 2.0 / greatest(value / 100, 0.1) END, 6) AS sigma FROM r""",
-    "effective_frame": f"""WITH {EVENTS}, o AS (SELECT *, CASE WHEN k < 10 THEN k * 0.5::DOUBLE WHEN k > 30 THEN value / 10 + CASE WHEN k % 2 = 0 THEN 0.25 ELSE 0 END WHEN event_type = 'view' THEN CASE WHEN k % 2 = 0 THEN 0.25 ELSE 0 END END AS o FROM e)
+    "view_admission": f"""WITH {EVENTS}, p AS (SELECT *, CASE WHEN k % 5 > 0 AND event_type <> 'error' THEN value / 100 END AS score, CASE WHEN user_id % 2 > 0 THEN 0.04::DOUBLE END AS cs FROM e),
+        r AS (SELECT *, concat_ws(',', CASE WHEN k = 13 THEN 'unknown_time_join' END, CASE WHEN event_type = 'error' THEN 'unsupported_source_landmark' END,
+            CASE WHEN event_type = 'error' OR score < 0.05 OR k <= 2 THEN 'insufficient_source_quality' END, CASE WHEN user_id % 11 = 0 OR k / 100.0::DOUBLE < 0.05 THEN 'insufficient_synchronization_quality' END,
+            CASE WHEN user_id % 7 = 0 THEN 'missing_or_mismatched_calibration' WHEN cs < 0.05 THEN 'insufficient_calibration_quality' END) AS reasons FROM p)
+        SELECT event_id, reasons, round(CASE WHEN reasons = '' THEN sqrt(4 / greatest(coalesce(score, 0.5), 0.05) + 2.25 / 0.5 + 0.36 / greatest(k / 100.0::DOUBLE, 0.05) + CASE WHEN event_id % 2 = 0 THEN 2.25 ELSE 0 END) END, 6) AS sigma FROM r""",
+    "effective_frame": f"""WITH {EVENTS}, o AS (SELECT *, CASE WHEN k < 10 THEN k * 0.5::DOUBLE WHEN user_id % 5 = 0 THEN NULL WHEN k > 30 THEN value / 10 + CASE WHEN k % 2 = 0 THEN 0.25 ELSE 0 END WHEN event_type = 'view' THEN 0 END AS o FROM e)
         SELECT event_id, round(o, 6) AS "offset", round(us / 1e6 + o, 3) AS seconds, o IS NOT NULL AS consistent FROM o""",
     "rational_pts": f"WITH {EVENTS} SELECT event_id, round(CASE WHEN k <> 0 THEN event_id::DOUBLE * 1001 / (k * 1000) END, 9) AS seconds FROM e",
-    "movement_state": f"""WITH {EVENTS} SELECT event_id, CASE WHEN event_type = 'error' THEN 'unknown' WHEN value - k / 10.0::DOUBLE > 30 THEN 'moving' WHEN value + k / 10.0::DOUBLE <= 30 THEN 'quiet' ELSE 'unknown' END AS state FROM e""",
-    "point_relations": f"""WITH {EVENTS}, x AS (SELECT event_id, 'lateral' AS axis, value - 20 AS v, 'right' AS low, 'left' AS high FROM e UNION ALL SELECT event_id, 'vertical', k - 50.0::DOUBLE, 'below', 'above' FROM e
-            UNION ALL SELECT event_id, 'forward', CASE WHEN k > 4 THEN value - k END, 'behind', 'ahead' FROM e)
-        SELECT event_id, axis, CASE WHEN v IS NULL THEN 'unknown' WHEN abs(v) <= 3 THEN 'aligned' WHEN v > 0 THEN high ELSE low END AS relation FROM x""",
+    "movement_state": f"""WITH {EVENTS}, q AS (SELECT *, event_type NOT IN ('error', 'signup') AND k <= 150 AND value IS NOT NULL AS a, user_id % 3 > 0 AS b FROM e)
+        SELECT event_id, CASE WHEN a AND value >= 40 + k / 5.0::DOUBLE OR b AND k >= 82 THEN 'moving' WHEN a AND b AND value <= 30 - k / 5.0::DOUBLE AND k <= 58 THEN 'quiet' ELSE 'unknown' END AS state FROM q""",
+    "point_relations": f"""WITH {EVENTS}, x AS (SELECT event_id, event_type, value - 20 AS a, CASE WHEN k > 4 THEN k - 50.0::DOUBLE END AS b, value - k AS u, user_id / 7.0::DOUBLE AS t FROM e),
+        m AS (SELECT *, CASE WHEN event_type <> 'error' THEN 2 + 0.1::DOUBLE * sqrt(a * a + b * b + u * u) + 1e-6 END AS m FROM x),
+        v AS (SELECT event_id, 'right' AS axis, a * cos(t) + b * sin(t) AS v, m, 'right_of' AS high, 'left_of' AS low FROM m UNION ALL SELECT event_id, 'front', b * cos(t) - a * sin(t), m, 'in_front_of', 'behind' FROM m
+            UNION ALL SELECT event_id, 'up', u, m, 'above', 'below' FROM m)
+        SELECT event_id, axis, CASE WHEN v > m THEN high WHEN v < -m THEN low ELSE 'unknown' END AS relation FROM v""",
     "detections_top_n": f"""WITH {EVENTS} SELECT us // {HOUR} AS hour, row_number() OVER (PARTITION BY us // {HOUR} ORDER BY value DESC, event_id)::INTEGER AS rank, event_id FROM e WHERE event_type <> 'error' AND value >= 5 QUALIFY rank <= 3""",
     "consensus_ranking": f"""WITH {EVENTS}, g AS (SELECT user_id, event_type, count(*) AS n, round(avg(value), 9) AS cost FROM e GROUP BY 1, 2)
         SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, cost, event_type) - 1 AS ordinal FROM g""",
@@ -314,8 +341,9 @@ ORACLES = {
         SELECT count(DISTINCT low) AS n_components, count(DISTINCT low) <= 1 AS connected FROM m""",
     "quaternion_matrix": f"""WITH {EVENTS}, a AS (SELECT event_id, value / 20 AS a, k / 15.0::DOUBLE AS b, event_id / 7.0::DOUBLE AS c FROM e), u AS (SELECT event_id, a, sin(b) * cos(c) AS x, sin(b) * sin(c) AS y, cos(b) AS z FROM a)
         SELECT event_id, round(cos(a) + x * x * (1 - cos(a)), 6) AS m0, round(y * z * (1 - cos(a)) - x * sin(a), 6) AS m5, round(y * z * (1 - cos(a)) + x * sin(a), 6) AS m7, true AS same FROM u""",
-    "box_match": f"""WITH {EVENTS}, b AS (SELECT event_id, value + 1 AS w, k + 1.0::DOUBLE AS h, k / 2.0::DOUBLE AS l, k + 5.0::DOUBLE AS r, value + 3 AS t FROM e)
-        SELECT event_id, round(w * h, 6) AS area, round(sqrt((w / 2 - (l + r) / 2) ** 2 + (h / 2 - (1 + t) / 2) ** 2) / ((sqrt(w ** 2 + h ** 2) + sqrt((r - l) ** 2 + (t - 1) ** 2)) / 2) + abs(ln(w * h / ((r - l) * (t - 1)))), 6) AS cost FROM b""",
+    "box_match": f"""WITH {EVENTS}, b AS (SELECT *, (value + 1) * (k + 1) AS old, greatest(k / 2.0::DOUBLE + 5, 0) * greatest(value - 4, 0) AS new FROM e),
+        c AS (SELECT *, greatest(sqrt(old), 1) AS scale, sqrt(((value + 1) / 2 - (1.5 * k + 5) / 2) ** 2 + ((k + 1) / 2.0::DOUBLE - (value - 2) / 2) ** 2) / greatest(sqrt(old), 1) AS centre FROM b)
+        SELECT event_id, round(old, 6) AS area, round(0.45 * centre + 0.35 * CASE WHEN event_type = 'error' THEN centre WHEN k >= 20 THEN (value + k) / 2 / scale ELSE k / scale END + 0.2 * abs(ln(greatest(new, 1) / greatest(old, 1))), 6) AS cost FROM c""",
     "crop_maps": f"""WITH {EVENTS}, u AS (SELECT event_id, value - 7 AS u, k - 3.0::DOUBLE AS v, k % 4 AS t FROM e),
         a AS (SELECT event_id, CASE t WHEN 1 THEN 48 - v WHEN 2 THEN 64 - u WHEN 3 THEN v ELSE u END AS x, CASE t WHEN 1 THEN u WHEN 2 THEN 48 - v WHEN 3 THEN 64 - u ELSE v END AS y, CASE WHEN t IN (1, 3) THEN 48 ELSE 64 END AS w FROM u)
         SELECT event_id, round(CASE WHEN event_id % 2 = 0 THEN w - x ELSE x END * 1.5, 6) AS x, round(y * 1.5, 6) AS y, true AS back FROM a""",
