@@ -33,7 +33,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,14 +93,14 @@ def _described(bits: int, words: int, percent: int):
                 prefix = (np.arange(len(hashes)) - first[:-1][of] < length[of]) & common[order]
                 counts = np.bincount(of[prefix], minlength=len(n))
                 prefixes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(hashes[order][prefix].view(np.int64)))
-                kept = pc.if_else(pa.array(counts > 0), texts, pa.nulls(len(texts), pa.binary()))
+                kept = pa.array([packs.squeezed(texts[k].as_buffer() or b"") if c else None for k, c in enumerate(counts)], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), *map(pa.array, keys), prefixes, kept], ["doc_id", "n_shingles", "key1", "key2", "prefix", "text"])
 
     return run
 
 
 def described(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """For each row of docs: doc_id, n_shingles, key1, key2 (of its set), prefix (its prefix's shingles that several documents may have), text if there are any."""
+    """For each row of docs: doc_id, n_shingles, key1, key2 (of its set), prefix (its prefix's shingles that several documents may have), text (compressed) if there are any."""
 
     def keys_of(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return packs.distinct(shingle_sets(texts, words)[0])
@@ -141,7 +140,7 @@ def _partial(words: int, fragments: int):
         Without a right block, the left one is compared with itself. Ids and sizes come with the first range.
         """
         table = table.sort_by([("side", "ascending"), ("doc_id", "ascending")])
-        hashes, first = shingle_sets(table.column("text"), words)
+        hashes, first = shingle_sets(pa.array([packs.unsqueezed(x.as_py()) for x in table.column("text")], pa.binary()), words)
         ids, side = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
         n_left = int((side == 0).sum())
         left, right = (slice(0, n_left), slice(n_left, None)) if n_left < len(ids) else (slice(None), slice(None))
