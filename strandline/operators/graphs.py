@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder, so that an iteration's lineage ends there."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+from strandline.operators.storage import stored
 
 
 def component_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandline.plans import bodies, entities, joins, landmarks, recordings, segments, series, states
+from strandline.plans import bodies, entities, feet, joins, landmarks, recordings, segments, series, states
 
-MODULES = (joins, series, states, entities, landmarks, bodies, segments, recordings)
+MODULES = (joins, series, states, entities, landmarks, bodies, segments, recordings, feet)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
