@@ -8,6 +8,7 @@ with many rows is spread over many tasks. Times are microseconds.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 MICRO = 1e-6
-#: Margins in a bucket.
-BUCKET = 16
+#: Margins in a bucket, and pairs of rows that are fitted at once.
+BUCKET, PAIRS = 16, 1 << 18
 STATES = ("observed", "inferred", "interpolated", "unknown")
 
 
@@ -59,34 +60,34 @@ def _linked(t: np.ndarray, values: np.ndarray, known: np.ndarray, config: Motion
     return out
 
 
-def _pairs(t: np.ndarray, known: np.ndarray, linked: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows with at least three in their window, where their pairs begin, and the other row of each pair."""
+def _pairs(t: np.ndarray, known: np.ndarray, linked: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows with at least three in their window, where their pairs begin, and the other row of each pair; about PAIRS at once."""
     run = np.cumsum(~linked)
     first = np.searchsorted(run, run, "left")
     last = np.searchsorted(run, run, "right")
     low = np.maximum(first, np.searchsorted(t, t - radius, "left"))
     high = np.minimum(last, np.searchsorted(t, t + radius, "right"))
-    rows = np.flatnonzero(known & (high - low >= 3))
-    n = high[rows] - low[rows]
-    starts = np.cumsum(n) - n
-    return rows, starts, np.arange(n.sum()) - np.repeat(starts - low[rows], n)
+    every = np.flatnonzero(known & (high - low >= 3))
+    part = np.cumsum(high[every] - low[every]) // PAIRS
+    for rows in np.split(every, np.flatnonzero(np.diff(part)) + 1):
+        n = high[rows] - low[rows]
+        starts = np.cumsum(n) - n
+        yield rows, starts, np.arange(n.sum()) - np.repeat(starts - low[rows], n)
 
 
-def _fitted(t: np.ndarray, rows: np.ndarray, starts: np.ndarray, other: np.ndarray, values: np.ndarray, sigma: np.ndarray, weight: np.ndarray, radius: float, ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _fitted(t: np.ndarray, rows: np.ndarray, starts: np.ndarray, other: np.ndarray, values: np.ndarray, sigma: np.ndarray, weight: np.ndarray, radius: float, config: MotionConfig, ridge: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Coefficients (row, power, axis) in units of the radius, their uncertainties (row, power), and which rows determine them.
 
     values are of the pairs, sigma and weight of the rows.
     """
-    if not len(rows):
-        return np.empty((0, 3, values.shape[1])), np.empty((0, 3)), np.empty(0, bool)
     n = np.diff(np.append(starts, len(other)))
     u = (t[other] - np.repeat(t[rows], n)) / radius
     doubt = sigma[other]
-    w = weight[other] / np.maximum(doubt, 1e-150) ** 2
+    w = weight[other] / np.maximum(doubt, config.floor) ** 2
     w = w / np.repeat(np.maximum.reduceat(w, starts), n)
     design = np.stack([np.ones(len(u)), u, u * u], axis=1)
     system = np.add.reduceat(w[:, None, None] * design[:, :, None] * design[:, None, :], starts, axis=0)
-    system[:, 2, 2] += ridge * np.add.reduceat(w, starts)
+    system[:, 2, 2] += (config.regularization if ridge is None else ridge) * np.add.reduceat(w, starts)
     determined = np.abs(np.linalg.det(system)) > 1e-12 * system[:, 0, 0] * system[:, 1, 1] * system[:, 2, 2]
     system[~determined] = np.eye(3)
     operator = np.einsum("pij,pj->pi", np.repeat(np.linalg.inv(system), n, axis=0), design * w[:, None])
@@ -114,10 +115,6 @@ def _bridged(t: np.ndarray, values: np.ndarray, sigma: np.ndarray, state: np.nda
         sigma[own], state[own] = doubt, "interpolated"
 
 
-def _floored(sigma: np.ndarray, config: MotionConfig) -> np.ndarray:
-    return np.maximum(sigma, config.floor)
-
-
 def _regular(t: np.ndarray, values: np.ndarray, sigma: np.ndarray, state: np.ndarray, config: MotionConfig) -> None:
     """Values, uncertainties and states as the fit has them, in place; of 0 rows too."""
     _bridged(t, values, sigma, state, config)
@@ -125,13 +122,17 @@ def _regular(t: np.ndarray, values: np.ndarray, sigma: np.ndarray, state: np.nda
         return
     known = state != "unknown"
     radius = config.filter_window / 2
-    rows, starts, other = _pairs(t, known, _linked(t, values, known, config), radius)
-    weight = _weights(state, config) / (_floored(sigma, config) / np.maximum(sigma, 1e-150)) ** 2
-    found, doubt, determined = _fitted(t, rows, starts, other, values[other], sigma, weight, radius, config.regularization)
-    rows, found, doubt = rows[determined], found[determined], doubt[determined]
-    moved = np.linalg.norm(found[:, 0] - values[rows], axis=1)
-    values[rows], sigma[rows], state[rows] = found[:, 0], np.maximum.reduce([doubt[:, 0], moved, sigma[rows]]), "inferred"
-    state[rows[sigma[rows] > config.max_uncertainty]] = "unknown"
+    weight = _weights(state, config)
+    new_values, new_sigma, new_state = values.copy(), sigma.copy(), state.copy()
+    for rows, starts, other in _pairs(t, known, _linked(t, values, known, config), radius):
+        if not len(rows):
+            continue
+        found, doubt, determined = _fitted(t, rows, starts, other, values[other], sigma, weight, radius, config)
+        rows, found, doubt = rows[determined], found[determined], doubt[determined]
+        moved = np.linalg.norm(found[:, 0] - values[rows], axis=1)
+        new_values[rows], new_sigma[rows], new_state[rows] = found[:, 0], np.maximum.reduce([doubt[:, 0], moved, sigma[rows]]), "inferred"
+        new_state[rows[new_sigma[rows] > config.max_uncertainty]] = "unknown"
+    values[:], sigma[:], state[:] = new_values, new_sigma, new_state
 
 
 def _rates(t: np.ndarray, known: np.ndarray, linked: np.ndarray, values_of, sigma: np.ndarray, state: np.ndarray, config: MotionConfig, axes: int) -> dict[str, np.ndarray]:
@@ -140,18 +141,19 @@ def _rates(t: np.ndarray, known: np.ndarray, linked: np.ndarray, values_of, sigm
     values_of(rows, starts, other) gives the values of the pairs, and which rows may be used.
     """
     radius = config.derivative_window / 2
-    rows, starts, other = _pairs(t, known, linked, radius)
     out = {"velocity": np.full((len(t), axes), np.nan), "acceleration": np.full((len(t), axes), np.nan), "velocity_sigma": np.full(len(t), np.nan), "acceleration_sigma": np.full(len(t), np.nan)}
     out |= {name: np.zeros(len(t), np.int64) for name in ("n_support", "support_from", "support_to")}
-    if not len(rows):
-        return out
-    values, fit = values_of(rows, starts, other)
-    weight = _weights(state, config) / (_floored(sigma, config) / np.maximum(sigma, 1e-150)) ** 2
-    found, doubt, determined = _fitted(t, rows, starts, other, values, sigma, weight, radius, 0.0)
-    fit, r = fit & determined, radius * MICRO
-    ends = np.append(starts[1:], len(other)) - 1
-    for name, value in {"velocity": found[:, 1] / r, "acceleration": 2 * found[:, 2] / r**2, "velocity_sigma": doubt[:, 1] / r, "acceleration_sigma": 2 * doubt[:, 2] / r**2, "n_support": ends - starts + 1, "support_from": t[other[starts]], "support_to": t[other[ends]]}.items():
-        out[name][rows[fit]] = value[fit]
+    weight, r = _weights(state, config), radius * MICRO
+    for rows, starts, other in _pairs(t, known, linked, radius):
+        if not len(rows):
+            continue
+        values, fit = values_of(rows, starts, other)
+        found, doubt, determined = _fitted(t, rows, starts, other, values, sigma, weight, radius, config, 0.0)
+        fit &= determined
+        ends = np.append(starts[1:], len(other)) - 1
+        told = {"velocity": found[:, 1] / r, "acceleration": 2 * found[:, 2] / r**2, "velocity_sigma": doubt[:, 1] / r, "acceleration_sigma": 2 * doubt[:, 2] / r**2, "n_support": ends - starts + 1, "support_from": t[other[starts]], "support_to": t[other[ends]]}
+        for name, value in told.items():
+            out[name][rows[fit]] = value[fit]
     return out
 
 
