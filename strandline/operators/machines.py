@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.runs import islands
+from strandline.operators.storage import free_names
 
 
 #: So many runs of a key, which are short mostly, are one group.
@@ -144,28 +145,84 @@ def placements(df: DataFrame, by: list[str], time: str, axes: list[str], enter:
     return over_runs(df, by, time, pause, machine, "start long, end long, n long")
 
 
+def _bases(values: list[float], order: range) -> tuple[list[int], list[float]]:
+    """For each row the place of the lowest row on one side of it before higher ground, the nearest of equals, and its value.
+
+    order runs towards the row; a stack of falling values holds the lowest of what each of them hides, so that a run costs
+    as much as it has rows.
+    """
+    place, low = list(range(len(values))), list(values)
+    stack: list[int] = []
+    for k in order:
+        while stack and values[stack[-1]] <= values[k]:
+            j = stack.pop()
+            if low[j] < low[k]:
+                place[k], low[k] = place[j], low[j]
+        stack.append(k)
+    return place, low
+
+
+def peaks_of(values: list[float], prominence: float) -> list[tuple[int, int, int, float]]:
+    """Peak (of a plateau the middle), left and right base, and prominence of each inner peak that rises so far over the higher base."""
+    n, found = len(values), []
+    (left, low), (right, deep) = _bases(values, range(n)), _bases(values, range(n - 1, -1, -1))
+    k = 1
+    while k < n - 1:
+        end = k
+        if values[k - 1] < values[k]:
+            while end < n - 1 and values[end + 1] == values[k]:
+                end += 1
+            if end < n - 1 and values[end + 1] < values[k]:
+                middle = (k + end) // 2
+                rise = values[k] - max(low[middle], deep[middle])
+                if rise >= prominence:
+                    found.append((middle, left[middle], right[middle], rise))
+        k = end + 1
+    return found
+
+
 def prominent_peaks(df: DataFrame, by: list[str], time: str, value: str, prominence: float, id_column: str, pause: int) -> DataFrame:
-    """Rows higher than both neighbours that rise by ``prominence`` over the higher of the two lowest points between them and higher ground."""
+    """Rows higher than both neighbours that rise by ``prominence`` over the higher of the two lowest points between them and higher ground.
+
+    Of a plateau, the row in its middle; the ends of a run are no peaks, but count as its lowest points.
+    """
 
     def machine(rows: pd.DataFrame) -> Iterator[dict]:
-        values = rows[value].tolist()
-        for k, (t, i) in enumerate(zip(rows[time], rows[id_column], strict=True)):
-            if not 0 < k < len(values) - 1 or not values[k - 1] < values[k] > values[k + 1]:
-                continue
-            bases = []
-            for side in (range(k - 1, -1, -1), range(k + 1, len(values))):
-                low = values[k]
-                for j in side:
-                    if values[j] > values[k]:
-                        break
-                    low = min(low, values[j])
-                bases.append(low)
-            if (rise := values[k] - max(bases)) >= prominence:
-                yield {id_column: i, time: t, "prominence": rise}
+        times, ids = rows[time].tolist(), rows[id_column].tolist()
+        for k, _, _, rise in peaks_of(rows[value].tolist(), prominence):
+            yield {id_column: ids[k], time: times[k], "prominence": rise}
 
     return over_runs(df, by, time, pause, machine, f"{id_column} long, {time} long, prominence double")
 
 
+def reversals(df: DataFrame, by: list[str], time: str, axes: list[str], sigma: str, pause: int, min_excursion: float, min_duration: int, multiple: float = 2.0) -> DataFrame:
+    """by, at, start, end, axis and sign of the peaks along an axis, up or down, where a path turns back.
+
+    A peak counts if it is as prominent as min_excursion and the run's largest sigma times multiple, if the ways from its
+    left base and to its right base are as long as that and oppose each other, and if they take min_duration. Rows that
+    lack an axis end a run, as pauses do.
+    """
+    known = F.lit(True)
+    for axis in axes:
+        known = known & F.col(axis).isNotNull()
+    names = free_names(["known", "part"], df.columns)
+    order = Window.partitionBy(*by).orderBy(time)
+    rows = df.withColumn(names[0], known).withColumn(names[1], F.sum(F.when(F.col(names[0]), 0).otherwise(1)).over(order)).filter(F.col(names[0])).drop(names[0])
+
+    def machine(run: pd.DataFrame) -> Iterator[dict]:
+        for _, part in run.groupby(names[1], sort=True):
+            times, path = part[time].tolist(), part[axes].to_numpy(float)
+            least = max(min_excursion, multiple * float(np.nan_to_num(part[sigma].to_numpy(float)).max(initial=0.0)))
+            for k, axis in enumerate(axes):
+                for sign in (-1, 1):
+                    for peak, left, right, _ in peaks_of((sign * path[:, k]).tolist(), least):
+                        before, after = path[peak] - path[left], path[right] - path[peak]
+                        if min(np.linalg.norm(before), np.linalg.norm(after)) >= least and before @ after < 0 and times[right] - times[left] >= min_duration:
+                            yield {"at": times[peak], "start": times[left], "end": times[right], "axis": axis, "sign": sign}
+
+    return over_runs(rows, by, time, pause, machine, "at long, start long, end long, axis string, sign int")
+
+
 def refractory(df: DataFrame, by: list[str], time: str, pause: int, id_column: str) -> DataFrame:
     """The rows that come at least ``pause`` after the last one kept of their key."""
     return thinned(df, by, time, pause, id_column).select(*by, F.col(id_column), F.col(time))

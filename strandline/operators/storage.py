@@ -20,3 +20,14 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def free_names(names: list[str], taken: list[str]) -> list[str]:
+    """names, each with so many underscores before it that no column in taken is called so, whatever its case."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        out.append(name)
+    return out

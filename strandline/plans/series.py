@@ -58,10 +58,9 @@ def path_length_excursion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def component_labels(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).select("user_id", F.floor(F.col("us") / (6 * HOUR)).alias("slot")).distinct()
-    # users are linked if they are the first two of a slot
-    ranked = e.withColumn("r", F.row_number().over(Window.partitionBy("slot").orderBy("user_id"))).filter("r <= 2")
-    edges = ranked.groupBy("slot").agg(F.min("user_id").alias("a"), F.max("user_id").alias("b")).filter("a < b").select("a", "b").distinct()
+    e = events(spark, d).select("user_id", F.floor(F.col("us") / (HOUR // 12)).alias("slot")).distinct()
+    # all users of a slot hang on its first one
+    edges = e.withColumn("a", F.min("user_id").over(Window.partitionBy("slot"))).filter("a < user_id").select("a", F.col("user_id").alias("b")).distinct()
     return graphs.component_labels(edges)
 
 
@@ -197,9 +196,8 @@ ORACLES = {
     "path_length_excursion": f"""WITH {EVENTS}, s AS (SELECT *, sqrt((value - lag(value) OVER {ORDERED}) ** 2 + (k - lag(k) OVER {ORDERED}) ** 2) AS step,
             sqrt((value - first_value(value) OVER {ORDERED}) ** 2 + (k - first_value(k) OVER {ORDERED}) ** 2) AS away FROM e)
         SELECT user_id, round(coalesce(sum(step), 0), 4) AS path, round(arg_max(away, us), 4) AS displacement, round(max(away), 4) AS excursion FROM s GROUP BY 1""",
-    "component_labels": f"""WITH RECURSIVE {EVENTS}, s AS (SELECT DISTINCT user_id, floor(us / {6 * HOUR}) AS slot FROM e),
-        r AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY user_id) AS r FROM s),
-        x AS (SELECT DISTINCT min(user_id) AS a, max(user_id) AS b FROM r WHERE r <= 2 GROUP BY slot HAVING count(*) = 2),
+    "component_labels": f"""WITH RECURSIVE {EVENTS}, s AS (SELECT DISTINCT user_id, floor(us / {HOUR // 12}) AS slot FROM e),
+        x AS (SELECT DISTINCT l.user_id AS a, r.user_id AS b FROM s l JOIN s r ON l.slot = r.slot AND l.user_id < r.user_id),
         y AS (SELECT a, b FROM x UNION SELECT b, a FROM x),
         c(node, seen) AS (SELECT a, a FROM y UNION SELECT b, b FROM y UNION SELECT y.b, c.seen FROM c JOIN y ON c.node = y.a)
         SELECT node, min(seen) AS component FROM c GROUP BY 1""",

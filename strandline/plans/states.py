@@ -29,6 +29,11 @@ def peaks_prominent(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", F.round("prominence", 6).alias("prominence"))
 
 
+def direction_changes(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d).withColumns({"x": F.when(F.col("event_type") != "error", F.col("value")), "y": F.col("k") + F.col("value") / 1000, "sigma": F.col("k") / 20})
+    return machines.reversals(e, ["user_id"], "us", ["x", "y"], "sigma", PAUSE, 8.0, 6 * HOUR)
+
+
 def contact_hysteresis(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).withColumn("height", F.when(F.col("event_type") != "error", F.col("value")))
     return machines.latched(e, ["user_id"], "us", "height", 20.0, 45.0, 6 * HOUR, 3 * HOUR, PAUSE, "event_id").select("event_id", "state")
@@ -150,7 +155,7 @@ def ground_plane(spark: SparkSession, d: str) -> DataFrame:
     return out.select("kind", F.round("nz", 4).alias("nz"), "inliers", "n")
 
 
-QUERIES = {f.__name__: f for f in (fps_thinning, refractory, peak_spacing, peaks_prominent, contact_hysteresis, bouts, pivots, stable_placement, partner_match, subject_tracker, dwell_transitions, segment_verdict, support_case, lag_correlation, lag_best, offset_lsq, triangulated_points, ground_plane)}
+QUERIES = {f.__name__: f for f in (fps_thinning, refractory, peak_spacing, peaks_prominent, direction_changes, contact_hysteresis, bouts, pivots, stable_placement, partner_match, subject_tracker, dwell_transitions, segment_verdict, support_case, lag_correlation, lag_best, offset_lsq, triangulated_points, ground_plane)}
 
 #: Rows of a user numbered in order, with the start of a run after a pause marked.
 STEPS = f"""{EVENTS}, s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us) AS i, coalesce(us - lag(us) OVER (PARTITION BY user_id ORDER BY us) > {PAUSE}, true) AS fresh FROM e)"""
@@ -158,6 +163,20 @@ HOURLY = f"""{EVENTS}, h AS (SELECT event_type AS source, CAST(floor(us / {6 * H
         c AS (SELECT a.source AS a, b.source AS b, t.shift, count(*) AS n, CASE WHEN count(*) < 8 OR stddev_pop(a.value) < 1e-12 OR stddev_pop(b.value) < 1e-12 THEN 0 ELSE corr(a.value, b.value) END AS r
               FROM h a CROSS JOIN (SELECT unnest(range(-4, 5)) AS shift) t JOIN h b ON a.source < b.source AND b.bin = a.bin + t.shift GROUP BY 1, 2, 3)"""
 
+_DIRECTION_CHANGES = f"""WITH {EVENTS}, l AS (SELECT user_id, us, value, k, event_type <> 'error' AS known, coalesce(event_type = 'error' OR lag(event_type) OVER w = 'error' OR us - lag(us) OVER w > {PAUSE}, true) AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+        r AS (SELECT user_id, us, value AS x, k + value / 1000 AS y, k / 20.0::DOUBLE AS q, sum(new::INT) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS run, known FROM l),
+        s AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id, run) AS n, greatest(8.0, 2 * max(q) OVER (PARTITION BY user_id, run)) AS least FROM r WHERE known WINDOW w AS (PARTITION BY user_id, run ORDER BY us)),
+        v AS (SELECT *, unnest(['x', 'x', 'y', 'y']) AS axis, unnest([-1, 1, -1, 1]) AS sign, unnest([-x, x, -y, y]) AS v FROM s),
+        c AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM v WINDOW w AS (PARTITION BY user_id, run, axis, sign ORDER BY i)),
+        p AS (SELECT * FROM c WHERE v > a AND v > b),
+        h AS (SELECT p.user_id, p.run, p.axis, p.sign, p.i, p.v, p.least, p.us, p.x, p.y, coalesce(max(o.i) FILTER (o.i < p.i AND o.v > p.v), 0) AS lo, coalesce(min(o.i) FILTER (o.i > p.i AND o.v > p.v), 1000000000) AS hi
+              FROM p JOIN v o ON o.user_id = p.user_id AND o.run = p.run AND o.axis = p.axis AND o.sign = p.sign GROUP BY ALL),
+        z AS (SELECT h.user_id, h.run, h.axis, h.sign, h.i, h.v, h.least, h.us, h.x, h.y, min({{'v': o.v, 'd': h.i - o.i}}) FILTER (o.i < h.i AND o.i > lo) AS l, min({{'v': o.v, 'd': o.i - h.i}}) FILTER (o.i > h.i AND o.i < hi) AS r
+              FROM h JOIN v o ON o.user_id = h.user_id AND o.run = h.run AND o.axis = h.axis AND o.sign = h.sign GROUP BY ALL),
+        f AS (SELECT z.user_id, z.axis, z.sign, z.us AS "at", b.us AS start, a.us AS "end", z.x - b.x AS bx, z.y - b.y AS by_, a.x - z.x AS ax, a.y - z.y AS ay, z.least
+              FROM z JOIN s b ON b.user_id = z.user_id AND b.run = z.run AND b.i = z.i - z.l.d JOIN s a ON a.user_id = z.user_id AND a.run = z.run AND a.i = z.i + z.r.d WHERE z.v - greatest(z.l.v, z.r.v) >= z.least)
+        SELECT user_id, "at", start, "end", axis, sign FROM f WHERE least(sqrt(bx * bx + by_ * by_), sqrt(ax * ax + ay * ay)) >= f.least AND bx * ax + by_ * ay < 0 AND "end" - start >= {6 * HOUR}"""
+
 ORACLES = {
     "fps_thinning": f"""WITH RECURSIVE {EVENTS}, s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us) AS i FROM e),
         f AS (SELECT event_id, user_id, i, us AS kept, true AS keep FROM s WHERE i = 1
@@ -182,6 +201,7 @@ ORACLES = {
         m AS (SELECT event_id, value, (SELECT min(x.value) FROM r x WHERE x.user_id = h.user_id AND x.run = h.run AND x.i < h.i AND x.i > coalesce(h.lo, 0)) AS lb,
                      (SELECT min(x.value) FROM r x WHERE x.user_id = h.user_id AND x.run = h.run AND x.i > h.i AND x.i < coalesce(h.hi, 1e9)) AS hb FROM h)
         SELECT event_id, round(value - greatest(lb, hb), 6) AS prominence FROM m WHERE value - greatest(lb, hb) >= 20""",
+    "direction_changes": _DIRECTION_CHANGES,
     "contact_hysteresis": f"""WITH RECURSIVE {STEPS}, v AS (SELECT *, CASE WHEN event_type = 'error' THEN NULL WHEN value <= 20 THEN 'contact' WHEN value > 45 THEN 'flight' ELSE 'hold' END AS speaks FROM s),
         f AS (SELECT user_id, i, event_id, us, 'unknown' AS state, CASE WHEN speaks IN ('contact', 'flight') THEN speaks END AS pending, CASE WHEN speaks IN ('contact', 'flight') THEN us END AS since FROM v WHERE i = 1
               UNION ALL
