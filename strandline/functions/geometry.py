@@ -156,6 +156,34 @@ def undistorted(u: Column, v: Column, distortion: Column, rounds: int = 12) -> C
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(u.alias("x"), v.alias("y")), step)
 
 
+def distorted(x: Column, y: Column, distortion: Column) -> tuple[Column, Column]:
+    """Normalised image coordinates under radial-tangential distortion (k1, k2, p1, p2, k3)."""
+    k1, k2, p1, p2, k3 = (distortion[i] for i in range(5))
+    r2 = x * x + y * y
+    radial = 1 + r2 * (k1 + r2 * (k2 + r2 * k3))
+    return x * radial + 2 * p1 * x * y + p2 * (r2 + 2 * x * x), y * radial + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y
+
+
+def pixel_ray(u: Column, v: Column, fx: Column, fy: Column, cx: Column, cy: Column, distortion: Column, pose: Column, rounds: int = 60, gate: float = 1e-10) -> Column:
+    """The ray (centre, direction, a unit vector, both in the world) that a pixel sees.
+
+    pose is the camera's row-major world-to-camera matrix, an array of 12 or 16. Null where undistortion doesn't settle
+    within the gate (in normalised coordinates), as beyond the range in which a distortion can be inverted.
+    """
+    across, down = (u - cx) / fx, (v - cy) / fy
+
+    def checked(p: Column) -> Column:
+        x, y = distorted(p["x"], p["y"], distortion)
+        settled = F.coalesce((F.abs(x - across) <= gate) & (F.abs(y - down) <= gate), F.lit(False))
+        ray = [pose[j] * p["x"] + pose[4 + j] * p["y"] + pose[8 + j] for j in range(3)]
+        size = F.sqrt(sum((c * c for c in ray), F.lit(0.0)))
+        centre = [-(pose[j] * pose[3] + pose[4 + j] * pose[7] + pose[8 + j] * pose[11]) for j in range(3)]
+        return F.when(settled, F.struct(vector(*centre).alias("centre"), vector(*(c / size for c in ray)).alias("direction")))
+
+    # bound once, so that the expression doesn't multiply; a step off to infinity fails the gate
+    return F.transform(F.array(undistorted(across, down, distortion, rounds)), checked)[0]
+
+
 def ray_angle(a: Column, b: Column, point: Column) -> Column:
     """The angle under which a point sees two centres."""
     cosine = dot(unit(minus(a, point)), unit(minus(b, point)))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def bounds(df: DataFrame, by: list[str], axes: list[str]) -> DataFrame:
@@ -66,3 +71,64 @@ def reachable(edges: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame
     """How many components the nodes fall into, and whether all hang together; label: node, component of the edges' nodes."""
     found = nodes.join(label, "node", "left").select(F.coalesce("component", "node").alias("component"))
     return found.agg(F.count_distinct("component").alias("n_components"), (F.count_distinct("component") <= 1).alias("connected"))
+
+
+#: Tasks that a key's partial hulls are merged in before the last one.
+MERGERS = 64
+
+
+def convex_hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the hull of points, counter-clockwise from the leftmost; of points on a line their ends."""
+    points = np.unique(points, axis=0)
+    if len(points) < 3:
+        return points
+    chains = []
+    for run in (points, points[::-1]):
+        chain: list = []
+        for p in run.tolist():
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]) <= 0:
+                chain.pop()
+            chain.append(p)
+        chains.append(chain[:-1])
+    return np.array(chains[0] + chains[1])
+
+
+def hull_area(df: DataFrame, by: list[str], x: Column, y: Column) -> DataFrame:
+    """by, n_corners and area of the convex hull of each key's points; those without a coordinate don't count.
+
+    Hulls are merged like sums: each task takes the hull of its own points of a key, and only corners travel. Fewer than
+    three corners have no area. A key of all points is spread over as many tasks as there are.
+    """
+    keys = [f"k{i}" for i in range(len(by))]
+    known = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    points = df.filter(known).select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    names = [*keys, "x", "y"]
+
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            number = table.select(keys).append_column("row", pa.array(np.arange(len(table)))).group_by(keys).aggregate([("row", "list")]) if keys else None
+            groups = number.column("row_list").to_pylist() if keys else [list(range(len(table)))]
+            place = np.column_stack([table.column(c).to_numpy() for c in ("x", "y")])
+            for rows in groups:
+                hull = convex_hull(place[rows])
+                own = [table.column(k).combine_chunks().take(pa.array([rows[0]] * len(hull))) for k in keys]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(hull[:, 0]), pa.array(hull[:, 1])], names)
+
+    def merged(table: pa.Table) -> pa.Table:
+        hull = convex_hull(np.column_stack([table.column(c).to_numpy() for c in ("x", "y")]))
+        own = [table.column(k).combine_chunks().take(pa.array([0] * len(hull))) for k in keys]
+        return pa.table([*own, pa.array(hull[:, 0]), pa.array(hull[:, 1])], names=names)
+
+    def measured(table: pa.Table) -> pa.Table:
+        hull = merged(table)
+        a, b = hull.column("x").to_numpy(), hull.column("y").to_numpy()
+        a, b = a - a[0], b - b[0]
+        area = abs(float(np.dot(a, np.roll(b, -1)) - np.dot(b, np.roll(a, -1)))) / 2
+        return hull.select(keys).slice(0, 1).append_column("n_corners", pa.array([len(a)])).append_column("area", pa.array([area if len(a) > 2 else 0.0]))
+
+    partial = points.mapInArrow(corners, points.schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGERS)))
+    fewer = partial.groupBy(*keys, "part").applyInArrow(merged, points.schema)
+    kinds = StructType([*points.schema.fields[: len(keys)], *StructType.fromDDL("n_corners long, area double")])
+    out = fewer.groupBy(*keys).applyInArrow(measured, kinds)
+    return out.select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=True)), "n_corners", "area")

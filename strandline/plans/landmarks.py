@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -265,12 +267,33 @@ def midpoint_span(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", F.round(middle[0], 6).alias("x"), F.round(middle[1], 6).alias("y"), F.round(span, 6).alias("span"))
 
 
+def view_hull(spark: SparkSession, d: str) -> DataFrame:
+    """How much of its frame each user's events cover, as pixels of a frame of 128 by 128."""
+    hulls = statistics.hull_area(events(spark, d), ["user_id"], F.col("k"), F.floor("value"))
+    return hulls.select("user_id", "n_corners", F.round(F.col("area") / (128 * 128), 9).alias("hull_fraction"))
+
+
+def pixel_rays(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as points, projected by a distorting camera and seen again."""
+    v = table(spark, d, "embeddings").filter("embedding is not null and size(embedding) >= 3").withColumn("e", F.col("embedding").cast("array<double>"))
+    c, s = math.cos(0.3), math.sin(0.3)
+    pose = [c, -s, 0.0, 0.1, s, c, 0.0, -0.2, 0.0, 0.0, 1.0, 2.5, 0.0, 0.0, 0.0, 1.0]
+    x, y, z = (sum((pose[4 * row + j] * F.col("e")[j] for j in range(3)), F.lit(pose[4 * row + 3])) for row in range(3))
+    lens = F.array(*map(F.lit, (0.1, -0.05, 0.001, -0.002, 0.01)))
+    pixel = geometry.projected(geometry.vector(x, y, z), F.lit(800.0), F.lit(820.0), F.lit(320.0), F.lit(240.0), lens)
+    rows = v.withColumn("pixel", pixel).withColumn("bad", F.col("vec_id") % 10 == 0)
+    wild = F.when(F.col("bad"), F.array(*map(F.lit, (-3.0, 0.0, 0.0, 0.0, 0.0)))).otherwise(lens)
+    ray = geometry.pixel_ray(F.when(F.col("bad"), 5000.0).otherwise(F.col("pixel.x")), F.col("pixel.y"), F.lit(800.0), F.lit(820.0), F.lit(320.0), F.lit(240.0), wild, F.array(*map(F.lit, pose)))
+    rows = rows.withColumn("ray", ray)
+    return rows.select("vec_id", *(F.round(F.col(f"ray.{part}.{axis}"), 8).alias(f"{part}_{axis}") for part in ("centre", "direction") for axis in "xyz"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (landmark_gate, support_gate, view_admission, effective_frame, rational_pts, movement_state, point_relations, detections_top_n, consensus_ranking, canonical_order, duplicate_keys)
     + (first_seen_values, truncated_evidence, frame_page, fresh_evidence, evidence_speed, clock_gaps, sides_before, window_scan, shared_landmarks_near, channel_join, exact_clock_join, landmark_cameras)
     + (set_relations, emitted_events, scene_bounds, recording_facts, residual_quantiles, grid_occupancy, common_interval, contributing_sources, peak_first_wins, best_subset, time_bounds, view_counts)
-    + (overlap_graph, quaternion_matrix, box_match, crop_maps, midpoint_span)
+    + (overlap_graph, quaternion_matrix, box_match, crop_maps, midpoint_span, view_hull, pixel_rays)
 }
 
 W = "(PARTITION BY user_id ORDER BY us)"
@@ -348,4 +371,15 @@ ORACLES = {
         a AS (SELECT event_id, CASE t WHEN 1 THEN 48 - v WHEN 2 THEN 64 - u WHEN 3 THEN v ELSE u END AS x, CASE t WHEN 1 THEN u WHEN 2 THEN 48 - v WHEN 3 THEN 64 - u ELSE v END AS y, CASE WHEN t IN (1, 3) THEN 48 ELSE 64 END AS w FROM u)
         SELECT event_id, round(CASE WHEN event_id % 2 = 0 THEN w - x ELSE x END * 1.5, 6) AS x, round(y * 1.5, 6) AS y, true AS back FROM a""",
     "midpoint_span": f"WITH {EVENTS} SELECT event_id, round((value + 3) / 2, 6) AS x, round((k + value / 2) / 2, 6) AS y, round(sqrt((value - 3) ** 2 + (k - value / 2) ** 2), 6) AS span FROM e",
+    "view_hull": f"""WITH {EVENTS}, p AS (SELECT DISTINCT user_id, k::DOUBLE AS x, floor(value) AS y FROM e WHERE k IS NOT NULL AND value IS NOT NULL),
+        s AS (SELECT a.user_id, a.x, a.y, b.x AS u, b.y AS v,
+                bool_and((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0 OR (b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) <= 0) AS edge
+              FROM p a JOIN p b ON a.user_id = b.user_id AND (a.x <> b.x OR a.y <> b.y) JOIN p c ON c.user_id = a.user_id GROUP BY ALL),
+        h AS (SELECT user_id, count(*) AS n, sum(x * v - y * u) / 2 AS area FROM s WHERE edge GROUP BY 1)
+        SELECT user_id, coalesce(n, 1) AS n_corners, round(coalesce(area, 0) / (128 * 128), 9) AS hull_fraction FROM (SELECT DISTINCT user_id FROM p) LEFT JOIN h USING (user_id)""",
+    "pixel_rays": """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, cos(0.3) AS c, sin(0.3) AS s FROM embeddings WHERE len(embedding) >= 3),
+        o AS (SELECT *, -(c * 0.1 - s * 0.2) AS a, s * 0.1 + c * 0.2 AS b, -2.5::DOUBLE AS d, vec_id % 10 <> 0 AS ok FROM p),
+        r AS (SELECT *, sqrt((x - a) ** 2 + (y - b) ** 2 + (z - d) ** 2) AS n FROM o)
+        SELECT vec_id, round(CASE WHEN ok THEN a END, 8) AS centre_x, round(CASE WHEN ok THEN b END, 8) AS centre_y, round(CASE WHEN ok THEN d END, 8) AS centre_z,
+            round(CASE WHEN ok THEN (x - a) / n END, 8) + 0.0 AS direction_x, round(CASE WHEN ok THEN (y - b) / n END, 8) + 0.0 AS direction_y, round(CASE WHEN ok THEN (z - d) / n END, 8) + 0.0 AS direction_z FROM r""",
 }
