@@ -282,11 +282,12 @@ def links(sets: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
     i, j = tokens.alias("i"), tokens.alias("j")
     may = (F.col("i.token") == F.col("j.token")) & (F.col("i.block") < F.col("j.block")) & (F.col("i.most") * 100 >= F.col("j.least") * percent) & (F.col("j.most") * 100 >= F.col("i.least") * percent)
     may &= F.least("i.low", "j.low") < F.greatest("i.high", "j.high")
-    pairs = stored(i.join(j, may).select(F.col("i.block").alias("left"), F.col("j.block").alias("right")).distinct())
+    pairs = stored(i.join(j, may).select("i.token", F.col("i.block").alias("left"), F.col("j.block").alias("right")))
     if pairs.isEmpty():
         return edges
-    sides = pairs.select(F.col("left").alias("block"), "left", "right", F.lit(0).alias("side")).unionByName(pairs.select(F.col("right").alias("block"), "left", "right", F.lit(1).alias("side")))
-    across = open_.select("doc_id", "block").distinct().join(sides, "block").select("doc_id", "left", "right", "side")
+    # of both blocks only the documents with such a shingle
+    sides = pairs.select("token", F.col("left").alias("block"), "left", "right", F.lit(0).alias("side")).unionByName(pairs.select("token", F.col("right").alias("block"), "left", "right", F.lit(1).alias("side")))
+    across = open_.join(sides, ["token", "block"]).select("doc_id", "left", "right", "side").distinct()
     return edges.unionByName(compared(sets, across, words, percent))
 
 
