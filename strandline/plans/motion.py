@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import motion
-from strandline.plans.base import EVENTS, events
+from strandline.operators import motion, poses
+from strandline.plans.base import EVENTS, events, table
 
 MOTION = motion.MotionConfig(filter_window=4_000_000, derivative_window=3_000_000, max_interval=1_500_000, short_gap=0, max_uncertainty=5.0, max_angle_uncertainty=0.5, floor=0.05)
 
@@ -30,7 +30,18 @@ def angular_velocity(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", "n_support", F.round(F.get("velocity", F.lit(2)), 2).alias("velocity"), F.round(F.get("acceleration", F.lit(2)), 1).alias("acceleration"), F.round("velocity_sigma", 2).alias("sigma"))
 
 
-QUERIES = {f.__name__: f for f in (regular_motion, angular_velocity)}
+def fitted_bones(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as forearms, pulled to lengths that are some hundredths off."""
+    v = table(spark, d, "embeddings").filter("embedding is not null and size(embedding) >= 6").withColumn("e", F.transform("embedding", lambda x: x.cast("double")))
+    gap = F.sqrt(sum(((F.col("e")[j + 3] - F.col("e")[j]) ** 2 for j in range(3)), F.lit(0.0)))
+    v = v.withColumns({"gap": gap, "length": gap * (1 + 0.02 * F.sin("vec_id"))}).filter("gap > 0")
+    ends = F.array(*(F.struct(F.lit(n).alias("name"), *(F.col("e")[k + j].alias(c) for j, c in enumerate("xyz")), (F.col("gap") * share).alias("sigma")) for n, k, share in (("elbow", 0, 0.01), ("wrist", 3, 0.02))))
+    lengths = v.select("vec_id", F.lit("forearm").alias("bone"), F.lit("elbow").alias("a"), F.lit("wrist").alias("b"), "length", (F.col("gap") * 0.03).alias("sigma"))
+    out = poses.fitted(v.select("vec_id", F.inline(ends)), lengths, ["vec_id"], ["vec_id"])
+    return out.select("vec_id", "status", F.inline("points")).select("vec_id", "status", "name", *(F.round(c, 7).alias(c) for c in "xyz"), F.round("moved", 7).alias("moved"))
+
+
+QUERIES = {f.__name__: f for f in (regular_motion, angular_velocity, fitted_bones)}
 
 
 def _windows(known: str, sigma: str, radius: float, columns: str) -> str:
@@ -58,4 +69,10 @@ ORACLES = {
         c AS (SELECT *, (s2 * s3 - s1 * s4) / det AS d0, (s0 * s4 - s2 * s2) / det AS d1, (s1 * s2 - s0 * s3) / det AS d2, (s1 * s3 - s2 * s2) / det AS e0, (s1 * s2 - s0 * s3) / det AS e1, (s0 * s2 - s1 * s1) / det AS e2 FROM d WHERE abs(det) > 1e-12 * s0 * s2 * s4),
         f AS (SELECT event_id, any_value(n) AS n, any_value(d0 * a0 + d1 * a1 + d2 * a2) / 1.5 AS velocity, any_value(e0 * a0 + e1 * a1 + e2 * a2) * 2 / 2.25 AS acceleration, sum(abs((d0 + d1 * u + d2 * u * u) * w) * v.q) / 1.5 AS sigma FROM c JOIN v USING (event_id) GROUP BY 1)
         SELECT e.event_id, coalesce(n, 0) AS n_support, round(velocity, 2) + 0.0 AS velocity, round(acceleration, 1) + 0.0 AS acceleration, round(sigma, 2) AS sigma FROM e LEFT JOIN f USING (event_id)""",
+    "fitted_bones": """WITH e AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings WHERE len(embedding) >= 6),
+        g AS (SELECT *, sqrt((e[4] - e[1]) ** 2 + (e[5] - e[2]) ** 2 + (e[6] - e[3]) ** 2) AS gap FROM e),
+        f AS (SELECT *, gap * (1 + 0.02 * sin(vec_id)) AS length, (4 / (gap * 0.03)) ** 2 AS pull FROM g WHERE gap > 0),
+        p AS (SELECT *, pull * (gap - length) / (1 + pull * ((0.01 * gap) ** 2 + (0.02 * gap) ** 2)) AS force FROM f),
+        m AS (SELECT vec_id, e, gap, force, unnest(['elbow', 'wrist']) AS name, unnest([0, 3]) AS k, unnest([(0.01 * gap) ** 2, -1 * ((0.02 * gap) ** 2)]) * force / gap AS t FROM p)
+        SELECT vec_id, CASE WHEN force IS NULL THEN 'fit_rejected' ELSE 'converged' END AS status, name, round(e[k + 1] + t * (e[4] - e[1]), 7) + 0.0 AS x, round(e[k + 2] + t * (e[5] - e[2]), 7) + 0.0 AS y, round(e[k + 3] + t * (e[6] - e[3]), 7) + 0.0 AS z, round(abs(t) * gap, 7) AS moved FROM m""",
 }
