@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.storage import free_names
+
 #: Microseconds in a bucket.
 BUCKET = 86_400_000_000
 
@@ -18,20 +20,24 @@ BUCKET = 86_400_000_000
 def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, payload: list[str], direction: str = "backward", bucket: int = BUCKET, to: str = "match") -> DataFrame:
     """left with a struct of right's time and payload: its last row at or before (or first at or after) the time, or null.
 
-    Right rows at one time count in the order of their payload, the last one wins. A null in a key or time matches nothing.
+    Right rows at one time count in the order of their payload, the last one wins. A null in a key or time matches nothing. left has no
+    column of the struct's name; its others may have any.
     """
+    if to in left.columns:
+        raise ValueError(f"the left side has a column {to} already")
     right = right.dropna(subset=[*by, time])
     sign = 1 if direction == "backward" else -1
     clock = F.col(time) * sign
-    rights = right.select(*by, clock.alias("_t"), F.struct(time, *payload).alias("_r"), F.lit(0).alias("_side"))
-    lefts = left.withColumns({"_t": clock, "_side": F.lit(1)})
-    rows = lefts.unionByName(rights, allowMissingColumns=True).withColumn("_bucket", F.floor(F.col("_t") / bucket))
-    own = Window.partitionBy(*by, "_bucket").orderBy("_t", "_side", "_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = rows.withColumn("_own", F.last("_r", ignorenulls=True).over(own)).filter(F.col("_side") == 1)
-    ends = rows.groupBy(*by, "_bucket").agg(F.max(F.when(F.col("_side") == 0, F.struct("_t", "_r"))).alias("_end"))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*by, "_bucket", F.last("_end", ignorenulls=True).over(before)["_r"].alias("_carried"))
-    return seen.join(carried, [*by, "_bucket"], "left").withColumn(to, F.coalesce("_own", "_carried")).select(*left.columns, to)
+    t, row, side, cell, inner, outer, end = free_names(["t", "r", "side", "bucket", "own", "carried", "end"], [*left.columns, *by, time])
+    rights = right.select(*by, clock.alias(t), F.struct(time, *payload).alias(row), F.lit(0).alias(side))
+    lefts = left.withColumns({t: clock, side: F.lit(1)})
+    rows = lefts.unionByName(rights, allowMissingColumns=True).withColumn(cell, F.floor(F.col(t) / bucket))
+    own = Window.partitionBy(*by, cell).orderBy(t, side, row).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.withColumn(inner, F.last(row, ignorenulls=True).over(own)).filter(F.col(side) == 1)
+    ends = rows.groupBy(*by, cell).agg(F.max(F.when(F.col(side) == 0, F.struct(t, row))).alias(end))
+    before = Window.partitionBy(*by).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*by, cell, F.last(end, ignorenulls=True).over(before)[row].alias(outer))
+    return seen.join(carried, [*by, cell], "left").withColumn(to, F.coalesce(inner, outer)).select(*left.columns, to)
 
 
 def bracket(left: DataFrame, right: DataFrame, by: list[str], time: str, payload: list[str], bucket: int = BUCKET) -> DataFrame:

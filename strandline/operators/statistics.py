@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from strandline.operators.robust import quantiles
+
 
 def bounds(df: DataFrame, by: list[str], axes: list[str]) -> DataFrame:
     """The least and largest value of each axis; nulls where a key has none."""
@@ -31,8 +33,10 @@ def recording_facts(df: DataFrame, by: list[str], time: str, tolerance: float) -
 
 def residual_quantiles(df: DataFrame, by: list[str], residual: str, depth: str) -> DataFrame:
     """For each scene: median, nine tenths and largest residual, and the share of points in front of the camera."""
-    q = F.percentile(residual, F.array(F.lit(0.5), F.lit(0.9)))
-    return df.groupBy(*by).agg(q[0].alias("median"), q[1].alias("p90"), F.max(residual).alias("worst"), F.avg((F.col(depth) > 0).cast("double")).alias("positive_depth"))
+    found = quantiles(df, by, residual, [0.5, 0.9])
+    middle = found.groupBy(*by).agg(*(F.max(F.when(F.col("place") == k, F.col("quantile"))).alias(name) for k, name in enumerate(("median", "p90"))))
+    rest = df.groupBy(*by).agg(F.max(residual).alias("worst"), F.avg((F.col(depth) > 0).cast("double")).alias("positive_depth"))
+    return rest.join(middle, by, "left").select(*by, "median", "p90", "worst", "positive_depth")
 
 
 def occupancy(df: DataFrame, by: list[str], x: Column, y: Column, cells: int = 4) -> DataFrame:
