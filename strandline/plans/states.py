@@ -231,6 +231,31 @@ ORACLES = {
                   CASE WHEN was IS NOT NULL AND speed < 0.1 AND us - was >= {HOUR} THEN was END, n
               FROM (SELECT s.user_id, s.i, s.us, s.speed, CASE WHEN s.fresh THEN NULL ELSE f.start END AS was, f.n FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1))
         SELECT user_id, done AS start, us AS "end", size::BIGINT AS n FROM f WHERE done IS NOT NULL""",
+    "stable_placement": f"""WITH RECURSIVE {STEPS},
+        f AS (SELECT user_id, i, us, value AS x, k::DOUBLE AS y, false AS stable, us AS first, 1 AS n, NULL::STRUCT(a BIGINT, b BIGINT, n INTEGER) AS done FROM s WHERE i = 1
+              UNION ALL
+              SELECT user_id, j, t, CASE WHEN near THEN x ELSE value END, CASE WHEN near THEN y ELSE k END, near AND (stable OR t - first >= {6 * HOUR}), CASE WHEN near THEN first ELSE t END, CASE WHEN near THEN n + 1 ELSE 1 END,
+                  CASE WHEN stable AND NOT near THEN {{'a': first, 'b': us, 'n': n}} END
+              FROM (SELECT f.*, s.i AS j, s.us AS t, s.value, s.k::DOUBLE AS k, NOT s.fresh AND sqrt((s.value - f.x) ** 2 + (s.k - f.y) ** 2) <= CASE WHEN f.stable THEN 80 ELSE 60 END AS near FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1)),
+        d AS (SELECT user_id, done FROM f WHERE done IS NOT NULL UNION ALL SELECT user_id, {{'a': first, 'b': us, 'n': n}} FROM f WHERE stable AND (user_id, i) IN (SELECT (user_id, max(i)) FROM s GROUP BY user_id))
+        SELECT user_id, done.a AS start, done.b AS "end", done.n::BIGINT AS n FROM d""",
+    "partner_match": f"""WITH RECURSIVE {EVENTS}, l AS (SELECT user_id, event_id, us, row_number() OVER (PARTITION BY user_id ORDER BY us) AS j FROM e WHERE event_type = 'click'), r AS (SELECT user_id, event_id, us FROM e WHERE event_type = 'view'),
+        f AS (SELECT user_id, 0::BIGINT AS j, NULL::BIGINT AS left_id, NULL::BIGINT AS right_id, []::BIGINT[] AS used FROM (SELECT DISTINCT user_id FROM l)
+              UNION ALL
+              SELECT user_id, j, left_id, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END
+              FROM (SELECT f.user_id, l.j, l.event_id AS left_id, f.used, arg_min(r.event_id, r.us) AS pick FROM f JOIN l ON l.user_id = f.user_id AND l.j = f.j + 1
+                    LEFT JOIN r ON r.user_id = l.user_id AND r.us BETWEEN l.us - {6 * HOUR} AND l.us + {6 * HOUR} AND NOT list_contains(f.used, r.event_id) GROUP BY ALL))
+        SELECT left_id, right_id FROM f WHERE right_id IS NOT NULL""",
+    "subject_tracker": f"""WITH RECURSIVE {EVENTS}, c AS (SELECT event_type, us // {6 * HOUR} * {6 * HOUR} AS frame, event_id, value AS x, k::DOUBLE AS y, k + value / 1000 AS size FROM e),
+        g AS (SELECT *, row_number() OVER w AS i, coalesce(frame - lag(frame) OVER w > {DAY}, true) AS fresh FROM (SELECT DISTINCT event_type, frame FROM c) WINDOW w AS (PARTITION BY event_type ORDER BY frame)),
+        f AS (SELECT event_type, 0::BIGINT AS i, NULL::BIGINT AS frame, NULL::DOUBLE AS x, NULL::DOUBLE AS y, NULL::BIGINT AS event_id, '' AS state FROM (SELECT DISTINCT event_type FROM e)
+              UNION ALL
+              SELECT event_type, i, frame, CASE WHEN says = 'selected' THEN a.x ELSE lx END, CASE WHEN says = 'selected' THEN a.y ELSE ly END, CASE WHEN says = 'selected' THEN a.id END, says
+              FROM (SELECT *, o[1] AS a, CASE WHEN lx IS NOT NULL AND o[1].cost > 40 THEN 'lost' WHEN len(o) > 1 AND o[2].cost - o[1].cost < 0.5 THEN 'ambiguous' ELSE 'selected' END AS says
+                    FROM (SELECT event_type, i, frame, lx, ly, list_sort(list({{'cost': CASE WHEN lx IS NULL THEN -size ELSE sqrt((x - lx) ** 2 + (y - ly) ** 2) END, 'id': event_id, 'x': x, 'y': y}})) AS o
+                          FROM (SELECT g.event_type, g.i, g.frame, CASE WHEN NOT g.fresh THEN f.x END AS lx, CASE WHEN NOT g.fresh THEN f.y END AS ly, c.* EXCLUDE (event_type, frame)
+                                FROM f JOIN g ON g.event_type = f.event_type AND g.i = f.i + 1 JOIN c ON c.event_type = g.event_type AND c.frame = g.frame) GROUP BY ALL)))
+        SELECT event_type, frame, event_id, state FROM f WHERE i > 0""",
     "dwell_transitions": f"""WITH {EVENTS}, l AS (SELECT *, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS level FROM e),
         n AS (SELECT *, CASE WHEN lag(level) OVER w = level THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (PARTITION BY user_id ORDER BY us)),
         r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM n),
