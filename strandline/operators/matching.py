@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1_024
@@ -48,18 +48,57 @@ def mutual_matches(a: DataFrame, b: DataFrame, ratio: float) -> DataFrame:
     return x.join(y, ["a_id", "b_id"])
 
 
-def lag_correlation(series: DataFrame, pairs: DataFrame, shifts: list[int], least: int = 8) -> DataFrame:
+#: The least standard deviation and bins of a correlation that counts, of its score, of its lead, and of a part's vote.
+FLAT, BINS, SCORE, LEAD, VOTE = 0.03, 8, 0.55, 0.08, 0.2
+
+
+def lag_correlation(series: DataFrame, pairs: DataFrame, shifts: list[int], least: int = BINS) -> DataFrame:
     """a, b, shift, n, r: for each pair of sources the correlation of a at bin t with b at bin t + shift.
 
-    series: source, bin, value with one row for each bin. A correlation over fewer than ``least`` bins, or of a constant,
+    series: source, bin, value with one row for each bin. A correlation over fewer than ``least`` bins, or of a flat series,
     is 0.
     """
     a = series.select(F.col("source").alias("a"), F.col("bin"), F.col("value").alias("x"))
     b = series.select(F.col("source").alias("b"), F.col("bin").alias("bin_b"), F.col("value").alias("y"))
     left = pairs.join(a, "a").withColumn("shift", F.explode(F.array(*map(F.lit, shifts)))).withColumn("bin_b", F.col("bin") + F.col("shift"))
     both = left.join(b, ["b", "bin_b"])
-    flat = (F.stddev_pop("x") < 1e-12) | (F.stddev_pop("y") < 1e-12) | (F.count("*") < least)
-    return both.groupBy("a", "b", "shift").agg(F.count("*").alias("n"), F.when(flat, 0.0).otherwise(F.corr("x", "y")).alias("r"))
+    return both.groupBy("a", "b", "shift").agg(F.count("*").alias("n"), _guarded(F.lit(True), least).alias("r"))
+
+
+def _guarded(own: Column, least: int = BINS) -> Column:
+    """An aggregate: the correlation of x and y where own holds, 0 for few bins and flat series."""
+    x, y = F.when(own, F.col("x")), F.when(own, F.col("y"))
+    n = F.count(x)
+    return F.when((n < least) | (F.stddev_pop(x) < FLAT) | (F.stddev_pop(y) < FLAT), 0.0).otherwise(F.corr(x, y))
+
+
+def voted_lags(series: DataFrame, pairs: DataFrame, shifts: list[int], step: float) -> DataFrame:
+    """a, b, shift, score, separation, n, votes and reasons (none if the lag is reliable) of each pair of sources.
+
+    series: source, bin, value on a grid of ``step`` seconds, as resampling gives it. At each shift the bins that both have
+    are cut into three parts of the same size; at least two must correlate by more than VOTE. The score is the correlation
+    of all, less where a part disagrees or the overlap is short of two seconds; the best shift must lead all that aren't
+    next to it (ties: the larger shift), or the signal is flat, periodic or unrelated. Pairs without a useful overlap have
+    null shift.
+    """
+    a = series.select(F.col("source").alias("a"), "bin", F.col("value").alias("x"))
+    b = series.select(F.col("source").alias("b"), F.col("bin").alias("bin_b"), F.col("value").alias("y"))
+    left = pairs.select("a", "b").join(a, "a").withColumn("shift", F.explode(F.array(*map(F.lit, shifts)))).withColumn("bin_b", F.col("bin") + F.col("shift"))
+    both = left.join(b, ["b", "bin_b"]).withColumn("part", F.ntile(3).over(Window.partitionBy("a", "b", "shift").orderBy("bin")))
+    parts = F.array(*(_guarded(F.col("part") == k) for k in (1, 2, 3)))
+    told = both.groupBy("a", "b", "shift").agg(F.count("*").alias("n"), ((F.max("bin") - F.min("bin")) * step).alias("seconds"), _guarded(F.lit(True)).alias("r"), parts.alias("parts"))
+    told = told.withColumn("votes", F.size(F.filter("parts", lambda v: v > VOTE)))
+    useful = told.filter((F.col("votes") >= 2) & (F.col("n") >= BINS) & (F.col("seconds") >= max(0.4, BINS * step)))
+    useful = useful.withColumn("score", F.col("r") * F.col("votes") / 3 * F.least(F.lit(1.0), F.col("seconds") / 2))
+    pair = Window.partitionBy("a", "b")
+    ranked = useful.withColumn("rank", F.row_number().over(pair.orderBy(F.desc("score"), F.desc("shift"))))
+    ranked = ranked.withColumn("top", F.max(F.when(F.col("rank") == 1, F.col("shift"))).over(pair))
+    ranked = ranked.withColumn("rival", F.max(F.when(F.abs(F.col("shift") - F.col("top")) > 2, F.col("score"))).over(pair))
+    best = ranked.filter("rank = 1").withColumn("separation", F.col("score") - F.coalesce("rival", F.lit(0.0)))
+    found = pairs.select("a", "b").join(best, ["a", "b"], "left")
+    rules = {"no_useful_overlap": F.col("shift").isNull(), "ambiguous_peak": F.col("separation") < LEAD, "weak_correlation": F.col("score") < SCORE}
+    reasons = F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())))
+    return found.select("a", "b", "shift", "score", "separation", "n", "votes", reasons.alias("reasons"))
 
 
 def best_lag(correlations: DataFrame, near: int) -> DataFrame:

@@ -118,6 +118,15 @@ def lag_correlation(spark: SparkSession, d: str) -> DataFrame:
     return out.select("a", "b", "shift", "n", F.round("r", 6).alias("r"))
 
 
+def lag_votes(spark: SparkSession, d: str) -> DataFrame:
+    """Event types by six hours, and one of them again seven bins later, which is found."""
+    series = _hourly(spark, d)
+    later = series.filter("source = 'view'").select(F.lit("viewed").alias("source"), (F.col("bin") + 7).alias("bin"), "value")
+    both = series.unionByName(later)
+    out = matching.voted_lags(both, _type_pairs(both), list(range(-12, 13)), 0.05)
+    return out.select("a", "b", "shift", F.round("score", 6).alias("score"), F.round("separation", 6).alias("separation"), "n", "votes", F.array_join("reasons", ",").alias("reasons"))
+
+
 def lag_best(spark: SparkSession, d: str) -> DataFrame:
     series = _hourly(spark, d)
     out = matching.best_lag(matching.lag_correlation(series, _type_pairs(series), list(range(-4, 5))), 1)
@@ -155,12 +164,12 @@ def ground_plane(spark: SparkSession, d: str) -> DataFrame:
     return out.select("kind", F.round("nz", 4).alias("nz"), "inliers", "n")
 
 
-QUERIES = {f.__name__: f for f in (fps_thinning, refractory, peak_spacing, peaks_prominent, direction_changes, contact_hysteresis, bouts, pivots, stable_placement, partner_match, subject_tracker, dwell_transitions, segment_verdict, support_case, lag_correlation, lag_best, offset_lsq, triangulated_points, ground_plane)}
+QUERIES = {f.__name__: f for f in (fps_thinning, refractory, peak_spacing, peaks_prominent, direction_changes, contact_hysteresis, bouts, pivots, stable_placement, partner_match, subject_tracker, dwell_transitions, segment_verdict, support_case, lag_correlation, lag_votes, lag_best, offset_lsq, triangulated_points, ground_plane)}
 
 #: Rows of a user numbered in order, with the start of a run after a pause marked.
 STEPS = f"""{EVENTS}, s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us) AS i, coalesce(us - lag(us) OVER (PARTITION BY user_id ORDER BY us) > {PAUSE}, true) AS fresh FROM e)"""
 HOURLY = f"""{EVENTS}, h AS (SELECT event_type AS source, CAST(floor(us / {6 * HOUR}) AS BIGINT) AS bin, sum(value) AS value FROM e GROUP BY 1, 2),
-        c AS (SELECT a.source AS a, b.source AS b, t.shift, count(*) AS n, CASE WHEN count(*) < 8 OR stddev_pop(a.value) < 1e-12 OR stddev_pop(b.value) < 1e-12 THEN 0 ELSE corr(a.value, b.value) END AS r
+        c AS (SELECT a.source AS a, b.source AS b, t.shift, count(*) AS n, CASE WHEN count(*) < 8 OR stddev_pop(a.value) < 0.03 OR stddev_pop(b.value) < 0.03 THEN 0 ELSE corr(a.value, b.value) END AS r
               FROM h a CROSS JOIN (SELECT unnest(range(-4, 5)) AS shift) t JOIN h b ON a.source < b.source AND b.bin = a.bin + t.shift GROUP BY 1, 2, 3)"""
 
 _DIRECTION_CHANGES = f"""WITH {EVENTS}, l AS (SELECT user_id, us, value, k, event_type <> 'error' AS known, coalesce(event_type = 'error' OR lag(event_type) OVER w = 'error' OR us - lag(us) OVER w > {PAUSE}, true) AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us)),
@@ -271,6 +280,18 @@ ORACLES = {
     "lag_best": f"""WITH {HOURLY}, k AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY r DESC, shift) AS rank FROM c), t AS (SELECT a, b, shift AS top FROM k WHERE rank = 1)
         SELECT k.a, k.b, max(CASE WHEN rank = 1 THEN shift END)::INTEGER AS shift, round(max(CASE WHEN rank = 1 THEN r END), 6) AS r,
                round(max(CASE WHEN rank = 1 THEN r END) - max(CASE WHEN abs(shift - top) > 1 THEN r END), 6) AS margin FROM k JOIN t ON k.a = t.a AND k.b = t.b GROUP BY 1, 2""",
+    "lag_votes": f"""WITH {EVENTS}, g AS (SELECT event_type AS source, CAST(floor(us / {6 * HOUR}) AS BIGINT) AS bin, sum(value) AS value FROM e GROUP BY 1, 2), h AS (SELECT * FROM g UNION ALL SELECT 'viewed', bin + 7, value FROM g WHERE source = 'view'),
+        j AS (SELECT a.source AS a, b.source AS b, t.shift, a.bin, a.value AS x, b.value AS y, ntile(3) OVER (PARTITION BY a.source, b.source, t.shift ORDER BY a.bin) AS part
+              FROM h a CROSS JOIN (SELECT unnest(range(-12, 13)) AS shift) t JOIN h b ON a.source < b.source AND b.bin = a.bin + t.shift),
+        p AS (SELECT a, b, shift, part, count(*) >= 8 AND stddev_pop(x) >= 0.03 AND stddev_pop(y) >= 0.03 AND corr(x, y) > 0.2 AS vote FROM j GROUP BY ALL),
+        v AS (SELECT a, b, shift, count(*) FILTER (vote) AS votes FROM p GROUP BY ALL),
+        r AS (SELECT a, b, shift, count(*) AS n, (max(bin) - min(bin)) * 0.05::DOUBLE AS seconds, CASE WHEN stddev_pop(x) >= 0.03 AND stddev_pop(y) >= 0.03 THEN corr(x, y) ELSE 0 END AS r FROM j GROUP BY ALL HAVING count(*) >= 8),
+        s AS (SELECT *, r * votes / 3 * least(1, seconds / 2) AS score FROM r JOIN v USING (a, b, shift) WHERE votes >= 2 AND seconds >= 0.4),
+        k AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY score DESC, shift DESC) AS rank, first_value(shift) OVER (PARTITION BY a, b ORDER BY score DESC, shift DESC) AS top FROM s),
+        m AS (SELECT a, b, top AS shift, max(score) AS score, max(score) - coalesce(max(score) FILTER (abs(shift - top) > 2), 0) AS separation, any_value(n) FILTER (rank = 1) AS n, any_value(votes) FILTER (rank = 1) AS votes FROM k GROUP BY a, b, top)
+        SELECT q.a, q.b, shift::INTEGER AS shift, round(score, 6) AS score, round(separation, 6) AS separation, n, votes::INTEGER AS votes,
+            concat_ws(',', CASE WHEN shift IS NULL THEN 'no_useful_overlap' END, CASE WHEN separation < 0.08 THEN 'ambiguous_peak' END, CASE WHEN score < 0.55 THEN 'weak_correlation' END) AS reasons
+        FROM (SELECT x.source AS a, y.source AS b FROM (SELECT DISTINCT source FROM h) x JOIN (SELECT DISTINCT source FROM h) y ON x.source < y.source) q LEFT JOIN m ON m.a = q.a AND m.b = q.b""",
     "offset_lsq": f"""WITH {EVENTS}, w AS (SELECT CAST(floor(us / {10 * DAY}) AS BIGINT) AS "window", event_type AS source, avg(us % {DAY}) / {HOUR} AS t FROM e GROUP BY 1, 2),
         f AS (SELECT "window", arg_min(t, source) AS t0 FROM w GROUP BY 1)
         SELECT "window", source, round(t - t0, 6) + 0.0 AS "offset" FROM w JOIN f USING ("window")""",

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import geometry
-from strandline.operators import asof, robust, statistics, storage
+from strandline.operators import asof, matching, robust, statistics, storage
 
 
 def test_quantiles_of_a_hot_key_ties_and_few_values(spark):
@@ -64,3 +64,16 @@ def test_names_of_columns_are_free(spark):
     with pytest.raises(ValueError):
         asof.asof(left.withColumn("match", F.lit(1)), right, ["k"], "t", ["r"])
     assert storage.free_names(["a", "b"], ["A", "_a"]) == ["__a", "b"]
+
+
+def test_lags_need_votes_and_a_clear_lead(spark):
+    rng = np.random.default_rng(10)
+    noise = np.convolve(rng.normal(0, 1, 240), np.ones(5) / 5, "same")
+    wave = np.sin(np.arange(240) * 2 * np.pi / 10)
+    rows = [("a", t, float(v)) for t, v in enumerate(noise)] + [("b", t + 9, float(v)) for t, v in enumerate(noise)] + [("c", t, 1.0) for t in range(240)]
+    rows += [("x", t, float(v)) for t, v in enumerate(wave)] + [("y", t + 3, float(v)) for t, v in enumerate(wave)]
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("x", "y")], "a string, b string")
+    found = {(r.a, r.b): r for r in matching.voted_lags(spark.createDataFrame(rows, "source string, bin long, value double"), pairs, list(range(-20, 21)), 0.05).collect()}
+    assert found["a", "b"].shift == 9 and found["a", "b"].reasons == [] and found["a", "b"].score > 0.99
+    assert found["a", "c"].shift is None and found["a", "c"].reasons == ["no_useful_overlap"]
+    assert "ambiguous_peak" in found["x", "y"].reasons
