@@ -68,8 +68,8 @@ def lag_correlation(series: DataFrame, pairs: DataFrame, shifts: list[int], leas
 def _guarded(own: Column, least: int = BINS) -> Column:
     """An aggregate: the correlation of x and y where own holds, 0 for few bins and flat series."""
     x, y = F.when(own, F.col("x")), F.when(own, F.col("y"))
-    n = F.count(x)
-    return F.when((n < least) | (F.stddev_pop(x) < FLAT) | (F.stddev_pop(y) < FLAT), 0.0).otherwise(F.corr(x, y))
+    a, b = F.stddev_pop(x), F.stddev_pop(y)  # not corr, which divides by the spread of a constant before it can be guarded
+    return F.when((F.count(x) < least) | (a < FLAT) | (b < FLAT), 0.0).otherwise(F.covar_pop(x, y) / a / b)
 
 
 def voted_lags(series: DataFrame, pairs: DataFrame, shifts: list[int], step: float) -> DataFrame:
