@@ -2,10 +2,11 @@
 
 Suffixes are classified as larger (L) or smaller (S) than their right
 neighbour; leftmost-smaller (LMS) substrings are sorted by induction and named;
-their order is found recursively; and two linear passes induce the whole array.
-A pass goes through the symbols' buckets in order, and what a bucket induces is
-placed at once. A named string of many symbols is sorted by doubling instead,
-where walking buckets of one or two suffixes each would not pay.
+their order is found recursively, whatever the number of names; and two linear
+passes induce the whole array. A pass goes through the symbols' buckets in
+order. Neighbouring buckets are taken side by side as far as none of them
+induces a suffix in another one of them; a bucket that induces in itself is
+taken in waves, and waves of a few suffixes (runs of one symbol) one by one.
 
 Memory is about 60 bytes for each symbol.
 """
@@ -14,15 +15,17 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Strings of more symbols are sorted by doubling.
-MANY = 1 << 12
+#: Suffixes of neighbouring buckets that are tried side by side at first; the number follows what went well.
+SPAN = 1 << 10
+#: Waves of fewer suffixes are walked one by one.
+FEW = 16
 
 
 def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     """Starts of the suffixes of text (integers from 0 below symbols) in order; the end is smaller than any symbol."""
     text = np.ascontiguousarray(text, np.int32)
-    if len(text) < 3 or symbols > MANY:
-        return _doubled(text, symbols)
+    if not len(text):
+        return np.empty(0, np.int32)
     smaller = _types(text)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     count = np.bincount(text, minlength=symbols)
@@ -83,10 +86,9 @@ def packed_words(text: np.ndarray, beyond: int) -> np.ndarray:
     return packed[:n]
 
 
-def _spread(sa: np.ndarray, text: np.ndarray, found: np.ndarray, edge: np.ndarray, step: int) -> None:
-    """Put the suffixes found, in this order, at the edges of their buckets, which move by step."""
-    symbols = text[found]
-    order = np.argsort(symbols.astype(np.int16), kind="stable")
+def _spread(sa: np.ndarray, symbols: np.ndarray, found: np.ndarray, edge: np.ndarray, step: int) -> None:
+    """Put the suffixes found, in this order, at the edges of the buckets of their symbols, which move by step."""
+    order = np.argsort(symbols.astype(np.int16) if len(edge) < 1 << 15 else symbols, kind="stable")
     ordered = symbols[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     size = np.diff(np.append(first, len(ordered)))
@@ -97,74 +99,85 @@ def _spread(sa: np.ndarray, text: np.ndarray, found: np.ndarray, edge: np.ndarra
 
 def _induced(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The suffix array that the given order of LMS suffixes induces."""
-    n = len(text)
-    sa = np.full(n, -1, np.int32)
+    sa = np.full(len(text), -1, np.int32)
     end = np.cumsum(count)
-    begin = end - count
-    lms_count = np.bincount(text[lms], minlength=len(count))
-    lms_first = end - lms_count
     if len(lms):
-        _spread(sa, text, lms.astype(np.int32), lms_first.copy(), 1)
-    head = begin.copy()
-    _spread(sa, text, np.array([n - 1], np.int32), head, 1)
-    for c in np.flatnonzero(count):
-        done = begin[c]
-        while done < head[c]:  # what a bucket induces in itself comes next
-            wave = sa[done : head[c]] - 1
-            done = head[c]
-            wave = wave[wave >= 0]
-            wave = wave[~smaller[wave]]
-            if len(wave):
-                _spread(sa, text, wave, head, 1)
-        wave = sa[lms_first[c] : end[c]] - 1
-        wave = wave[(wave >= 0)]
-        wave = wave[~smaller[wave]]
-        if len(wave):
-            _spread(sa, text, wave, head, 1)
-    tail = end - 1
-    for c in np.flatnonzero(count)[::-1]:
-        done = end[c] - 1
-        while done > tail[c]:
-            wave = sa[tail[c] + 1 : done + 1][::-1] - 1
-            done = tail[c]
-            wave = wave[wave >= 0]
-            wave = wave[smaller[wave]]
-            if len(wave):
-                _spread(sa, text, wave, tail, -1)
-        wave = sa[begin[c] : head[c]][::-1] - 1
-        wave = wave[wave >= 0]
-        wave = wave[smaller[wave]]
-        if len(wave):
-            _spread(sa, text, wave, tail, -1)
+        _spread(sa, text[lms], lms.astype(np.int32), end - np.bincount(text[lms], minlength=len(count)), 1)
+    seeds = np.flatnonzero(sa >= 0)
+    last = np.array([len(text) - 1], np.int32)
+    head = end - count
+    _spread(sa, text[last], last, head, 1)
+    _pass(sa, text, ~smaller, count, head, 1)
+    sa[seeds] = -1  # the second pass puts them where they belong
+    _pass(sa, text, smaller, count, end - 1, -1)
     return sa
 
 
-def _doubled(text: np.ndarray, symbols: int) -> np.ndarray:
-    """The suffix array by sorting ranks of ever longer prefixes."""
-    n = len(text)
-    if not n:
-        return np.empty(0, np.int32)
-    rank = text.astype(np.int64) + 1
-    span, base = 1, symbols + 1
-    while True:
-        step = 0
-        key = rank.copy()
-        while base < (1 << 62) // (max(int(rank.max()), 1) + 1) and step < 2:  # as many ranks as fit in one key
-            step += 1
-            shifted = np.zeros(n, np.int64)
-            if span * step < n:
-                shifted[: n - span * step] = rank[span * step :]
-            key = key * base + shifted
-            if key.max() >= (1 << 62) // base:
-                break
-        order = np.argsort(key)
-        new = np.cumsum(np.concatenate([[1], (key[order][1:] != key[order][:-1]).astype(np.int64)]))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n:
-            return order.astype(np.int32)
-        span *= step + 1
-        base = n + 1
+def _pass(sa: np.ndarray, text: np.ndarray, wanted: np.ndarray, count: np.ndarray, edge: np.ndarray, step: int) -> None:
+    """Induce the suffixes that are wanted: upwards with step 1, downwards with step -1.
+
+    edge: where the next suffix of each bucket goes.
+    """
+    end = np.cumsum(count)
+    begin = end - count
+    c, span, last = (0, SPAN, len(count)) if step > 0 else (len(count) - 1, SPAN, -1)
+    while c != last:
+        if step > 0:
+            d = max(c + 1, int(np.searchsorted(end, begin[c] + span, "right")))
+            entries = sa[begin[c] : end[d - 1]]
+        else:
+            d = min(c - 1, int(np.searchsorted(begin, end[c] - span, "left")) - 1)
+            entries = sa[begin[d + 1] : end[c]][::-1]
+        if d == c + step:
+            _bucket(sa, text, wanted, c, int(begin[c]), int(end[c]), edge, step)
+            c, span = d, max(SPAN, span // 2)
+            continue
+        found = entries[entries > 0] - 1
+        found = found[wanted[found]]
+        symbols = text[found]
+        if len(found):
+            nearest = int(symbols.min() if step > 0 else symbols.max())
+            if nearest == c:
+                _bucket(sa, text, wanted, c, int(begin[c]), int(end[c]), edge, step)
+                c += step
+                continue
+            if step * (d - nearest) > 0:  # buckets before this one are complete
+                before = step * (nearest - text[found + 1]) > 0
+                found, symbols = found[before], symbols[before]
+                d, span = nearest, max(64, span // 2)
+            else:
+                span = min(2 * span, 1 << 20)
+            if len(found):
+                _spread(sa, symbols, found, edge, step)
+        c = d
+
+
+def _bucket(sa: np.ndarray, text: np.ndarray, wanted: np.ndarray, c: int, begin: int, end: int, edge: np.ndarray, step: int) -> None:
+    """Induce from one bucket, at first from its suffixes of the wanted kind, to which it may add."""
+    done = begin if step > 0 else end - 1
+    while done != edge[c]:
+        stop = int(edge[c])
+        if abs(stop - done) < FEW:
+            while done != stop:
+                i = int(sa[done]) - 1
+                done += step
+                if i >= 0 and wanted[i]:
+                    symbol = text[i]
+                    sa[edge[symbol]] = i
+                    edge[symbol] += step
+                    stop = stop + step if symbol == c else stop
+            continue
+        found = sa[done:stop] - 1 if step > 0 else sa[stop + 1 : done + 1][::-1] - 1
+        done = stop
+        found = found[found >= 0]
+        found = found[wanted[found]]
+        if len(found):
+            _spread(sa, text[found], found, edge, step)
+    other = sa[done:end] if step > 0 else sa[begin : done + 1][::-1]
+    found = other[other > 0] - 1
+    found = found[wanted[found]]
+    if len(found):
+        _spread(sa, text[found], found, edge, step)
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:

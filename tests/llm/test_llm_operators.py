@@ -85,6 +85,26 @@ def test_suffix_arrays(symbols):
         assert order.tolist() == sorted(range(n), key=lambda i: plain[i:])
 
 
+@pytest.mark.parametrize(("span", "few"), [(1, 1), (8, 3), (1 << 10, 16)])
+def test_suffix_arrays_of_many_names(monkeypatch, span, few):
+    """Alphabets as large as the string, periods, runs and copies, at all sizes of what is taken side by side."""
+    monkeypatch.setattr(suffixes, "SPAN", span)
+    monkeypatch.setattr(suffixes, "FEW", few)
+    rng = np.random.default_rng(span)
+    long = rng.integers(0, 20_000, 10_000)
+    texts = [rng.integers(0, a, n) for a in (1, 2, 3, 60) for n in (0, 1, 2, 3, 40)]
+    texts += [np.resize(rng.integers(0, 5, p), 50) for p in (1, 2, 3, 7)] + [np.arange(40), np.arange(40)[::-1]]
+    for text in texts:
+        order = suffixes.suffix_array(text, 60)
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+    for text in (long, np.concatenate([long[:5000], long[:5000]]), np.repeat(long[:100], 100), np.resize(long[:37], 3000)):
+        order = suffixes.suffix_array(text, 20_000)
+        assert (np.sort(order) == np.arange(len(text))).all()
+        rank = np.append(np.argsort(order), -1)
+        a, b = order[:-1], order[1:]  # each pair of neighbours: first symbols, then the ranks of what follows
+        assert ((text[a] < text[b]) | ((text[a] == text[b]) & (rank[a + 1] < rank[b + 1]))).all()
+
+
 def test_wavelet_tree_counts():
     text = np.random.default_rng(1).integers(0, 37, 1000)
     tree = fm_index.WaveletTree(text, 37)
