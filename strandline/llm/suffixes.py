@@ -2,8 +2,8 @@
 
 Suffixes are classified as larger (L) or smaller (S) than their right
 neighbour; leftmost-smaller (LMS) substrings are sorted by induction and named;
-their order is found recursively, whatever the number of names; and two linear
-passes induce the whole array. A pass goes through the symbols' buckets in
+the order of those whose names several have is found recursively, whatever the
+number of names; and two linear passes induce the whole array. A pass goes through the symbols' buckets in
 order. Neighbouring buckets are taken side by side as far as none of them
 induces a suffix in another one of them; a bucket that induces in itself is
 taken in waves, and waves of a few suffixes (runs of one symbol) one by one.
@@ -19,6 +19,8 @@ import numpy as np
 SPAN = 1 << 10
 #: Waves of fewer suffixes are walked one by one.
 FEW = 16
+#: Names that 16 bits can't hold, by which fewer are sorted.
+MANY = 1 << 15
 
 
 def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
@@ -38,7 +40,14 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     sorted_lms = rough[is_lms[rough]]
     names, distinct = _named(text, is_lms, lms, sorted_lms)
     if distinct < len(lms):
-        sorted_lms = lms[suffix_array(names[lms], distinct)]
+        # a name of one substring alone settles its place and ends all comparisons: one of these behind others is enough
+        times = np.bincount(names[lms], minlength=distinct)
+        shared = times[names[lms]] > 1
+        string = shared.copy()
+        string[1:] |= shared[:-1]
+        number = np.cumsum(np.bincount(names[lms[string]], minlength=distinct) > 0) - 1
+        order = lms[string][suffix_array(number[names[lms[string]]], int(number[-1]) + 1)]
+        sorted_lms[times[names[sorted_lms]] > 1] = order[times[names[order]] > 1]
     return _induced(text, smaller, sorted_lms, count)
 
 
@@ -88,7 +97,21 @@ def packed_words(text: np.ndarray, beyond: int) -> np.ndarray:
 
 def _spread(sa: np.ndarray, symbols: np.ndarray, found: np.ndarray, edge: np.ndarray, step: int) -> None:
     """Put the suffixes found, in this order, at the edges of the buckets of their symbols, which move by step."""
-    order = np.argsort(symbols.astype(np.int16) if len(edge) < 1 << 15 else symbols, kind="stable")
+    while len(edge) >= MANY and len(sa) < 4 * len(edge) and len(symbols):  # the first of each symbol, as long as most are
+        places = edge[symbols]
+        backwards = np.arange(len(symbols) - 1, -1, -1, dtype=np.int32)
+        sa[places[::-1]] = backwards  # the first one is written last
+        first = sa[places] == backwards[::-1]
+        if 4 * np.count_nonzero(first) < 3 * len(first):
+            sa[places] = -1
+            break
+        sa[places[first]] = found[first]
+        edge[symbols[first]] += step
+        rest = ~first
+        symbols, found = symbols[rest], found[rest]
+    if not len(symbols):
+        return
+    order = np.argsort(symbols.astype(np.int16) if len(edge) < MANY else symbols, kind="stable")
     ordered = symbols[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     size = np.diff(np.append(first, len(ordered)))
@@ -107,16 +130,16 @@ def _induced(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, count: np.n
     last = np.array([len(text) - 1], np.int32)
     head = end - count
     _spread(sa, text[last], last, head, 1)
-    _pass(sa, text, ~smaller, count, head, 1)
+    _pass(sa, np.where(smaller, np.int32(-1), text), text, count, head, 1)
     sa[seeds] = -1  # the second pass puts them where they belong
-    _pass(sa, text, smaller, count, end - 1, -1)
+    _pass(sa, np.where(smaller, text, np.int32(-1)), text, count, end - 1, -1)
     return sa
 
 
-def _pass(sa: np.ndarray, text: np.ndarray, wanted: np.ndarray, count: np.ndarray, edge: np.ndarray, step: int) -> None:
+def _pass(sa: np.ndarray, wanted: np.ndarray, text: np.ndarray, count: np.ndarray, edge: np.ndarray, step: int) -> None:
     """Induce the suffixes that are wanted: upwards with step 1, downwards with step -1.
 
-    edge: where the next suffix of each bucket goes.
+    wanted: the symbol of each of these, -1 for others; edge: where the next suffix of each bucket goes.
     """
     end = np.cumsum(count)
     begin = end - count
@@ -129,16 +152,14 @@ def _pass(sa: np.ndarray, text: np.ndarray, wanted: np.ndarray, count: np.ndarra
             d = min(c - 1, int(np.searchsorted(begin, end[c] - span, "left")) - 1)
             entries = sa[begin[d + 1] : end[c]][::-1]
         if d == c + step:
-            _bucket(sa, text, wanted, c, int(begin[c]), int(end[c]), edge, step)
+            _bucket(sa, wanted, c, int(begin[c]), int(end[c]), edge, step)
             c, span = d, max(SPAN, span // 2)
             continue
-        found = entries[entries > 0] - 1
-        found = found[wanted[found]]
-        symbols = text[found]
+        found, symbols = _before(entries, wanted)
         if len(found):
             nearest = int(symbols.min() if step > 0 else symbols.max())
             if nearest == c:
-                _bucket(sa, text, wanted, c, int(begin[c]), int(end[c]), edge, step)
+                _bucket(sa, wanted, c, int(begin[c]), int(end[c]), edge, step)
                 c += step
                 continue
             if step * (d - nearest) > 0:  # buckets before this one are complete
@@ -152,7 +173,15 @@ def _pass(sa: np.ndarray, text: np.ndarray, wanted: np.ndarray, count: np.ndarra
         c = d
 
 
-def _bucket(sa: np.ndarray, text: np.ndarray, wanted: np.ndarray, c: int, begin: int, end: int, edge: np.ndarray, step: int) -> None:
+def _before(entries: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The wanted ones of the suffixes that begin one before entries, and their symbols."""
+    found = entries[entries > 0] - 1
+    symbols = wanted[found]
+    good = symbols >= 0
+    return found[good], symbols[good]
+
+
+def _bucket(sa: np.ndarray, wanted: np.ndarray, c: int, begin: int, end: int, edge: np.ndarray, step: int) -> None:
     """Induce from one bucket, at first from its suffixes of the wanted kind, to which it may add."""
     done = begin if step > 0 else end - 1
     while done != edge[c]:
@@ -161,23 +190,19 @@ def _bucket(sa: np.ndarray, text: np.ndarray, wanted: np.ndarray, c: int, begin:
             while done != stop:
                 i = int(sa[done]) - 1
                 done += step
-                if i >= 0 and wanted[i]:
-                    symbol = text[i]
+                symbol = int(wanted[i]) if i >= 0 else -1
+                if symbol >= 0:
                     sa[edge[symbol]] = i
                     edge[symbol] += step
                     stop = stop + step if symbol == c else stop
             continue
-        found = sa[done:stop] - 1 if step > 0 else sa[stop + 1 : done + 1][::-1] - 1
+        found, symbols = _before(sa[done:stop] if step > 0 else sa[stop + 1 : done + 1][::-1], wanted)
         done = stop
-        found = found[found >= 0]
-        found = found[wanted[found]]
         if len(found):
-            _spread(sa, text[found], found, edge, step)
-    other = sa[done:end] if step > 0 else sa[begin : done + 1][::-1]
-    found = other[other > 0] - 1
-    found = found[wanted[found]]
+            _spread(sa, symbols, found, edge, step)
+    found, symbols = _before(sa[done:end] if step > 0 else sa[begin : done + 1][::-1], wanted)
     if len(found):
-        _spread(sa, text[found], found, edge, step)
+        _spread(sa, symbols, found, edge, step)
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
