@@ -118,11 +118,11 @@ def within(frame: Column, v: Column) -> Column:
     return vector(*(dot(frame[k], v) for k in "xyz"))
 
 
-def finger_state(bends: Column) -> Column:
-    """extended or flexed if all of a finger's bends prove it, else indeterminate."""
+def finger_state(bends: Column, multiple: float = MULTIPLE) -> Column:
+    """extended or flexed if all of a finger's bends prove it, else indeterminate; multiple sigmas are held against a limit."""
     known = F.forall(bends, lambda b: b.isNotNull())
-    straight = F.forall(bends, lambda b: b["angle"] + MULTIPLE * b["sigma"] <= EXTENDED)
-    closed = F.forall(bends, lambda b: b["angle"] - MULTIPLE * b["sigma"] >= FLEXED)
+    straight = F.forall(bends, lambda b: b["angle"] + multiple * b["sigma"] <= EXTENDED)
+    closed = F.forall(bends, lambda b: b["angle"] - multiple * b["sigma"] >= FLEXED)
     return F.when(known & straight, "extended").when(known & closed, "flexed").otherwise("indeterminate")
 
 

@@ -76,11 +76,12 @@ def hand_states(spark: SparkSession, d: str) -> DataFrame:
     """A finger for each of an event's numbers, two bends each; the state of the hand of an hour's first events."""
     e = events(spark, d)
 
+    # the sigma holds all its multiples, as a product rounds otherwise where a bend lies on the limit
     def bend(angle, sigma):
         return F.struct(angle.alias("angle"), sigma.alias("sigma"))
 
-    fingers = [F.array(bend((F.col("value") + j) / 60, F.col("k") / 2000), F.when((F.col("k") + j) % 9 > 0, bend(F.col("value") / 50, F.lit(0.01)))) for j in range(5)]
-    e = e.withColumn("fingers", F.array(*map(body.finger_state, fingers)))
+    fingers = [F.array(bend((F.col("value") + j) / 60, body.MULTIPLE * F.col("k") / 2000), F.when((F.col("k") + j) % 9 > 0, bend(F.col("value") / 50, F.lit(body.MULTIPLE * 0.01)))) for j in range(5)]
+    e = e.withColumn("fingers", F.array(*(body.finger_state(bends, 1.0) for bends in fingers)))
     return e.select("event_id", F.array_join("fingers", ",").alias("fingers"), body.hand_state(F.col("fingers")).alias("hand"))
 
 
