@@ -129,9 +129,8 @@ def lineage_recursive(spark: SparkSession, d: str) -> DataFrame:
 def overlap_closure(spark: SparkSession, d: str) -> DataFrame:
     """Orders of a customer that hang together by overlapping, directly or through others, named by the smallest order."""
     o = orders(spark, d)
-    pairs = intervals.overlap_join(o, o, ["o_custkey"], 30 * DAY, closed=True).filter("a_o_orderkey < b_o_orderkey")
-    labels = graphs.component_labels(pairs.select(F.col("a_o_orderkey").alias("a"), F.col("b_o_orderkey").alias("b")))
-    return o.join(labels, o["o_orderkey"] == labels["node"], "left").groupBy(F.coalesce("component", "o_orderkey").alias("group_id")).agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = intervals.closures(o, ["o_custkey"], "span").groupBy("o_custkey", "span")
+    return spans.agg(F.min("o_orderkey").alias("group_id"), F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end")).drop("o_custkey", "span")
 
 
 def fk_violations(spark: SparkSession, d: str) -> DataFrame:
