@@ -34,8 +34,8 @@ def wide_to_long(wide: DataFrame) -> DataFrame:
     off the frame are kept.
     """
     def number(column: str):
-        text = F.lower(F.trim(F.col(column)))
-        return F.when(~text.isin(*MISSING), F.col(column)).try_cast("double")
+        # all tokens but nan aren't numbers anyway, and nan is the only text of NaN
+        return F.nanvl(F.col(column).try_cast("double"), F.lit(None).cast("double"))
 
     points = F.array(*(F.struct(F.lit(n).alias("landmark"), *(number(f"{n}_{p}").alias(p) for p in ("x", "y", "score"))) for n in JOINTS))
     long = wide.select(F.col("frame_index").cast("long").alias("frame_index"), F.col("time_ms").cast("double").alias("time_ms"), F.inline(points))
