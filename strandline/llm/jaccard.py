@@ -1,12 +1,12 @@
 """Exact Jaccard self-join on word shingles with vertical partitioning.
 
-The global order puts shingles of one document alone first and those that several
-documents have last, by hash among equals. Documents of one shingle set are one class. A
+The global order puts shingles of one document alone first and those that most
+documents have last, by powers of two and by hash among equals. Documents of one shingle set are one class. A
 class is a candidate by the first shingles of its set in that order, its
 prefix, of which two similar sets share one at least. Candidates that hang
 together by shared prefix shingles are laid out side by side in blocks.
 
-The global order is cut into ``FRAGMENTS`` ranges. Two blocks have a table of
+The order by hash is cut into ``FRAGMENTS`` ranges. Two blocks have a table of
 partial overlaps of their sets for each range; these tables go on by pair of
 blocks, where they are summed and held against the threshold. A pair of blocks
 returns no more links than it needs to connect what it found to be linked.
@@ -73,10 +73,10 @@ def _class_keys(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums]
 
 
-def _shared_order(hashes: np.ndarray, of: np.ndarray, flags: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """The global order within each text: shingles of one document alone first, then by hash."""
-    common = flags[np.searchsorted(names, hashes >> np.uint64(64 - packs.KEY_BITS))]
-    return np.argsort(of * 2 + common, kind="stable"), common  # they are in order of hash
+def _shared_order(hashes: np.ndarray, of: np.ndarray, levels: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The global order within each text: shingles of few documents first, then by hash; and which ones several documents may have."""
+    level = levels[np.searchsorted(names, hashes >> np.uint64(64 - packs.KEY_BITS))]
+    return np.argsort(of * 64 + level, kind="stable"), level > 0  # they are in order of hash
 
 
 def _described(bits: int, words: int, percent: int):
@@ -88,7 +88,7 @@ def _described(bits: int, words: int, percent: int):
                 keys = _class_keys(hashes, first)
                 of = np.repeat(np.arange(len(n)), n)
                 names, _ = packs.distinct(hashes)
-                order, common = _shared_order(hashes, of, packs.flags_of(names, batch.column("flags")[i].as_py(), bits), names)
+                order, common = _shared_order(hashes, of, packs.levels_of(names, batch.column("flags")[i].as_py(), bits), names)
                 length = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 prefix = (np.arange(len(hashes)) - first[:-1][of] < length[of]) & common[order]
                 counts = np.bincount(of[prefix], minlength=len(n))
@@ -103,9 +103,9 @@ def described(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     """For each row of docs: doc_id, n_shingles, key1, key2 (of its set), prefix (its prefix's shingles that several documents may have), text (compressed) if there are any."""
 
     def keys_of(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return packs.distinct(shingle_sets(texts, words)[0])
+        return packs.counts_of(shingle_sets(texts, words)[0])
 
-    flagged, bits = packs.repeated(*packs.packed(docs), keys_of, 0.2)
+    flagged, bits = packs.repeated(*packs.packed(docs), keys_of, 0.2, levels=True)
     return stored(flagged.mapInArrow(_described(bits, words, percent), "doc_id long, n_shingles long, key1 long, key2 long, prefix array<long>, text binary"))
 
 

@@ -8,7 +8,8 @@ for each key back. A hot key thus counts once per blob, and a bucket holds about
 ``BUCKET_KEYS`` keys, whatever the size of the corpus.
 
 Keys that agree in KEY_BITS are taken for equal, so a set bit means that the
-key may repeat, and an unset bit that it doesn't.
+key may repeat, and an unset bit that it doesn't. Instead of a bit there may be
+a level, which tells how often, by powers of two.
 """
 
 from __future__ import annotations
@@ -130,10 +131,22 @@ def bucket_bits(keys: float) -> int:
     return max(2, int(np.ceil(np.log2(max(1.0, keys / BUCKET_KEYS)))))
 
 
-def repeated(blobs: DataFrame, total: int, keys_of: Callable, keys_per_byte: float) -> tuple[DataFrame, int]:
+def counts_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, cut to KEY_BITS, and how often each occurs; 255 if more often."""
+    keys = np.sort(keys >> np.uint64(64 - KEY_BITS))
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.minimum(np.diff(np.append(first, len(keys))), 255).astype(np.uint8)
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """0 for a key that occurs once, k for one that occurs up to 2^k times but more than 2^(k-1) times."""
+    return np.ceil(np.log2(counts)).astype(np.uint8)
+
+
+def repeated(blobs: DataFrame, total: int, keys_of: Callable, keys_per_byte: float, levels: bool = False) -> tuple[DataFrame, int]:
     """blobs, of total bytes, with flags: which of their distinct keys may occur elsewhere too; and the number of bits of a bucket's number.
 
-    keys_of(ids, texts) gives a blob's keys and extras as distinct() does.
+    keys_of(ids, texts) gives a blob's keys and extras as distinct() does; for levels instead of bits, as counts_of() does.
     """
     bits = bucket_bits(total * keys_per_byte)
 
@@ -154,11 +167,10 @@ def repeated(blobs: DataFrame, total: int, keys_of: Callable, keys_per_byte: flo
         order = np.argsort(keys)
         ordered, own = keys[order], extra[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        high = np.maximum.reduceat(own, first)
-        many = np.diff(np.append(first, len(own))) > 1
-        flags = np.empty(len(keys), bool)
-        flags[order] = np.repeat(many | (high == REPEATS), np.diff(np.append(first, len(own))))
-        bits_of = [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1])]
+        times = np.diff(np.append(first, len(own)))
+        flags = np.empty(len(keys), np.uint8 if levels else bool)
+        flags[order] = np.repeat(_levels(np.add.reduceat(own, first, dtype=np.int64)) if levels else (times > 1) | (np.maximum.reduceat(own, first) == REPEATS), times)
+        bits_of = [squeezed(x.tobytes()) if levels else np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1])]
         return pa.table({"blob": table.column("blob"), "bucket": pa.array(np.full(len(sizes), key[0].as_py(), np.int32)), "bits": pa.array(bits_of, pa.binary())})
 
     found = blobs.mapInArrow(send, "bucket int, blob long, data binary").groupBy("bucket").applyInArrow(find, "blob long, bucket int, bits binary")
@@ -168,6 +180,15 @@ def repeated(blobs: DataFrame, total: int, keys_of: Callable, keys_per_byte: flo
     return blobs.join(flags.hint("merge"), "blob", "left"), bits  # flags grow with the input
 
 
+def levels_of(keys: np.ndarray, flags: list[dict] | None, bits: int) -> np.ndarray:
+    """As flags_of(), of levels."""
+    at = _bounds(keys, bits)
+    out = np.zeros(len(keys), np.uint8)
+    for x in flags or []:
+        out[at[x["bucket"]] : at[x["bucket"] + 1]] = np.frombuffer(unsqueezed(x["bits"]), np.uint8)
+    return out
+
+
 def flags_of(keys: np.ndarray, flags: list[dict] | None, bits: int) -> np.ndarray:
     """The flags of a blob's distinct keys, from the column that repeated() adds."""
     at = _bounds(keys, bits)
