@@ -184,7 +184,10 @@ def _summed(percent: int):
         union = sizes[left][:, None] + sizes[right][None, :] - overlap
         a, b = np.nonzero((overlap > 0) & (100 * overlap >= percent * union))
         forest = Forest(len(ids))
-        pairs = np.array([(i, j) for i, j in zip(a.tolist(), (b + shift).tolist(), strict=True) if i != j and forest.join(i, j)], np.int64).reshape(-1, 2)
+        for i, j in zip(a.tolist(), (b + shift).tolist(), strict=True):
+            forest.join(i, j)
+        # each on its root, so that components() finds stars instead of chains
+        pairs = np.array([(i, root) for i in range(len(ids)) if (root := forest.root(i)) != i], np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(ids[pairs[:, 0]], pa.int64()), "b": pa.array(ids[pairs[:, 1]], pa.int64())})
 
     return run
