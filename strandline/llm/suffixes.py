@@ -1,12 +1,13 @@
 """Suffix arrays by induced sorting, in numpy.
 
 Suffixes are classified as larger (L) or smaller (S) than their right
-neighbour; leftmost-smaller (LMS) substrings are sorted by induction and named;
-the order of those whose names several have is found recursively, whatever the
-number of names; and two linear passes induce the whole array. A pass goes through the symbols' buckets in
-order. Neighbouring buckets are taken side by side as far as none of them
-induces a suffix in another one of them; a bucket that induces in itself is
-taken in waves, and waves of a few suffixes (runs of one symbol) one by one.
+neighbour; leftmost-smaller (LMS) substrings are sorted by words of several
+symbols and named; the order of those whose names several have is found
+recursively, whatever the number of names; and two linear passes induce the
+whole array. A pass goes through the symbols' buckets in order. Neighbouring
+buckets are taken side by side as far as none of them induces a suffix in
+another one of them; a bucket that induces in itself is taken in waves, and
+waves of a few suffixes (runs of one symbol) one by one.
 
 Memory is about 60 bytes for each symbol.
 """
@@ -33,12 +34,10 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     count = np.bincount(text, minlength=symbols)
     if not len(lms):
         return _induced(text, smaller, lms, count)
-    lms_first = lms[np.argsort(text[lms], kind="stable")]
-    rough = _induced(text, smaller, lms_first, count)
-    is_lms = np.zeros(len(text), bool)
-    is_lms[lms] = True
-    sorted_lms = rough[is_lms[rough]]
-    names, distinct = _named(text, is_lms, lms, sorted_lms)
+    sorted_lms, same = _substrings(text, lms)
+    rank = np.cumsum(~same) - 1
+    names, distinct = np.zeros(len(text), np.int32), int(rank[-1]) + 1
+    names[sorted_lms] = rank
     if distinct < len(lms):
         # a name of one substring alone settles its place and ends all comparisons: one of these behind others is enough
         times = np.bincount(names[lms], minlength=distinct)
@@ -60,29 +59,42 @@ def _types(text: np.ndarray) -> np.ndarray:
     return less[np.minimum.accumulate(at[::-1])[::-1]]
 
 
-def _named(text: np.ndarray, is_lms: np.ndarray, lms: np.ndarray, sorted_lms: np.ndarray) -> tuple[np.ndarray, int]:
-    """By position the rank of each LMS substring, equal for equal ones, and how many differ."""
-    end = np.full(len(text) + 1, len(text))
-    end[lms[:-1]] = lms[1:]  # a substring ends with the first symbol of the next one
-    a, b = sorted_lms[:-1], sorted_lms[1:]
-    length = end[a] - a
-    same = (length == end[b] - b) & (end[a] < len(text)) & (end[b] < len(text))
-    active, k = np.flatnonzero(same), 0
-    if int(text.max()) < 256:  # eight symbols at once
-        packed = packed_words(text.astype(np.uint8), 8)
-        bits = 8 * np.minimum(length[active] + 1, 8).astype(np.uint64)
-        differ = (packed[a[active]] ^ packed[b[active]]) & (~np.uint64(0) >> (np.uint64(64) - bits))
-        same[active[differ != 0]] = False
-        active, k = active[(differ == 0) & (length[active] >= 8)], 8
-    while len(active):
-        i = active[length[active] >= k]
-        equal = text[a[i] + k] == text[b[i] + k]
-        same[i[~equal]] = False
-        active, k = i[equal], k + 1
-    names = np.zeros(len(text), np.int32)
-    rank = np.concatenate([[0], np.cumsum(~same)])
-    names[sorted_lms] = rank
-    return names, int(rank[-1]) + 1
+def _substrings(text: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The LMS substrings in order, and which ones equal the one before; symbols are compared as many at once as 63 bits hold.
+
+    The end of the text is a symbol below all others. Behind its end a substring has one above all others: a longer one
+    that begins with it goes on with a larger suffix's symbol where it ends, and such suffixes come first.
+    """
+    bits = (int(text.max()) + 2).bit_length()
+    at_once = 63 // bits
+    full = np.uint64((1 << bits * at_once) - 1)
+    symbols = np.append(text + np.int32(1), np.zeros(at_once, np.int32))
+    length = np.append(lms[1:], len(text)) - lms + 1  # with the first symbol of the next one
+
+    def word(i: np.ndarray, k: int) -> np.ndarray:
+        at = np.minimum(lms[i] + k, len(text))
+        out = symbols[at].astype(np.uint64)
+        for j in range(1, at_once):
+            out = (out << np.uint64(bits)) | symbols[at + j].astype(np.uint64)
+        return out | (full >> (np.uint64(bits) * np.clip(length[i] - k, 0, at_once).astype(np.uint64)))
+
+    key = word(np.arange(len(lms)), 0)
+    order = np.argsort(key)
+    key = key[order]
+    same = np.append(False, key[1:] == key[:-1])
+    place, group, k = np.arange(len(lms)), np.cumsum(~same) - 1, at_once
+    while True:  # places of those that seem equal to others, one of them being longer
+        longer = np.bincount(group, length[order[place]] > k) > 0
+        place = place[(longer & (np.bincount(group) > 1))[group]]
+        if not len(place):
+            return lms[order], same
+        group = np.append(0, np.cumsum(~same[place[1:]]))
+        i = order[place]
+        key = word(i, k)
+        by = np.lexsort((key, group))
+        order[place], key = i[by], key[by]
+        same[place[1:]] &= key[1:] == key[:-1]
+        group, k = np.append(0, np.cumsum(~same[place[1:]])), k + at_once
 
 
 def packed_words(text: np.ndarray, beyond: int) -> np.ndarray:
