@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.tables import drop_stored, stored
@@ -18,23 +18,33 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return own.filter(F.col("a") > F.col("b")).distinct()
 
 
-def _stored(edges: DataFrame) -> tuple[DataFrame, dict]:
-    """The edges as a stored table, and what tells such a table from another, observed as it is written."""
-    seen = Observation()
-    return stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31))).alias("s"))), seen.get
+def _done(edges: DataFrame) -> bool:
+    """Whether the pairs are stars: each node hangs on one centre, and no centre hangs on another node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up > 0 and down > 0").count() == 0
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component: the smallest node reachable, for all nodes of edges (a, b) of long ids.
+def stars(edges: DataFrame) -> DataFrame:
+    """Stored pairs (a, b) of long ids, a > b, that connect what edges (a, b) connect: b is the smallest node that a reaches.
 
     A node's edges are never gathered: each round is an aggregate and a join that Spark may split where a centre is hot.
-    Each round is stored, so that lost executors cost one round at most.
+    Each round is stored, so that lost executors cost one round at most. Stars are told by one aggregate, as a round
+    that only confirms them takes several joins.
     """
-    now, state = _stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") > F.col("b")).distinct())
-    last = None
-    while state != last:
-        before, last = now, state
-        now, state = _stored(_star(_star(now, True), False))
+    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") > F.col("b")).distinct())
+    while not _done(now):
+        before = now
+        now = stored(_star(_star(now, True), False))
         drop_stored(before)
-    roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    return now
+
+
+def labels(hung: DataFrame) -> DataFrame:
+    """node, component for all nodes of what stars() gives."""
+    roots = hung.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
+    return hung.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component: the smallest node reachable, for all nodes of edges (a, b) of long ids."""
+    return labels(stars(edges))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import packs
-from strandline.llm.components import components
+from strandline.llm.components import components, labels, stars
 from strandline.llm.tables import stored
 from strandline.llm.tokens import ASCII_LOWER, mix, range_hashes, shingle_hashes, text_buffer, word_ranges
 
@@ -236,10 +236,11 @@ def _within(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc_id", F.col("block").alias("left"), F.col("block").alias("right"), F.lit(0).alias("side"))
 
 
-def _grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows (doc_id, ...) with the component that the edges put the document in; itself without any."""
-    label = components(edges)
-    return stored(rows.join(label, rows["doc_id"] == label["node"], "left").select(*rows.columns, F.coalesce("component", "doc_id").alias("component")))
+def _grouped(rows: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (doc_id, ...) with the component that the edges put the document in, itself without any; and the edges as stars."""
+    hung = stars(edges)
+    label = labels(hung)
+    return stored(rows.join(label, rows["doc_id"] == label["node"], "left").select(*rows.columns, F.coalesce("component", "doc_id").alias("component"))), hung
 
 
 def _heads(grouped: DataFrame) -> DataFrame:
@@ -267,12 +268,11 @@ def links(sets: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
         return edges
     # the smallest members of connected groups, alone, as long as that halves them
     members = stored(blocks.join(wide, "label", "left_semi"))
-    grouped = _grouped(members, edges)
+    grouped, edges = _grouped(members, edges)
     heads = _heads(grouped)
     left = heads.count()
     while left > 1:
-        edges = edges.unionByName(compared(sets, _within(blocks_of(heads)), words, percent))
-        grouped = _grouped(members, edges)
+        grouped, edges = _grouped(members, edges.unionByName(compared(sets, _within(blocks_of(heads)), words, percent)))
         heads, before = _heads(grouped), left
         left = heads.count()
         if 2 * left > before:
